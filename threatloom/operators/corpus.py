@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threatloom import fixed_values as V
 from threatloom.functions import files, pe, text
@@ -92,7 +93,7 @@ def sections(corpus: DataFrame, key: str = "path") -> DataFrame:
     )
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def byte_histogram(pieces: pd.Series) -> pd.Series:
     return pieces.map(lambda b: np.bincount(np.frombuffer(b, dtype=np.uint8), minlength=256).astype(np.int32))
 

@@ -14,7 +14,16 @@ from threatloom.operators.models import score_traffic
 from threatloom.plans.traffic import threat_events
 from threatloom.sources.files import stream_packets, stream_threat_log
 
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# State on local disk with snapshots in the checkpoint, so that it may outgrow memory;
+# sessions of one key merge within a task before they are shuffled.
+_STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
+}
+# Copies of one line meet first within this many groups of input partitions.
+COPY_SPREAD = 64
 
 
 def _start(writer: DataStreamWriter, checkpoint: str, every: str | None) -> StreamingQuery:
@@ -27,17 +36,17 @@ def _start(writer: DataStreamWriter, checkpoint: str, every: str | None) -> Stre
 def _start_stateful(
     spark: SparkSession, writer: DataStreamWriter, checkpoint: str, every: str | None
 ) -> StreamingQuery:
-    """State on local disk with snapshots in the checkpoint, so that it may outgrow memory."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, _ROCKSDB)
+    before = {name: spark.conf.get(name, None) for name in _STATE_SETTINGS}
+    for name, value in _STATE_SETTINGS.items():
+        spark.conf.set(name, value)
     try:
         return _start(writer, checkpoint, every)
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def flows_from_packets(
@@ -101,11 +110,19 @@ def index_threat_log(
 def index_once(
     events: DataFrame, identity: list[str], output: str, checkpoint: str, time: str = "event_time", late: str = "1 hour", every: str | None = None
 ) -> StreamingQuery:
-    """Events without those read twice within ``late``, into parquet."""
+    """Events without those read twice within ``late``, into parquet.
+
+    Copies are removed in two steps, per group of input partitions and then overall:
+    a line that makes up a third of the input reaches its final task a bounded number
+    of times.
+    """
     spark = events.sparkSession
     unique = (
         events.withColumn("event_hash", threats.event_hash(events, identity))
+        .withColumn("__spread", F.spark_partition_id() % COPY_SPREAD)
         .withWatermark(time, late)
+        .dropDuplicatesWithinWatermark(["event_hash", "__spread"])
+        .drop("__spread")
         .dropDuplicatesWithinWatermark(["event_hash"])
     )
     writer = unique.writeStream.format("parquet").option("path", output).outputMode("append")
