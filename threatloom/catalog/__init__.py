@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ["traffic"]
+MODULES = ["traffic", "datasets", "evaluation", "files"]
 
 
 def all_queries() -> dict[str, tuple[Query, str | None]]:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threatloom.session import new_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -239,7 +241,7 @@ def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as PE files: header fields from the columns, the text as two sections.
 
     Even ids become PE32, odd ids PE32+. The first section holds the text, the second
-    64 zero bytes.
+    64 zero bytes. The files are written to a table once, as a corpus would be stored.
     """
     plus = F.col("doc_id") % 2 == 1
     body = F.hex(F.encode("text", "UTF-8"))
@@ -292,13 +294,16 @@ def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
         dos, coff, common, base, middle, F.when(plus, wide).otherwise(narrow), directories,
         table_rows, body, zeros(64),
     )
-    return table(spark, sf_dir, "documents").select(
+    built = table(spark, sf_dir, "documents").select(
         "doc_id",
         F.concat(F.lit("/bin/"), "doc_id", F.lit(".exe")).alias("path"),
         F.unhex(image).alias("content"),
         (data_at + size + 64).cast("bigint").alias("length"),
         F.lit("2024-01-01").cast("timestamp").alias("modificationTime"),
     )
+    stored = new_folder(spark, "programs")
+    built.write.parquet(stored)
+    return spark.read.parquet(stored)
 
 
 VECTOR_SIZE = 64

@@ -50,13 +50,17 @@ def safe_name(name: Column) -> Column:
 
 
 def format_bytes(size: Column) -> Column:
-    """Size with a unit, base 1024, two decimals."""
+    """Size with a unit, base 1024, two decimals, ties to the even digit."""
     value = size.cast("double")
-    text = F.when(value < 1024.0, F.format_string("%.2f B", value))
+
+    def text(scaled: Column, unit: str) -> Column:
+        return F.format_string(f"%.2f {unit}", F.bround(scaled, 2))
+
+    result = F.when(value < 1024.0, text(value, "B"))
     for power, unit in enumerate(["KB", "MB", "GB", "TB"], start=1):
         scaled = value / float(1024**power)
-        text = text.when(scaled < 1024.0, F.format_string(f"%.2f {unit}", scaled))
-    return text.otherwise(F.format_string("%.2f PB", value / float(1024**5)))
+        result = result.when(scaled < 1024.0, text(scaled, unit))
+    return result.otherwise(text(value / float(1024**5), "PB"))
 
 
 def size_ok(length: Column, max_mb: int = V.MAX_FILE_MB) -> Column:

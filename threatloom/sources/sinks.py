@@ -14,13 +14,17 @@ def utc_stamp() -> Column:
     return F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
 
 
+# Spaces in headers and cells are data; Spark would strip them on writing.
+_KEEP_SPACES = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "append") -> None:
-    df.write.mode(mode).csv(path, header=True)
+    df.write.mode(mode).csv(path, header=True, **_KEEP_SPACES)
 
 
 def write_results(df: DataFrame, path: str, batch_id: str) -> None:
     """Scored rows of one batch in a folder of their own; a batch run again replaces its folder."""
-    df.write.mode("overwrite").csv(f"{path}/batch={batch_id}", header=True)
+    df.write.mode("overwrite").csv(f"{path}/batch={batch_id}", header=True, **_KEEP_SPACES)
 
 
 def write_threat_log(events: DataFrame, path: str) -> None:
