@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ["traffic", "datasets", "evaluation", "files"]
+MODULES = ["traffic", "datasets", "evaluation", "files", "learning", "streams"]
 
 
 def all_queries() -> dict[str, tuple[Query, str | None]]:

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from threatloom.operators.joins import held
 from threatloom.operators.ranking import exact_percentiles, running_sums
+from threatloom.session import shared_folder
 
 
 def pair_counts(scored: DataFrame, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
-    """Rows per (truth, predicted). All further metrics read these few rows, not the data."""
-    return scored.groupBy(F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(
+    """Rows per (truth, predicted), counted once. All further metrics read these few rows."""
+    counts = scored.groupBy(F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(
         F.count("*").alias("n")
     )
+    return held(counts)
 
 
 def _classes(pairs: DataFrame, truth_only: bool) -> DataFrame:
@@ -125,9 +128,12 @@ def severity_score(pairs: DataFrame) -> DataFrame:
 
 
 def _score_counts(scored: DataFrame, truth: str, score: str) -> DataFrame:
-    return scored.groupBy(F.col(score).cast("double").alias("threshold")).agg(
+    counts = scored.groupBy(F.col(score).cast("double").alias("threshold")).agg(
         F.count_if(F.col(truth) == 1).alias("__pos"), F.count_if(F.col(truth) != 1).alias("__neg")
     )
+    # Read four times below; the scores may come from a model.
+    shared_folder(scored.sparkSession)
+    return counts.checkpoint()
 
 
 def roc_curve(scored: DataFrame, truth: str = "truth", score: str = "score") -> DataFrame:

@@ -1,10 +1,12 @@
-"""Joins with a side whose size is checked before it is broadcast."""
+"""Small tables: checked before they are broadcast, and computed once."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threatloom.session import shared_folder
+
 BROADCAST_ROWS = 10_000
 
 
@@ -19,3 +21,16 @@ def checked_broadcast(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFr
     if len(rows) > max_rows:
         return side
     return F.broadcast(side.sparkSession.createDataFrame(rows, side.schema))
+
+
+def held(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A small result computed once, for several readers.
+
+    Up to ``max_rows`` rows stay with the plan; a larger result is checkpointed to the
+    shared folder. Either way the query behind it does not run again.
+    """
+    rows = small.limit(max_rows + 1).collect()
+    if len(rows) <= max_rows:
+        return small.sparkSession.createDataFrame(rows, small.schema)
+    shared_folder(small.sparkSession)
+    return small.checkpoint()

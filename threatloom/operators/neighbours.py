@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threatloom.operators.ranking import row_numbers
+from threatloom.session import shared_folder
 
 MAX_PIVOTS = 256
 CELL_ROWS = 4096
@@ -112,6 +113,7 @@ def nearest_neighbours(
     cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """The k nearest other rows of each row: ``id``, ``neighbour``, ``distance``, ``rank``."""
+    shared_folder(points.sparkSession)
     count = points.count()
     pivots = _pivots(points, vector, id, max(1, min(max_pivots, count // max(1, cell_rows // 4))))
     id_type = points.schema[id].dataType.simpleString()
@@ -132,16 +134,20 @@ def nearest_neighbours(
     bounds = first.groupBy(id).agg(
         F.when(F.count("*") >= k, F.max("distance")).otherwise(float("inf")).alias("bound")
     )
-    # One row per cell; the ring of a cell is the range of its distances to the pivot.
+    # One row per pivot: the range of distances of its rows, and its number of cells.
     rings = (
-        cells.groupBy("pivot", "part")
-        .agg(F.min("to_pivot").alias("low"), F.max("to_pivot").alias("high"))
+        cells.groupBy("pivot")
+        .agg(
+            F.min("to_pivot").alias("low"),
+            F.max("to_pivot").alias("high"),
+            (F.max("part") + 1).alias("parts"),
+        )
         .toPandas()
     )
-    if len(rings) <= 1:
+    if rings["parts"].sum() <= 1:
         return first
 
-    pivot_of, part_of = rings["pivot"].to_numpy(), rings["part"].to_numpy()
+    pivot_of = rings["pivot"].to_numpy()
     low, high = rings["low"].to_numpy(), rings["high"].to_numpy()
     slack = 1e-9
 
@@ -150,29 +156,39 @@ def nearest_neighbours(
             if not len(batch):
                 continue
             x = _matrix(batch["vector"])
-            to_cell_pivot = _distances(x, pivots)[:, pivot_of]
-            # No row of the cell is nearer than this.
-            least = np.maximum(np.maximum(to_cell_pivot - high, low - to_cell_pivot), 0.0)
-            other = (pivot_of != batch["pivot"].to_numpy()[:, None]) | (
-                part_of != batch["part"].to_numpy()[:, None]
-            )
+            to_pivots = _distances(x, pivots)[:, pivot_of]
+            # No row of the pivot is nearer than this.
+            least = np.maximum(np.maximum(to_pivots - high, low - to_pivots), 0.0)
             bound = batch["bound"].to_numpy()[:, None]
             # Strictly nearer than the k-th found so far, with room for rounding.
-            rows, columns = np.nonzero(other & (least < bound * (1 + slack)) & (bound > 0))
-            if len(rows):
-                yield pd.DataFrame(
-                    {
-                        id: batch[id].to_numpy()[rows],
-                        "vector": [x[i] for i in rows],
-                        "pivot": pivot_of[columns],
-                        "part": part_of[columns],
-                    }
-                )
+            near = (least < bound * (1 + slack)) & (bound > 0)
+            yield pd.DataFrame(
+                {
+                    id: batch[id],
+                    "vector": list(x),
+                    "pivot": batch["pivot"],
+                    "part": batch["part"],
+                    "targets": [pivot_of[row] for row in near],
+                }
+            )
 
-    queries = (
+    routed = (
         cells.join(bounds, id, "left")
         .na.fill({"bound": float("inf")})
-        .mapInPandas(route, f"{id} {id_type}, vector array<double>, pivot int, part int")
+        .mapInPandas(
+            route, f"{id} {id_type}, vector array<double>, pivot int, part int, targets array<int>"
+        )
+    )
+    parts = cells.sparkSession.createDataFrame(
+        [(int(p), int(n)) for p, n in zip(rings["pivot"], rings["parts"])], "target int, parts int"
+    )
+    # Every cell of a pivot that is near enough, but the row's own.
+    queries = (
+        routed.withColumn("target", F.explode("targets"))
+        .join(F.broadcast(parts), "target")
+        .withColumn("target_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .where((F.col("target") != F.col("pivot")) | (F.col("target_part") != F.col("part")))
+        .select(id, "vector", F.col("target").alias("pivot"), F.col("target_part").alias("part"))
     )
 
     def across(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -133,7 +133,13 @@ def exact_percentiles(
     df: DataFrame, keys: list[str], column: str, fractions: dict[str, float]
 ) -> DataFrame:
     """Percentiles with linear interpolation between the two nearest ranks, per key."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("__n"))
+    shared_folder(df.sparkSession)
+    counts = (
+        df.where(F.col(column).isNotNull())
+        .groupBy(*keys, column)
+        .agg(F.count("*").alias("__n"))
+        .checkpoint()
+    )
     upto = running_sums(counts, keys, F.col(column), {"__upto": F.col("__n")})
     sizes = counts.groupBy(*keys).agg(F.sum("__n").alias("__size"))
     if keys:

@@ -10,6 +10,7 @@ from threatloom.fixed_values import FLOW_EXPORT_COLUMNS, TRAFFIC_FEATURES
 from threatloom.operators import flows, threats
 from threatloom.operators.models import score_traffic
 from threatloom.operators.profile import class_distribution
+from threatloom.session import shared_folder
 
 
 def model_features(flow_export: DataFrame, *keep: str) -> DataFrame:
@@ -47,7 +48,10 @@ def packets_to_features(
             F.max_by("conn_state", "seq").alias("conn_state"),
         )
     )
-    measured = flows.host_window_features(flows.time_window_features(first))
+    # Both windows read the connections several times.
+    shared_folder(packets.sparkSession)
+    first = first.checkpoint()
+    measured = flows.time_window_features(flows.host_window_features(first))
     joined = connections.join(measured, keys)
     return model_features(flows.flow_export(joined, *extra), *extra)
 

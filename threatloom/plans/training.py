@@ -20,6 +20,7 @@ from threatloom.operators.models import (
 )
 from threatloom.operators.neighbours import balance_classes
 from threatloom.operators.split import stratified_split
+from threatloom.session import shared_folder
 
 
 @dataclass
@@ -61,6 +62,7 @@ def train_malware(
     iterations: int = 100,
 ) -> Trained:
     """Split, oversample the training part on unscaled values, then scale, reduce and fit both scorers."""
+    shared_folder(df.sparkSession)
     split = stratified_split(df, label, key)
     train = split.where(~F.col("is_test")).select(
         key, label, F.array(*[F.col(f"`{c}`").cast("double") for c in columns]).alias("features")

@@ -16,12 +16,16 @@ def read_packets(spark: SparkSession, path: str, file_format: str = "parquet") -
 
 
 def stream_packets(
-    spark: SparkSession, path: str, file_format: str = "parquet", files_per_trigger: int = 1000
+    spark: SparkSession,
+    path: str,
+    file_format: str = "parquet",
+    files_per_trigger: int = 1000,
+    extra: str | None = None,
 ) -> DataFrame:
-    """Packet files as they arrive, with the file each packet came from."""
+    """Packet files as they arrive, with the file each packet came from and ``extra`` columns."""
     return (
         spark.readStream.format(file_format)
-        .schema(schemas.PACKETS)
+        .schema(f"{schemas.PACKETS}, {extra}" if extra else schemas.PACKETS)
         .option("maxFilesPerTrigger", files_per_trigger)
         .load(path)
         .withColumn("source_file", F.col("_metadata.file_path"))

@@ -50,19 +50,27 @@ def _start_stateful(
 
 
 def flows_from_packets(
-    spark: SparkSession, packets: str, output: str, checkpoint: str, every: str | None = None, file_format: str = "parquet"
+    spark: SparkSession,
+    packets: str,
+    output: str,
+    checkpoint: str,
+    every: str | None = None,
+    file_format: str = "parquet",
+    unit: str | None = None,
 ) -> StreamingQuery:
-    """Connections of each packet file, as feature files.
+    """Connections of each capture unit, as feature files.
 
-    A connection is counted within one packet file, as capture units are independent.
-    Each micro-batch owns a folder, which a repeated batch replaces.
+    A connection is counted within one unit: a packet file, or the values of a column
+    (``unit``, as "name type") of files that hold whole units. Each micro-batch owns a
+    folder, which a repeated batch replaces.
     """
+    key = unit.split()[0] if unit else "source_file"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        found = flows.connection_flows(batch, ["source_file"])
+        found = flows.connection_flows(batch, [key])
         flows.flow_export(found).write.mode("overwrite").csv(f"{output}/unit={batch_id}", header=True)
 
-    stream = stream_packets(spark, packets, file_format)
+    stream = stream_packets(spark, packets, file_format, extra=unit)
     return _start(stream.writeStream.foreachBatch(write), checkpoint, every)
 
 
