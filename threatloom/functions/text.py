@@ -15,7 +15,12 @@ DIGITS = r"[0-9\xb2\xb3\xb9]+"
 # Latin-1 characters that Python's str.isprintable rejects.
 UNPRINTABLE = r"[^\x20-\x7e\xa1-\xac\xae-\xff]"
 
-DOTTED_NUMBER = rf"^{DIGITS}(\.{DIGITS}){{1,2}}$|^{DIGITS}(\.{DIGITS}){{3}}(\..*)?$"
+# A word of two to four or more dot-separated parts of which the first four are digits.
+_END = rf"(?={WHITESPACE[:-1]}|\z)"
+DOTTED_NUMBER = (
+    rf"(?:(?<={WHITESPACE[:-1]})|\A)"
+    rf"(?:{DIGITS}(?:\.{DIGITS}){{1,2}}{_END}|{DIGITS}(?:\.{DIGITS}){{3}}(?:\.[^{WHITESPACE[1:-2]}]*)?{_END})"
+)
 
 
 def latin1_text(content: Column, prefix_bytes: int | None = None) -> Column:
@@ -50,9 +55,8 @@ def url_count(text: Column) -> Column:
 
 def ip_count(text: Column) -> Column:
     """Words whose first four dot-separated parts (two at least) are all digits."""
-    words = F.split(text, WHITESPACE)
-    return F.size(F.filter(words, lambda w: w.rlike(DOTTED_NUMBER))).cast("bigint")
+    return F.regexp_count(text, F.lit(DOTTED_NUMBER)).cast("bigint")
 
 
 def printable_chars(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, UNPRINTABLE, "")).cast("bigint")
+    return (F.length(text) - F.regexp_count(text, F.lit(UNPRINTABLE))).cast("bigint")

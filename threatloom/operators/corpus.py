@@ -74,7 +74,7 @@ def sections(corpus: DataFrame, key: str = "path") -> DataFrame:
         {"__count": count, "__table": F.col("pe_offset") + 24 + optional}
     ).where("__count > 0")
     numbered = with_table.withColumn(
-        "section_index", F.explode(F.sequence(F.lit(0), F.col("__count").cast("int") - 1))
+        "section_index", F.explode_outer(F.sequence(F.lit(0), F.col("__count").cast("int") - 1))
     )
     start = F.col("__table") + F.col("section_index") * V.SECTION_HEADER_BYTES
     entry = F.substr("content", (start + 1).cast("int"), F.lit(V.SECTION_HEADER_BYTES))
@@ -155,7 +155,9 @@ def import_features(imports: DataFrame) -> DataFrame:
 def detected_features(features: DataFrame, key: str, counts: str) -> DataFrame:
     """Features of a count map that occur, with their importance."""
     return (
-        features.select(key, F.explode(counts).alias("feature", "value"))
+        # The outer form, since the plain one makes the optimizer count everything twice to
+        # drop empty maps early; rows of empty maps go with the filter.
+        features.select(key, F.explode_outer(counts).alias("feature", "value"))
         .where((F.col("value") > 0) & (F.col("feature") != "hash"))
         .withColumn("importance", files.importance(F.col("value")))
     )

@@ -34,3 +34,12 @@ def held(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
         return small.sparkSession.createDataFrame(rows, small.schema)
     shared_folder(small.sparkSession)
     return small.checkpoint()
+
+
+def training_rows(rows: DataFrame) -> DataFrame:
+    """Rows that an iterative fit reads many times: written once to the shared folder, and in
+    at least as many partitions as there are slots."""
+    shared_folder(rows.sparkSession)
+    stored = rows.checkpoint()
+    slots = rows.sparkSession.sparkContext.defaultParallelism
+    return stored if stored.rdd.getNumPartitions() >= slots else stored.repartition(slots)

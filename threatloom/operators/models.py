@@ -11,13 +11,13 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import PCA, IndexToString, PCAModel, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatloom.fixed_values import PCA_VARIANCE_TARGET, SERVING_THRESHOLD
 from threatloom.functions.scoring import prediction_struct
 from threatloom.operators.encode import scaler_stage, scaling_parameters
-from threatloom.session import shared_folder
+from threatloom.operators.joins import training_rows
 
 SEED = 42
 # Spark's deepest tree. The traffic forest is to grow without a limit.
@@ -110,12 +110,13 @@ def fit_traffic_model(
     train: DataFrame, columns: list[str], label: str, trees: int = 100, depth: int = MAX_DEPTH
 ) -> PipelineModel:
     """Class codes, scaling, forest and decoding as one model that can be saved."""
-    shared_folder(train.sparkSession)
     indexer = StringIndexer(
         inputCol=label, outputCol="class_code", stringOrderType="alphabetAsc", handleInvalid="error"
     ).fit(train)
     stages = fit_scaled_vectors(train, columns)
-    prepared = apply_stages(indexer.transform(train), stages).select("scaled", "class_code")
+    prepared = training_rows(
+        apply_stages(indexer.transform(train), stages).select("scaled", "class_code")
+    )
     forest = traffic_forest("scaled", "class_code", trees, depth).fit(prepared)
     decoder = IndexToString(
         inputCol="prediction", outputCol="predicted_attack", labels=indexer.labels
@@ -170,8 +171,6 @@ def rank_traffic(df: DataFrame, model: PipelineModel, top: int = 3) -> DataFrame
 
 def feature_importances(model: PipelineModel, columns: list[str]) -> DataFrame:
     """One row per feature, most important first."""
-    from pyspark.sql import SparkSession
-
     values = forest_of(model).featureImportances.toArray()
     rows = [(c, float(v)) for c, v in zip(columns, values)]
     return (
@@ -191,17 +190,12 @@ def fit_malware_model(
     target: float = PCA_VARIANCE_TARGET,
 ) -> PipelineModel:
     """Scaling, PCA and both scorers as one model for fitting and serving."""
-    shared_folder(train.sparkSession)
     scaling = fit_scaled_vectors(train, columns)
     scaled = apply_stages(train, scaling).select("scaled", label)
     reduction, _, size = fit_pca(scaled, len(columns), target)
-    # Both fits read the reduced rows many times.
-    reduced = apply_stages(scaled, reduction).select("pca", label).persist()
-    try:
-        forest = malware_forest("pca", label, trees, depth).fit(reduced)
-        network = malware_network("pca", label, size, iterations).fit(reduced)
-    finally:
-        reduced.unpersist()
+    reduced = training_rows(apply_stages(scaled, reduction).select("pca", label))
+    forest = malware_forest("pca", label, trees, depth).fit(reduced)
+    network = malware_network("pca", label, size, iterations).fit(reduced)
     return PipelineModel([*scaling, *reduction, forest, network])
 
 
