@@ -72,6 +72,8 @@ def test_hand_written_cases(cases, traffic_model):
         assert sum(chances) == pytest.approx(1) and chances == sorted(chances, reverse=True)
         assert row["top_predictions"] == row["all_probabilities"][:3]
         assert row["confidence"] == pytest.approx(chances[0])
+    top = {r["name"]: r for r in models.case_summary(models.rank_traffic(cases, traffic_model), "name").collect()}
+    assert top["Port Scan"]["top_class"] == "probe" and top["Port Scan"]["top_probability"] > 0.5
     scored = models.score_traffic(cases, traffic_model)
     assert scored.columns == [*cases.columns, "predicted_attack", "confidence"]
 

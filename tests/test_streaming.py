@@ -85,3 +85,14 @@ def test_windows_equal_batch_where_complete(spark, tmp_path):
 
 def test_flow_schema_matches_positions(spark):
     assert len(schemas.FLOW_EXPORT.split(", ")) == len(schemas.FLOW_POSITIONAL_NAMES) == 39
+
+
+def test_sessions_by_stretches_equal_plain_sessions(spark):
+    # Pauses just below, exactly at and above the gap, and a busy key.
+    seconds = [0, 10, 1799, 3599, 5399, 7200, 9001, 20000, *range(30000, 40000, 7), 41800, 43601]
+    events = spark.createDataFrame([(k, s) for k in ("hot", "b") for s in seconds], "k string, s long").withColumn(
+        "t", F.timestamp_seconds("s")
+    )
+    plain = events.groupBy(F.session_window("t", "30 minutes").alias("w"), "k").agg(F.count("*").alias("n"))
+    want = {(r["w"]["start"], r["w"]["end"], r["k"], r["n"]) for r in plain.collect()}
+    assert {tuple(r) for r in threats.sessions(events, "t", "30 minutes", ["k"]).collect()} == want

@@ -217,6 +217,15 @@ select l_orderkey, l_linenumber,
 from e"""
 
 
+def prediction_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Truth and prediction of the first ten documents."""
+    return E.preview(S.scored(spark, sf_dir), "doc_id").select("doc_id", "truth", "predicted")
+
+
+PREDICTION_PREVIEW = f"""with {S.SCORED}
+select doc_id, truth, predicted from scored order by doc_id limit 10"""
+
+
 QUERIES = {
     "confusion_matrix": (confusion_matrix, CONFUSION_MATRIX),
     "classification_report": (classification_report, CLASSIFICATION_REPORT),
@@ -228,5 +237,6 @@ QUERIES = {
     "event_roc_auc": (event_roc_auc, EVENT_ROC_AUC),
     "latency_statistics": (latency_statistics, LATENCY_STATISTICS),
     "joined_truth": (joined_truth, JOINED_TRUTH),
+    "prediction_preview": (prediction_preview, PREDICTION_PREVIEW),
     "ensemble_scores": (ensemble_scores, ENSEMBLE_SCORES),
 }

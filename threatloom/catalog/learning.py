@@ -140,6 +140,13 @@ def traffic_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def traffic_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prediction, confidence and likeliest class of every row."""
+    trained = _trained_traffic(spark, sf_dir)
+    rows = S.vectors(spark, sf_dir).drop("embedding", "malware")
+    return models.case_summary(models.rank_traffic(rows, trained.model), "vec_id")
+
+
 def traffic_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     trained = _trained_traffic(spark, sf_dir)
     found = models.feature_importances(trained.model, trained.columns)
@@ -225,6 +232,7 @@ QUERIES = {
     "malware_pca_summary": (malware_pca_summary, None),
     "traffic_scores": (traffic_scores, None),
     "traffic_ranking": (traffic_ranking, None),
+    "traffic_cases": (traffic_cases, None),
     "traffic_importance": (traffic_importance, None),
     "traffic_evaluation": (traffic_evaluation, None),
     "traffic_severity": (traffic_severity, None),

@@ -115,8 +115,9 @@ def byte_entropy(blobs: DataFrame, keys: list[str], content: str = "bytes") -> D
         ),
     )
     histograms = pieces.select(*keys, byte_histogram("__piece").alias("__counts"))
-    # One zero count per piece stays, so that empty contents keep their row.
-    exploded = histograms.select(*keys, F.posexplode("__counts").alias("__byte", "__n")).where(
+    # One zero count per piece stays, so that empty contents keep their row. The outer form
+    # keeps the optimizer from counting twice to look for empty arrays, which there are none of.
+    exploded = histograms.select(*keys, F.posexplode_outer("__counts").alias("__byte", "__n")).where(
         (F.col("__n") > 0) | (F.col("__byte") == 0)
     )
     counts = exploded.groupBy(*keys, "__byte").agg(F.sum("__n").alias("__n"))

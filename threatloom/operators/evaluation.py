@@ -182,3 +182,8 @@ def latency_statistics(samples: DataFrame, model: str = "model", ms: str = "ms")
 def join_truth(truth: DataFrame, predictions: DataFrame, key: str) -> DataFrame:
     """Truth and prediction of the same row, by its key."""
     return truth.join(predictions, key)
+
+
+def preview(scored: DataFrame, key: str, n: int = 10) -> DataFrame:
+    """The first ``n`` rows in order of their key, for a look at predictions."""
+    return scored.orderBy(key).limit(n)

@@ -169,6 +169,18 @@ def rank_traffic(df: DataFrame, model: PipelineModel, top: int = 3) -> DataFrame
     )
 
 
+def case_summary(ranked: DataFrame, name: str) -> DataFrame:
+    """One row per ranked case: prediction, confidence and the likeliest class."""
+    first = F.col("all_probabilities")[0]
+    return ranked.select(
+        name,
+        "predicted_attack",
+        "confidence",
+        first["class"].alias("top_class"),
+        first["probability"].alias("top_probability"),
+    )
+
+
 def feature_importances(model: PipelineModel, columns: list[str]) -> DataFrame:
     """One row per feature, most important first."""
     values = forest_of(model).featureImportances.toArray()

@@ -93,13 +93,27 @@ def window_counts(
 
 
 def sessions(events: DataFrame, time: str, gap: str, keys: list[str]) -> DataFrame:
-    """Events per key in runs with no pause as long as ``gap``."""
-    return (
-        events.groupBy(F.session_window(time, gap).alias("w"), *keys)
-        .agg(F.count("*").alias("n"))
-        .select(
-            F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), *keys, "n"
+    """Events per key in runs with no pause as long as ``gap``.
+
+    On a batch, events of a key within one stretch of ``gap`` are first counted
+    together: none of them can be a gap apart. A key with a third of all events then
+    has no more rows than such stretches. On a stream, tasks merge sessions before the
+    shuffle (see the streaming settings).
+    """
+    if events.isStreaming:
+        grouped = events.groupBy(F.session_window(time, gap).alias("w"), *keys).agg(F.count("*").alias("n"))
+    else:
+        stretches = events.groupBy(F.window(time, gap).alias("__w"), *keys).agg(
+            F.min(time).alias("__first"), F.max(time).alias("__last"), F.count("*").alias("__n")
+        )
+        gap_micros = F.unix_micros(F.expr(f"timestamp'1970-01-01 00:00:00Z' + interval {gap}"))
+        length = F.unix_micros("__last") - F.unix_micros("__first") + gap_micros
+        reach = F.make_interval(secs=(length / 1000000).cast("decimal(18,6)"))
+        grouped = stretches.groupBy(F.session_window("__first", reach).alias("w"), *keys).agg(
+            F.sum("__n").alias("n")
         )
+    return grouped.select(
+        F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), *keys, "n"
     )
 
 
