@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatloom import schemas
-from threatloom.fixed_values import PCA_VARIANCE_TARGET, PLACEHOLDERS, TRAFFIC_FEATURES
+from threatloom.fixed_values import PCA_VARIANCE_TARGET, PLACEHOLDERS
 from threatloom.functions.labels import map_labels
 from threatloom.operators import quality
 from threatloom.operators.encode import encode_categoricals, standardise
@@ -169,9 +169,13 @@ def load_model(spark: SparkSession, path: str) -> tuple[list, list[str]]:
     return stages, [r["feature"] for r in sorted(rows)]
 
 
+def load_pipeline(spark: SparkSession, path: str) -> tuple[PipelineModel, list[str]]:
+    """A saved model ready to score, and its columns."""
+    stages, columns = load_model(spark, path)
+    return PipelineModel(stages), columns
+
+
 def feature_list(columns: list[str], limit: int = 100) -> dict[str, Any]:
     """Number of features and the first of them."""
     return {"feature_count": len(columns), "features": columns[:limit]}
 
-
-DEFAULT_TRAFFIC_COLUMNS = TRAFFIC_FEATURES

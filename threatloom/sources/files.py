@@ -57,6 +57,13 @@ def stream_threat_log(spark: SparkSession, path: str, files_per_trigger: int = 1
     )
 
 
+def open_index(spark: SparkSession, path: str, view: str = "threat_logs") -> DataFrame:
+    """The event index, also as a view for SQL; its folders by date prune scans by ``event_date``."""
+    events = spark.read.parquet(path)
+    events.createOrReplaceTempView(view)
+    return events
+
+
 def read_summaries(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """One row per summary found among ``paths`` (stem to path), with its ``stem``."""
     found = [
