@@ -9,77 +9,126 @@ from threatloom import fixed_values as V
 
 # Bytes of the COFF header and of the longer optional header with its directories.
 _COFF_BYTES = 24
-_OPTIONAL_BYTES = 112 + 16 * 8
+_HEADER_BYTES = _COFF_BYTES + 112 + 16 * 8
 
 
-def little_endian(hex_text: Column, offset: int | Column, size: int) -> Column:
-    """Unsigned integer of ``size`` bytes at a byte offset of hex text; null past the end."""
-    start = F.lit(offset) if isinstance(offset, int) else offset
-    pairs = [F.substr(hex_text, (start + i) * 2 + 1, F.lit(2)) for i in range(size - 1, -1, -1)]
-    digits = F.concat(*pairs)
-    number = F.conv(F.when(F.length(digits) == 2 * size, digits), 16, 10)
+def reversed_hex(data: Column, size: int) -> Column:
+    """Hex text of the bytes, last byte first, as if the data were padded with zeros to ``size``.
+
+    A little-endian number is then one constant slice of the text.
+    """
+    padded = F.rpad(F.hex(data), 2 * size, "0")
+    return F.regexp_replace(F.reverse(padded), "(.)(.)", "$2$1")
+
+
+def little_endian(text: Column, total: int, offset: int, size: int) -> Column:
+    """Hex digits of the number of ``size`` bytes at ``offset`` in a reversed text of ``total`` bytes."""
+    return F.substring(text, 2 * (total - offset - size) + 1, 2 * size)
+
+
+def unsigned(digits: Column, size: int) -> Column:
+    number = F.conv(digits, 16, 10)
     return number.cast("decimal(20,0)" if size == 8 else "bigint")
 
 
-def with_header(df: DataFrame, content: str = "content") -> DataFrame:
-    """Add ``pe_offset`` and ``pe_header`` (hex from the signature on), null where not PE."""
+def with_offset(df: DataFrame, content: str = "content") -> DataFrame:
+    """Add ``pe_offset``, where the PE signature stands; null where the file is not PE."""
     body = F.col(content)
-    looks_dos = F.substring(body, 1, 2) == F.lit(bytearray(b"MZ"))
-    offset = little_endian(F.hex(F.substring(body, 61, 4)), 0, 4)
-    header = F.hex(
-        F.substr(body, (F.col("pe_offset") + 1).cast("int"), F.lit(_COFF_BYTES + _OPTIONAL_BYTES))
-    )
-    return (
-        df.withColumn("pe_offset", F.when(looks_dos & (offset < F.length(body)), offset))
-        .withColumn("pe_header", header)
-        .withColumn("pe_header", F.when(F.startswith("pe_header", F.lit("50450000")), F.col("pe_header")))
-        .withColumn("pe_offset", F.when(F.col("pe_header").isNotNull(), F.col("pe_offset")))
+    looks_dos = (F.substring(body, 1, 2) == F.lit(bytearray(b"MZ"))) & (F.length(body) >= 64)
+    pointed = unsigned(reversed_hex(F.substring(body, 61, 4), 4), 4)
+    at = F.col("pe_offset")
+    signed = F.substr(body, (at + 1).cast("int"), F.lit(4)) == F.lit(bytearray(b"PE\0\0"))
+    return df.withColumn("pe_offset", F.when(looks_dos & (pointed < F.length(body)), pointed)).withColumn(
+        "pe_offset", F.when(signed, at)
     )
 
 
-def is_pe(df: DataFrame, content: str = "content") -> DataFrame:
-    """Add ``is_pe``: DOS magic, and the PE signature where the DOS header points."""
-    return (
-        with_header(df, content)
-        .withColumn("is_pe", F.col("pe_header").isNotNull())
-        .drop("pe_offset", "pe_header")
+def with_header(df: DataFrame, content: str = "content") -> DataFrame:
+    """Add ``pe_offset``, ``pe_header`` (reversed hex from the signature on) and ``pe_bytes``, the
+    header bytes the file has. All are null where the file is not PE."""
+    body, at = F.col(content), F.col("pe_offset")
+    head = F.substr(body, (at + 1).cast("int"), F.lit(_HEADER_BYTES))
+    return with_offset(df, content).withColumns(
+        {
+            "pe_header": F.when(at.isNotNull(), reversed_hex(head, _HEADER_BYTES)),
+            "pe_bytes": F.least(F.length(body) - at, F.lit(_HEADER_BYTES)),
+        }
     )
 
 
-def _is_plus(header: Column) -> Column:
-    return little_endian(header, _COFF_BYTES, 2) == V.PE32_PLUS_MAGIC
+HEADER_COLUMNS = ["pe_offset", "pe_header", "pe_bytes"]
+
+
+def header_number(offset: int, size: int) -> Column:
+    """A number of the header by its offset from the signature; null past the end of the file."""
+    digits = little_endian(F.col("pe_header"), _HEADER_BYTES, offset, size)
+    return unsigned(F.when(F.col("pe_bytes") >= offset + size, digits), size)
+
+
+def _is_plus() -> Column:
+    return header_number(_COFF_BYTES, 2) == V.PE32_PLUS_MAGIC
+
+
+def is_pe(df: DataFrame, content: str = "content") -> DataFrame:
+    """Add ``is_pe``: DOS magic, and the PE signature where the DOS header points."""
+    return with_offset(df, content).withColumn("is_pe", F.col("pe_offset").isNotNull()).drop("pe_offset")
 
 
 def header_fields(df: DataFrame, content: str = "content") -> DataFrame:
     """Add the 28 header features, null for files that are not PE."""
-    df = with_header(df, content)
-    header = F.col("pe_header")
-    df = df.withColumn("pe_plus", _is_plus(header))
+    df = with_header(df, content).withColumn("pe_plus", _is_plus())
     fields: dict[str, Column] = {}
     for name, offset, size in V.COFF_FIELDS:
-        fields[name] = little_endian(header, 4 + offset, size)
+        fields[name] = header_number(4 + offset, size)
     for name, offset, size, plus_offset, plus_size in V.OPTIONAL_FIELDS:
-        plain = little_endian(header, _COFF_BYTES + offset, size)
+        plain = header_number(_COFF_BYTES + offset, size)
         if (offset, size) == (plus_offset, plus_size):
             fields[name] = plain
         else:
-            plus = little_endian(header, _COFF_BYTES + plus_offset, plus_size)
+            plus = header_number(_COFF_BYTES + plus_offset, plus_size)
             target = "decimal(20,0)" if plus_size == 8 else "bigint"
             fields[name] = F.when(F.col("pe_plus"), plus.cast(target)).otherwise(plain.cast(target))
     name, offset, size = V.COFF_SECTION_COUNT
-    fields[name] = little_endian(header, 4 + offset, size)
-    return df.withColumns(fields).drop("pe_header", "pe_offset", "pe_plus")
+    fields[name] = header_number(4 + offset, size)
+    return df.withColumns(fields).drop(*HEADER_COLUMNS, "pe_plus")
 
 
 def has_resources(df: DataFrame, content: str = "content") -> DataFrame:
     """Add ``has_resources``: 1 where the resource directory is not empty, 0 otherwise."""
-    df = with_header(df, content)
-    header = F.col("pe_header")
-    plain, plus = V.DATA_DIRECTORY_OFFSET
-    entry = 8 * V.RESOURCE_DIRECTORY_INDEX
-    size = F.when(
-        _is_plus(header), little_endian(header, _COFF_BYTES + plus + entry + 4, 4)
-    ).otherwise(little_endian(header, _COFF_BYTES + plain + entry + 4, 4))
-    return df.withColumn("has_resources", F.coalesce((size > 0).cast("int"), F.lit(0))).drop(
-        "pe_offset", "pe_header"
+    plain, plus = (_COFF_BYTES + at + 8 * V.RESOURCE_DIRECTORY_INDEX + 4 for at in V.DATA_DIRECTORY_OFFSET)
+    size = F.when(_is_plus(), header_number(plus, 4)).otherwise(header_number(plain, 4))
+    return (
+        with_header(df, content)
+        .withColumn("has_resources", F.coalesce((size > 0).cast("int"), F.lit(0)))
+        .drop(*HEADER_COLUMNS)
+    )
+
+
+def sections(df: DataFrame, key: str, content: str = "content") -> DataFrame:
+    """One row per section of PE files: position, name, raw size and raw bytes."""
+    body = F.col(content)
+    counted = with_header(df, content).withColumns(
+        {
+            "__count": header_number(4 + V.COFF_SECTION_COUNT[1], 2),
+            "__table": F.col("pe_offset") + _COFF_BYTES + header_number(4 + 16, 2),
+        }
+    )
+    # The outer form: the plain one would decode the header twice to look for empty ranges.
+    numbered = counted.where("__count > 0").withColumn(
+        "section_index", F.explode_outer(F.sequence(F.lit(0), F.col("__count").cast("int") - 1))
+    )
+    total = V.SECTION_HEADER_BYTES
+    start = (F.col("__table") + F.col("section_index") * total).cast("int")
+    entry = reversed_hex(F.substr(body, start + 1, F.lit(total)), total)
+    placed = numbered.where(F.length(body) >= start + total).withColumns(
+        {"__entry": entry, "__name": F.decode(F.substr(body, start + 1, F.lit(8)), "ISO-8859-1")}
+    )
+    raw_size = unsigned(little_endian(F.col("__entry"), total, 16, 4), 4)
+    raw_offset = unsigned(little_endian(F.col("__entry"), total, 20, 4), 4)
+    return placed.select(
+        key,
+        "section_index",
+        F.regexp_replace("__name", r"^\x00+|\x00+$", "").alias("section"),
+        raw_size.alias("raw_size"),
+        F.substr(body, (raw_offset + 1).cast("int"), raw_size.cast("int")).alias("bytes"),
     )

@@ -64,35 +64,6 @@ def string_features(
     )
 
 
-def sections(corpus: DataFrame, key: str = "path") -> DataFrame:
-    """One row per PE section: position, name, raw size and raw bytes."""
-    header = F.col("pe_header")
-    with_table = pe.with_header(corpus).where(header.isNotNull())
-    count = pe.little_endian(header, 4 + 2, 2)
-    optional = pe.little_endian(header, 4 + 16, 2)
-    with_table = with_table.withColumns(
-        {"__count": count, "__table": F.col("pe_offset") + 24 + optional}
-    ).where("__count > 0")
-    numbered = with_table.withColumn(
-        "section_index", F.explode_outer(F.sequence(F.lit(0), F.col("__count").cast("int") - 1))
-    )
-    start = F.col("__table") + F.col("section_index") * V.SECTION_HEADER_BYTES
-    entry = F.substr("content", (start + 1).cast("int"), F.lit(V.SECTION_HEADER_BYTES))
-    decoded = numbered.withColumn("__entry", F.hex(entry)).where(
-        F.length("__entry") == 2 * V.SECTION_HEADER_BYTES
-    )
-    raw_size = pe.little_endian(F.col("__entry"), 16, 4)
-    raw_offset = pe.little_endian(F.col("__entry"), 20, 4)
-    name = F.decode(F.unhex(F.substring("__entry", 1, 16)), "ISO-8859-1")
-    return decoded.select(
-        key,
-        "section_index",
-        F.regexp_replace(name, r"^\x00+|\x00+$", "").alias("section"),
-        raw_size.alias("raw_size"),
-        F.substr("content", (raw_offset + 1).cast("int"), raw_size.cast("int")).alias("bytes"),
-    )
-
-
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def byte_histogram(pieces: pd.Series) -> pd.Series:
     return pieces.map(lambda b: np.bincount(np.frombuffer(b, dtype=np.uint8), minlength=256).astype(np.int32))
@@ -136,7 +107,7 @@ def byte_entropy(blobs: DataFrame, keys: list[str], content: str = "bytes") -> D
 def section_features(corpus: DataFrame, key: str = "path") -> DataFrame:
     """Raw size and entropy of each named section."""
     keys = [key, "section_index", "section", "raw_size"]
-    return byte_entropy(sections(corpus, key), keys).drop("size")
+    return byte_entropy(pe.sections(corpus, key), keys).drop("size")
 
 
 def import_features(imports: DataFrame) -> DataFrame:

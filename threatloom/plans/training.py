@@ -18,9 +18,9 @@ from threatloom.operators.models import (
     score_malware,
     score_traffic,
 )
+from threatloom.operators.joins import training_rows
 from threatloom.operators.neighbours import balance_classes
 from threatloom.operators.split import stratified_split
-from threatloom.session import shared_folder
 
 
 @dataclass
@@ -62,16 +62,20 @@ def train_malware(
     iterations: int = 100,
 ) -> Trained:
     """Split, oversample the training part on unscaled values, then scale, reduce and fit both scorers."""
-    shared_folder(df.sparkSession)
-    split = stratified_split(df, label, key)
-    train = split.where(~F.col("is_test")).select(
-        key, label, F.array(*[F.col(f"`{c}`").cast("double") for c in columns]).alias("features")
+    # The features may come from a long way off, and the search for neighbours and the fits
+    # below read them many times.
+    rows = training_rows(
+        df.select(
+            key, label, F.array(*[F.col(f"`{c}`").cast("double") for c in columns]).alias("features")
+        )
     )
-    # The balanced rows feed several fits; the checkpoint keeps neighbours from being searched again.
+    split = stratified_split(rows, label, key)
+    train = split.where(~F.col("is_test")).drop("is_test")
     balanced = balance_classes(train, key, "features", label).checkpoint()
     wide = columns_from_vector(balanced, "features", columns, label)
     model = fit_malware_model(wide, columns, label, trees, depth, iterations)
-    return Trained(model, columns, split.where("is_test").drop("is_test"))
+    test = columns_from_vector(split.where("is_test"), "features", columns, key, label)
+    return Trained(model, columns, test)
 
 
 def evaluate_malware(
