@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from threatloom.operators import joins, ranking
 from threatloom.operators.encode import class_mapping, encode_categoricals, scaling_parameters, standardise
-from threatloom.operators.split import random_sample, stratified_split
+from threatloom.operators.split import random_sample, range_digits, stratified_split
 
 
 @pytest.fixture(scope="module")
@@ -82,7 +82,11 @@ def test_population_scaling_and_constants(spark):
     assert got[0]["a"] == pytest.approx(-2 / np.std([1, 3, 5])) and got[0]["b"] == 0.0
 
 
-@pytest.mark.parametrize("digits", [1, 4])
+def test_ranges_grow_with_the_rows():
+    assert [range_digits(n) for n in (0, 10**7, 10**8, 10**12)] == [1, 1, 2, 5]
+
+
+@pytest.mark.parametrize("digits", [None, 1, 4])
 def test_split_takes_a_fifth_of_each_class(skewed, digits):
     frame, expected = skewed
     split = stratified_split(frame, "key", "id", digits=digits)

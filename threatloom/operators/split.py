@@ -13,8 +13,25 @@ def shuffle_key(key: Column, seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")))
 
 
+# About as many rows as one task should have to rank.
+RANGE_ROWS = 1_000_000
+
+
+def range_digits(rows: int) -> int:
+    """Hex digits that cut ``rows`` hashed rows into ranges of at most about RANGE_ROWS."""
+    digits = 1
+    while rows / 16**digits > RANGE_ROWS:
+        digits += 1
+    return digits
+
+
 def stratified_split(
-    df: DataFrame, label: str, key: str, test_fraction: float = 0.2, seed: int = 42, digits: int = 4
+    df: DataFrame,
+    label: str,
+    key: str,
+    test_fraction: float = 0.2,
+    seed: int = 42,
+    digits: int | None = None,
 ) -> DataFrame:
     """Add ``is_test``: exactly round(fraction * n) rows of each class.
 
@@ -23,6 +40,7 @@ def stratified_split(
     decided where it lies, without a shuffle, as long as the one row per class fits a
     broadcast.
     """
+    digits = digits or range_digits(df.count())
     tagged = df.withColumn("__hash", shuffle_key(F.col(key), seed)).withColumn(
         "__range", F.substring("__hash", 1, digits)
     )
