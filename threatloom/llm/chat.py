@@ -86,7 +86,7 @@ def formatted_turns(turns: DataFrame, tokenizer_path: str) -> DataFrame:
         F.coalesce(named(turns, "role"), F.lit("")).alias("role"),
         F.coalesce(named(turns, "text"), F.lit("")).alias("text"),
     )
-    head = F.concat(F.lit(START), F.regexp_replace(escaped(F.col("role")), "\n", "\\\\\\\\\n"), F.lit("\n"))
+    head = F.concat(F.lit(START), F.regexp_replace(escaped(F.col("role")), "\n", "\\\\\n"), F.lit("\n"))
     rows = rows.select("conv", "turn", "role", "text", head.alias("head"), escaped(F.col("text")).alias("body"))
     sized = stored(
         rows.mapInArrow(

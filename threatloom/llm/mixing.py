@@ -94,7 +94,7 @@ def plan(docs: DataFrame, payload: list[Column]) -> DataFrame:
     copies = F.array(*[
         F.struct(
             F.greatest(F.least(F.col("size"), wanted - begin), F.lit(0)).alias("words"),
-            training_time((begin + F.col("size") / 2) / wanted, F.col("place")).alias("position"),
+            training_time((begin + F.col("size") / 2) / F.greatest(wanted, F.lit(1)), F.col("place")).alias("position"),
         )
         for begin in [F.col("source_size") * i + F.col("upto") - F.col("size") for i in range(MAX_REPEATS)]
     ])

@@ -47,19 +47,23 @@ def first_map(loads: dict[int, tuple[int, int]], shards: int = SHARDS) -> dict[i
 def rebalanced(current: dict[int, int], loads: dict[int, tuple[int, int]], shards: int) -> dict[int, int]:
     """The map edited for ``shards`` shards: slots leave shards that are gone or above the mean.
 
-    The heaviest slot that fits goes first, always to the lightest shard; a shard keeps what
-    it has up to the mean, so most slots stay.
+    A shard above the mean gives away its heaviest slots that fit into the surplus, so few
+    slots move; each goes to the lightest shard, heaviest first. All other slots stay.
     """
     mean = sum(size for size, _ in loads.values()) / shards
-    kept: dict[int, int] = {}
-    weight, moving = [0] * shards, []
-    for slot in sorted(loads, key=lambda s: (-loads[s][0], s)):
+    weight, moving, kept = [0] * shards, [], {}
+    for slot in loads:
         shard = current.get(slot, shards)
-        if shard < shards and weight[shard] + loads[slot][0] <= mean:
+        if shard < shards:
             kept[slot] = shard
             weight[shard] += loads[slot][0]
         else:
             moving.append(slot)
+    for slot in sorted(kept, key=lambda s: (-loads[s][0], s)):
+        if 0 < loads[slot][0] <= weight[kept[slot]] - mean:
+            weight[kept.pop(slot)] -= loads[slot][0]
+            moving.append(slot)
+    moving.sort(key=lambda s: (-loads[s][0], s))
     heap = [(w, shard) for shard, w in enumerate(weight)]
     heapq.heapify(heap)
     for slot in moving:
