@@ -18,13 +18,13 @@ def connection_key(src_ip: Column, src_port: Column, dst_ip: Column, dst_port: C
 
 
 def split_connection_key(key: Column) -> Column:
-    """The key's four parts."""
+    """The key's four parts; a part that is missing or no number is null."""
     parts = F.split(key, "_")
     return F.struct(
-        parts[0].alias("src_ip"),
-        parts[1].cast("int").alias("src_port"),
-        parts[2].alias("dst_ip"),
-        parts[3].cast("int").alias("dst_port"),
+        F.get(parts, F.lit(0)).alias("src_ip"),
+        F.get(parts, F.lit(1)).try_cast("int").alias("src_port"),
+        F.get(parts, F.lit(2)).alias("dst_ip"),
+        F.get(parts, F.lit(3)).try_cast("int").alias("dst_port"),
     )
 
 

@@ -125,10 +125,13 @@ def sections(df: DataFrame, key: str, content: str = "content") -> DataFrame:
     )
     raw_size = unsigned(little_endian(F.col("__entry"), total, 16, 4), 4)
     raw_offset = unsigned(little_endian(F.col("__entry"), total, 20, 4), 4)
+    # A file can claim any offset and size; both end with the content.
+    end = F.length(body).cast("bigint")
+    start_at, size = F.least(raw_offset.cast("bigint"), end), F.least(raw_size.cast("bigint"), end)
     return placed.select(
         key,
         "section_index",
         F.regexp_replace("__name", r"^\x00+|\x00+$", "").alias("section"),
         raw_size.alias("raw_size"),
-        F.substr(body, (raw_offset + 1).cast("int"), raw_size.cast("int")).alias("bytes"),
+        F.substr(body, (start_at + 1).cast("int"), size.cast("int")).alias("bytes"),
     )

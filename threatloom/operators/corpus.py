@@ -115,7 +115,7 @@ def import_features(imports: DataFrame) -> DataFrame:
     per_dll = (
         imports.withColumn("dll", F.lower("dll"))
         .groupBy("file", "dll")
-        .agg(F.count("symbol").alias("n"))
+        .agg(F.count("*").alias("n"))  # imports by ordinal have no symbol
     )
     common = [
         F.sum(F.when(F.col("dll") == dll, F.col("n")).otherwise(0)).alias(f"import_{dll}")

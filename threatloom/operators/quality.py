@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import or_
 
@@ -34,19 +35,23 @@ def trim_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
 
 
+def _best_named(columns: list[str], ranked: list[str] | tuple[str, ...]) -> str | None:
+    """The column whose name, ignoring case, ranks first among the given names."""
+    rank = {name: at for at, name in enumerate(ranked)}
+    known = [(rank[c.lower()], -at, c) for at, c in enumerate(columns) if c.lower() in rank]
+    return min(known)[2] if known else None
+
+
 def find_label_column(columns: list[str], fall_back_to_last: bool = False) -> str:
-    """First known label name, ignoring case."""
-    by_lower = {c.lower(): c for c in columns}
-    for name in LABEL_NAMES:
-        if name in by_lower:
-            return by_lower[name]
-    if fall_back_to_last and columns:
-        return columns[-1]
-    raise ValueError(f"no label column among {columns}")
+    """The label among the columns; if allowed, the last column where no name is known."""
+    label = _best_named(columns, LABEL_NAMES) or (columns[-1] if columns and fall_back_to_last else None)
+    if label is None:
+        raise ValueError(f"no label column among {columns}")
+    return label
 
 
 def find_malware_column(columns: list[str]) -> str | None:
-    return next((c for c in columns if c.lower() == "malware"), None)
+    return _best_named(columns, ["malware"])
 
 
 def with_malware_label(df: DataFrame, mode: str = "train") -> tuple[DataFrame, bool]:
@@ -65,13 +70,15 @@ def require_columns(df: DataFrame, *names: str) -> None:
         raise ValueError(f"required columns not found: {missing}")
 
 
+#: ``id`` as the whole name, as its last word after a space or underscore, as its first word
+#: before an underscore, or as a word between spaces.
+_ID_WORD = re.compile(r"^id$|[_ ]id$|^id_| id ")
+
+
 def is_non_feature(name: str) -> bool:
     """Identifier-like names, and names that speak of addresses or times."""
-    lower = name.lower()
-    looks_like_id = (
-        lower == "id" or lower.endswith(("_id", " id")) or lower.startswith("id_") or " id " in lower
-    )
-    return looks_like_id or any(part in lower for part in NON_FEATURE_PARTS)
+    lowered = name.lower()
+    return bool(_ID_WORD.search(lowered)) or any(part in lowered for part in NON_FEATURE_PARTS)
 
 
 def non_feature_columns(columns: list[str], label: str) -> list[str]:

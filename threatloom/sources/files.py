@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,11 +66,16 @@ def open_index(spark: SparkSession, path: str, view: str = "threat_logs") -> Dat
 
 
 def read_summaries(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """One row per summary found among ``paths`` (stem to path), with its ``stem``."""
-    found = [
-        spark.read.schema(schemas.DATASET_SUMMARY).json(path, multiLine=True).withColumn("stem", F.lit(stem))
-        for stem, path in paths.items()
-    ]
+    """One row per summary found among ``paths`` (stem to path), with its ``stem``; absent files have none."""
+    found = []
+    for stem, path in paths.items():
+        try:
+            summary = spark.read.schema(schemas.DATASET_SUMMARY).json(path, multiLine=True)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+        else:
+            found.append(summary.withColumn("stem", F.lit(stem)))
     if not found:
         return spark.createDataFrame([], f"{schemas.DATASET_SUMMARY}, stem string")
     return reduce(DataFrame.unionByName, found)
