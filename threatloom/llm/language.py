@@ -26,6 +26,9 @@ from threatloom.llm.packing import batch_rows
 
 #: Labelled rows of a language that are sampled for its dictionary, by the order of a hash.
 SAMPLE_ROWS = 400
+#: Languages that are learned at most, and how many samples are drawn to take the least hashes of.
+LANGUAGES = 256
+OVERSAMPLE = 4
 #: Characters of a sampled row and bytes of a dictionary.
 SAMPLE_CHARS = 4_000
 DICTIONARY_BYTES = 65_536
@@ -46,23 +49,38 @@ def letters(text: str) -> bytes:
     return _OTHER.sub(" ", text.lower()).strip().encode("utf-8", "replace")
 
 
-def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """Language to dictionary, from columns ``doc_id``, ``text`` and ``lang``.
+def _sampled(labelled: DataFrame, sample_rows: int, languages: int) -> DataFrame:
+    """lang, at (1 is the least hash) and text of at most ``sample_rows`` rows of each language.
 
-    ``sample_rows`` bounds what is learned from each language, whatever the input's size.
-    The most helpful content goes last, where zstandard reaches it cheapest; here all content
-    is alike, so the order is that of the hash.
+    Rows are counted by language first. Only rows whose hash lies below a share that holds
+    about ``OVERSAMPLE`` times the sample are dealt by language, so what is dealt does not
+    grow with the rows of a language.
     """
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    # First the least hashes of each partition-sized share, then of the language.
-    share = Window.partitionBy("lang", "share").orderBy("order", "doc_id")
-    whole = Window.partitionBy("lang").orderBy("order", "doc_id")
-    sample = (
-        known.select("lang", "doc_id", F.xxhash64("doc_id", "text").alias("order"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-        .withColumn("share", F.pmod(F.xxhash64("order"), F.lit(256)))
-        .withColumn("at", F.row_number().over(share)).where(F.col("at") <= sample_rows)
-        .withColumn("at", F.row_number().over(whole)).where(F.col("at") <= sample_rows)
+    # At most ``languages`` rows, the bound of the whole model: safe to broadcast.
+    counts = known.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(languages)
+    order = F.xxhash64("doc_id", "text")
+    share = (order / F.lit(2.0**64) + 0.5) * F.col("rows")
+    near = (
+        known.join(F.broadcast(counts), "lang").where(share <= OVERSAMPLE * sample_rows)
+        .select("lang", "doc_id", order.alias("order"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
     )
+    whole = Window.partitionBy("lang").orderBy("order", "doc_id")
+    return near.withColumn("at", F.row_number().over(whole)).where(F.col("at") <= sample_rows)
+
+
+def fit(
+    labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, dictionary_bytes: int = DICTIONARY_BYTES,
+    languages: int = LANGUAGES,
+) -> dict[str, bytes]:
+    """Language to dictionary, from columns ``doc_id``, ``text`` and ``lang``.
+
+    ``sample_rows`` bounds what is learned from each language, whatever the input's size, and
+    ``languages`` the languages learned: those with the most rows, then by code point. The
+    most helpful content goes last, where zstandard reaches it cheapest; here all content is
+    alike, so the order is that of the hash.
+    """
+    sample = _sampled(labelled, sample_rows, languages)
     texts: dict[str, list[tuple[int, str]]] = {}
     for row in sample.select("lang", "at", "text").collect():
         texts.setdefault(row["lang"], []).append((row["at"], row["text"]))
