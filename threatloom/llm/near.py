@@ -32,6 +32,8 @@ BAND_ROWS = 5
 STAR_ROUNDS = 2
 #: Elements of a block in which the sets of a family are compared.
 BLOCK_ELEMENTS = 100_000
+#: Copies of a family's row, so that the members of a large family meet it in several tasks.
+SALTS = 32
 
 _STEP = 0x9E3779B97F4A7C15
 
@@ -202,8 +204,10 @@ def _remaining_links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataF
         F.ceil((F.sum("n") - F.max_by("n", F.struct("rows", "component"))) / BLOCK_ELEMENTS)
         .cast("int").alias("query_blocks"),
     )
-    dealt = members.join(largest, "family")
     hashed = F.xxhash64("set_id")
+    salted = largest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own_salt = F.pmod(F.xxhash64("set_id", F.lit("salt")), F.lit(SALTS)).cast("int")
+    dealt = members.withColumn("salt", own_salt).join(salted, ["family", "salt"])
 
     def blocks(count: str) -> Column:
         return F.pmod(hashed, F.col(count)).cast("int")
