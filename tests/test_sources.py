@@ -120,3 +120,11 @@ def test_overview_lists_missing_summaries(spark, tmp_path):
 def test_shared_folder_comes_from_the_session(spark):
     assert new_folder(spark, "x").startswith(shared_folder(spark))
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_null_tokens_with_and_without_a_schema(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a,b\n1,x\nNA,NA\n 3,y\n")
+    pinned = datasets.read_csv(spark, str(tmp_path / "t.csv"), "a int, b string").collect()
+    inferred = datasets.read_csv(spark, str(tmp_path / "t.csv")).collect()
+    assert [tuple(r) for r in pinned] == [(1, "x"), (None, None), (3, "y")]
+    assert [r["b"] for r in inferred] == ["x", None, "y"]

@@ -217,7 +217,7 @@ def scanned_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = pe.header_fields(programs).join(toxic, "doc_id").select("doc_id", "malware", *PE_FEATURES)
     trained = training.train_malware(
         labelled.withColumns({c: F.col(c).cast("double") for c in PE_FEATURES}),
-        "doc_id", PE_FEATURES, trees=20, depth=8, iterations=30,
+        "doc_id", PE_FEATURES,
     )
     verdicts = scanning.scan(programs, trained.model, trained.columns)
     return scanning.events(verdicts).select("file_name", "file_size", "file_hash", "prediction", "severity")

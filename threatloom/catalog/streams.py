@@ -170,7 +170,7 @@ def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = packets_to_features(S.packets(spark, sf_dir))
     attack = F.when(F.col("land") == 1, "land").when(F.col("urgent") > 12, "portsweep").otherwise("normal")
     labelled = features.withColumn("attack_type", attack)
-    model = fit_traffic_model(labelled, TRAFFIC_FEATURES, "attack_type", trees=20, depth=10)
+    model = fit_traffic_model(labelled, TRAFFIC_FEATURES, "attack_type")
     arriving, output, progress = (
         new_folder(spark, name) for name in ("arriving", "scored", "scored-progress")
     )

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from threatloom import schemas
@@ -31,6 +32,10 @@ def _null_if_token(column: Column) -> Column:
     return F.when(~column.isin(CSV_NULL_TOKENS), column)
 
 
+def _text_layout(names: list[str]) -> str:
+    return ", ".join("`" + n.replace("`", "``") + "` string" for n in names)
+
+
 def typed_columns(texts: DataFrame) -> DataFrame:
     """Text columns whose every value is a whole number or a number become that, in one pass."""
     checks = []
@@ -57,13 +62,19 @@ def typed_columns(texts: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """CSV with a header. Pin a schema for large inputs; without one, types come from one more pass."""
+    """CSV with a header. Pin a schema for large inputs; without one, types come from one more pass.
+
+    Null tokens are null either way; with a schema, so is a value that is none of its type.
+    """
     if schema:
-        return spark.read.schema(schema).csv(path, header=True)
+        fields = T.StructType.fromDDL(schema).fields
+        texts = spark.read.schema(_text_layout([f.name for f in fields])).csv(path, header=True)
+        return texts.select(
+            *[_null_if_token(quoted(f.name)).try_cast(f.dataType).alias(f.name) for f in fields]
+        )
     first = spark.read.csv(path, header=False, inferSchema=False).first()
     names = distinct_headers(["" if v is None else v for v in first])
-    layout = ", ".join("`" + n.replace("`", "``") + "` string" for n in names)
-    texts = spark.read.schema(layout).csv(path, header=True)
+    texts = spark.read.schema(_text_layout(names)).csv(path, header=True)
     return typed_columns(texts.select(*[_null_if_token(quoted(n)).alias(n) for n in names]))
 
 
