@@ -65,12 +65,13 @@ def test_codes_are_sorted_positions(spark):
     assert [r["encoded_value"] for r in got] == list(range(len(set(names))))
 
 
-def test_encoding_is_the_same_by_model_and_by_join(spark, monkeypatch):
-    frame = spark.createDataFrame([(n, i) for i, n in enumerate("dbaacd")], "c string, i int")
-    by_model = encode_categoricals(frame, ["c"]).orderBy("i").collect()
-    monkeypatch.setattr("threatloom.operators.encode.INDEXER_LIMIT", 0)
-    by_join = encode_categoricals(frame, ["c"]).orderBy("i").collect()
-    assert [r["c"] for r in by_model] == [3, 1, 0, 0, 2, 3] == [r["c"] for r in by_join]
+@pytest.mark.parametrize("limit", [10_000, 2])
+def test_encoding_is_the_same_with_few_and_many_categories(spark, monkeypatch, limit):
+    values = [*"dbaacd", None, "z", None]
+    frame = spark.createDataFrame([(n, n, i) for i, n in enumerate(values)], "`c.1` string, d string, i int")
+    monkeypatch.setattr("threatloom.operators.joins.checked_broadcast.__defaults__", (limit,))
+    got = encode_categoricals(frame, ["c.1", "d"]).orderBy("i").collect()
+    assert [r["c.1"] for r in got] == [3, 1, 0, 0, 2, 3, 4, 5, 4] == [r["d"] for r in got]
 
 
 def test_population_scaling_and_constants(spark):

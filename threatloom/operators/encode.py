@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import SQLTransformer, StringIndexer, StringIndexerModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,18 +10,8 @@ from threatloom.operators.joins import checked_broadcast
 from threatloom.operators.quality import quoted
 from threatloom.operators.ranking import codes_in_order
 
-# Above this many distinct values the codes are joined instead of held by an indexer model.
-INDEXER_LIMIT = 100_000
-
-
-def fit_indexer(df: DataFrame, columns: list[str]) -> StringIndexerModel:
-    """Codes 0..n-1 in alphabetical order, all columns in one fit."""
-    return StringIndexer(
-        inputCols=columns,
-        outputCols=[f"{c}__code" for c in columns],
-        stringOrderType="alphabetAsc",
-        handleInvalid="error",
-    ).fit(df)
+# Fixed value: the category of a null.
+NULL_TEXT = "nan"
 
 
 def class_mapping(df: DataFrame, column: str) -> DataFrame:
@@ -39,31 +29,18 @@ def decode_classes(df: DataFrame, mapping: DataFrame, code: str, name: str) -> D
     return df.join(checked_broadcast(lookup), F.col(code) == F.col("__code")).drop("__code")
 
 
-def _join_codes(df: DataFrame, column: str) -> DataFrame:
-    mapping = class_mapping(df, column).select(
-        F.col("original_label").alias("__label"), F.col("encoded_value").cast("bigint").alias("__code")
-    )
-    return (
-        df.join(mapping, F.col(column).cast("string") == F.col("__label"))
-        .withColumn(column, F.col("__code"))
-        .drop("__label", "__code")
-    )
-
-
 def encode_categoricals(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Replace text columns by their codes."""
-    if not columns:
-        return df
-    sizes = df.agg(*[F.approx_count_distinct(quoted(c)).alias(c) for c in columns]).first()
-    small = [c for c in columns if sizes[c] <= INDEXER_LIMIT]
-    if small:
-        encoded = fit_indexer(df, small).transform(df)
-        df = encoded.select(
-            *[F.col(f"{c}__code").cast("bigint").alias(c) if c in small else quoted(c) for c in df.columns]
-        )
+    """Replace text columns by their codes 0..n-1 in alphabetical order; null is the text ``nan``.
+
+    One way for any number of categories: the codes are joined, by broadcast where they are few.
+    """
     for column in columns:
-        if column not in small:
-            df = _join_codes(df, column)
+        text = F.coalesce(quoted(column).cast("string"), F.lit(NULL_TEXT))
+        mapping = codes_in_order(df.select(text.alias("__label")), "__label", "__code")
+        joined = df.withColumn("__text", text).join(checked_broadcast(mapping), F.col("__text") == F.col("__label"))
+        df = joined.select(
+            *[F.col("__code").cast("bigint").alias(c) if c == column else quoted(c) for c in df.columns]
+        )
     return df
 
 
