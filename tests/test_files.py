@@ -206,3 +206,11 @@ def test_alert_lines(spark):
     frame = spark.createDataFrame([("normal",), ("neptune",)], "attack_type string")
     got = [(r["level"], r["message"]) for r in threats.alerts(frame).collect()]
     assert got == [("INFO", "Normal traffic detected."), ("ERROR", "Alert! Attack detected: neptune")]
+
+
+def test_large_files_are_left_out_by_the_scan(spark, tmp_path):
+    for name, size in (("small.exe", 10), ("large.exe", 2 * 1024 * 1024), ("other.zzz", 10)):
+        (tmp_path / name).write_bytes(b"x" * size)
+    found = scanning.admitted(spark.read.format("binaryFile").load(str(tmp_path)), max_mb=1)
+    assert [r["filename"] for r in found.collect()] == ["small.exe"]
+    assert "LessThanOrEqual(length,1048576)" in found._jdf.queryExecution().toString()

@@ -17,7 +17,8 @@ from threatloom.operators.quality import align
 
 def admitted(corpus: DataFrame, max_mb: int = V.MAX_FILE_MB) -> DataFrame:
     """Files with an allowed extension and size; others are not read."""
-    checked = corpus_ops.admit(corpus, max_mb)
+    # By the plain comparison first, which the scan takes over: larger files are not opened.
+    checked = corpus_ops.admit(corpus.where(files.size_ok(F.col("length"), max_mb)), max_mb)
     return checked.where(F.col("allowed") & F.col("valid")).drop("allowed", "valid", "reason")
 
 
