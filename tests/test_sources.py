@@ -128,3 +128,12 @@ def test_null_tokens_with_and_without_a_schema(spark, tmp_path):
     inferred = datasets.read_csv(spark, str(tmp_path / "t.csv")).collect()
     assert [tuple(r) for r in pinned] == [(1, "x"), (None, None), (3, "y")]
     assert [r["b"] for r in inferred] == ["x", None, "y"]
+
+
+def test_files_with_another_order_of_columns_are_refused(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("a,b\n1,x\n")
+    (tmp_path / "2.csv").write_text("b,a\ny,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        datasets.read_csv(spark, str(tmp_path)).collect()
+    (tmp_path / "2.csv").write_text("a,b\n2,y\n")
+    assert sorted(tuple(r) for r in datasets.read_csv(spark, str(tmp_path)).collect()) == [(1, "x"), (2, "y")]

@@ -73,8 +73,11 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
             *[_null_if_token(quoted(f.name)).try_cast(f.dataType).alias(f.name) for f in fields]
         )
     first = spark.read.csv(path, header=False, inferSchema=False).first()
-    names = distinct_headers(["" if v is None else v for v in first])
-    texts = spark.read.schema(_text_layout(names)).csv(path, header=True)
+    first_names = ["" if v is None else v for v in first]
+    names = distinct_headers(first_names)
+    # Files of one folder must agree on their header: another order of columns is refused.
+    same = spark.read.schema(_text_layout(names)).option("enforceSchema", names != first_names)
+    texts = same.csv(path, header=True)
     return typed_columns(texts.select(*[_null_if_token(quoted(n)).alias(n) for n in names]))
 
 
