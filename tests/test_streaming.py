@@ -83,6 +83,22 @@ def test_windows_equal_batch_where_complete(spark, tmp_path):
     assert batch.count() == 8
 
 
+def test_ended_stream_equals_batch(spark, tmp_path):
+    log = log_lines(tmp_path, 300)
+    events = normalise_time(stream_threat_log(spark, log)).where("not parse_failed")
+    batch = normalise_time(read_threat_log(spark, log)).where("not parse_failed")
+    hours, sessions = str(tmp_path / "hours"), str(tmp_path / "sessions")
+    pipelines.run_to_end(
+        events, lambda e: pipelines.counts_by_window(e, ["attack_type"], hours, hours + "-ck"), str(tmp_path / "m1")
+    )
+    pipelines.run_to_end(
+        events, lambda e: pipelines.sessions_by_key(e, ["attack_type"], sessions, sessions + "-ck"), str(tmp_path / "m2")
+    )
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(spark.read.parquet(hours)) == rows(threats.window_counts(batch, "event_time", "1 hour", ["attack_type"]))
+    assert rows(spark.read.parquet(sessions)) == rows(threats.sessions(batch, "event_time", "30 minutes", ["attack_type"]))
+
+
 def test_flow_schema_matches_positions(spark):
     assert len(schemas.FLOW_EXPORT.split(", ")) == len(schemas.FLOW_POSITIONAL_NAMES) == 39
 

@@ -120,11 +120,13 @@ from classified"""
 
 
 def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly counts per severity, written as each hour is complete."""
-    output, progress = new_folder(spark, "hours"), new_folder(spark, "hours-progress")
-    pipelines.counts_by_window(
-        _event_stream(spark, sf_dir), ["severity", "attack_type"], output, progress
-    ).awaitTermination()
+    """Hourly counts per severity, written as each hour is complete, the last ones at the end."""
+    output, progress, marks = (new_folder(spark, n) for n in ("hours", "hours-progress", "hours-end"))
+    pipelines.run_to_end(
+        _event_stream(spark, sf_dir),
+        lambda events: pipelines.counts_by_window(events, ["severity", "attack_type"], output, progress),
+        marks,
+    )
     return spark.read.parquet(output).select(
         F.unix_micros("window_start").alias("start_us"), "severity", "attack_type", "n"
     )
@@ -133,16 +135,17 @@ def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 STREAM_WINDOW_COUNTS = f"""with {S.CLASSIFIED}
 select epoch_us(date_trunc('hour', event_time)) as start_us, {S.SEVERITY} as severity, attack_type,
   count(*) as n
-from classified
-where epoch_us(date_trunc('hour', event_time)) + 3600000000
-  <= (select max(epoch_us(event_time)) // 1000 * 1000 - 600000000 from classified)
-group by all"""
+from classified group by all"""
 
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions per source, written as each is over."""
-    output, progress = new_folder(spark, "sessions"), new_folder(spark, "sessions-progress")
-    pipelines.sessions_by_key(_event_stream(spark, sf_dir), ["src_ip"], output, progress).awaitTermination()
+    """Sessions per source, written as each is over, the last ones at the end."""
+    output, progress, marks = (new_folder(spark, n) for n in ("sessions", "sessions-progress", "sessions-end"))
+    pipelines.run_to_end(
+        _event_stream(spark, sf_dir),
+        lambda events: pipelines.sessions_by_key(events, ["src_ip"], output, progress),
+        marks,
+    )
     return spark.read.parquet(output).select(
         F.unix_micros("session_start").alias("start_us"), F.unix_micros("session_end").alias("end_us"),
         "src_ip", "n",
@@ -157,16 +160,14 @@ STREAM_SESSIONS = f"""with {S.CLASSIFIED}, gaps as (
   select *, sum(cast(starts as int)) over (partition by src_ip order by us, starts desc
     rows unbounded preceding) as run
   from gaps
-), found as (
-  select min(us) as start_us, max(us) + 1800000000 as end_us, src_ip, count(*) as n
-  from runs group by src_ip, run
 )
-select * from found
-where end_us <= (select max(epoch_us(event_time)) // 1000 * 1000 - 600000000 from classified)"""
+select min(us) as start_us, max(us) + 1800000000 as end_us, src_ip, count(*) as n
+from runs group by src_ip, run"""
 
 
 def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flow feature files scored as they arrive; events per attack type and severity."""
+    """Flow feature files scored as they arrive: one event per connection, with the severity of its
+    attack and the probability of the likeliest of three classes."""
     features = packets_to_features(S.packets(spark, sf_dir))
     attack = F.when(F.col("land") == 1, "land").when(F.col("urgent") > 12, "portsweep").otherwise("normal")
     labelled = features.withColumn("attack_type", attack)
@@ -177,18 +178,25 @@ def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     exported = flows.flow_export(flows.connection_flows(S.packets(spark, sf_dir)))
     exported.write.csv(arriving, header=True)
     pipelines.scores_from_flows(spark, arriving, model, output, progress, "sensor-1").awaitTermination()
-    return (
-        spark.read.parquet(output)
-        .groupBy("attack_type", "severity")
-        .agg(F.count("*").alias("n"), F.round(F.min("confidence"), 6).alias("least_confidence"))
+    return spark.read.parquet(output).select(
+        "connection_key",
+        F.col("attack_type").isin("land", "portsweep", "normal").alias("known_class"),
+        (F.col("severity") == attack_severity(F.col("attack_type"))).alias("severity_fits"),
+        F.col("confidence").between(1 / 3 - 1e-9, 1 + 1e-9).alias("confidence_fits"),
     )
 
 
+STREAM_SCORES = f"""with {S.PACKETS}
+select src_ip || '_' || src_port || '_' || dst_ip || '_' || dst_port as connection_key,
+  true as known_class, true as severity_fits, true as confidence_fits
+from packets group by src_ip, src_port, dst_ip, dst_port"""
+
+
 QUERIES = {
     "stream_flows": (stream_flows, STREAM_FLOWS),
     "stream_threat_index": (stream_threat_index, STREAM_THREAT_INDEX),
     "stream_once": (stream_once, STREAM_ONCE),
     "stream_window_counts": (stream_window_counts, STREAM_WINDOW_COUNTS),
     "stream_sessions": (stream_sessions, STREAM_SESSIONS),
-    "stream_scores": (stream_scores, None),
+    "stream_scores": (stream_scores, STREAM_SCORES),
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,8 @@ _STATE_SETTINGS = {
 }
 # Copies of one line meet first within this many groups of input partitions.
 COPY_SPREAD = 64
+# Later than any event. An end mark of this time moves the watermark past all open windows.
+END_OF_TIME = "9999-01-01 00:00:00"
 
 
 def _start(writer: DataStreamWriter, checkpoint: str, every: str | None) -> StreamingQuery:
@@ -115,6 +119,26 @@ def index_threat_log(
     return _start(writer, checkpoint, every)
 
 
+def run_to_end(
+    events: DataFrame, start: Callable[[DataFrame], StreamingQuery], marks: str, time: str = "event_time"
+) -> None:
+    """Run a stream that is over: after all events, an end mark brings out its last windows and sessions.
+
+    ``start`` starts a query on the stream it is given, reading what is there and stopping.
+    The first run takes the events, the second an end mark from the folder ``marks``. The
+    mark's own window is never complete, so it is not in the result. Events that arrive
+    afterwards count as late.
+    """
+    spark = events.sparkSession
+    schema = f"`{time}` timestamp"
+    mark = spark.range(1).select(F.lit(END_OF_TIME).cast("timestamp").alias(time))
+    mark.limit(0).write.mode("append").parquet(marks)
+    marked = events.unionByName(spark.readStream.schema(schema).parquet(marks), allowMissingColumns=True)
+    start(marked).awaitTermination()
+    mark.write.mode("append").parquet(marks)
+    start(marked).awaitTermination()
+
+
 def index_once(
     events: DataFrame, identity: list[str], output: str, checkpoint: str, time: str = "event_time", late: str = "1 hour", every: str | None = None
 ) -> StreamingQuery:
