@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatloom.llm import chat, language, merkle, mixing, near, packing, quality, sharding, viterbi, warc
+from threatloom.llm import (
+    chat, infill, language, merkle, mixing, near, negatives, packing, quality, sharding, token_files, viterbi, warc,
+)
 from threatloom.llm.common import table
 
 
@@ -159,6 +161,69 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viterbi.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
+HARD_NEGATIVES = """with vectors as materialized (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as materialized (
+  select a.vec_id as anchor_id, a.label = r.label as same, r.vec_id as id, list_dot_product(a.v, r.v)::bigint as score
+  from vectors a join vectors r on a.vec_id <> r.vec_id where a.vec_id % 100 = 0
+), positives as (
+  select anchor_id, id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, id) <= 5
+)
+select p.anchor_id, positive_id, row_number() over w as rank, s.id as negative_id, positive_score, s.score as negative_score
+from positives p join scored s on s.anchor_id = p.anchor_id and not s.same
+  and 80 * positive_score <= 100 * s.score and 100 * s.score <= 100 * positive_score
+window w as (partition by p.anchor_id, positive_id order by s.score desc, s.id)
+qualify row_number() over w <= 5"""
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    files = token_files.write(docs, tokenizer_file("word_bpe_49k.json"))
+    return token_files.read(files, docs).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.infilled(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+INFILL = """with bodies as (
+  select doc_id, coalesce(text, '') as body, length(coalesce(text, '')) as n,
+    sha256('1:' || coalesce(doc_id::varchar, '')) as h
+  from documents
+), draws as (
+  select *, ('0x' || substr(h, 1, 8))::bigint % (n + 1) as a, ('0x' || substr(h, 9, 8))::bigint % (n + 1) as b,
+    ('0x' || substr(h, 17, 8))::bigint % 100 as c, ('0x' || substr(h, 25, 8))::bigint % 100 as d
+  from bodies
+), formed as (
+  select *, least(a, b) as x, greatest(a, b) as y,
+    case when n = 0 or c >= 90 or contains(body, '<P>') or contains(body, '<S>') or contains(body, '<M>') then 'plain'
+      when d < 20 then 'spm' else 'psm' end as form
+  from draws
+), cut as (
+  select *, substr(body, 1, x) as prefix, substr(body, x + 1, y - x) as middle, substr(body, y + 1) as suffix
+  from formed
+)
+select doc_id, n, form, case when form <> 'plain' then x end as prefix_chars,
+  case when form <> 'plain' then y - x end as middle_chars,
+  sha256(case form when 'plain' then body when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(body) as restored_sha256
+from cut"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -176,5 +241,8 @@ QUERIES = {
     "op8_sharding": (op8_sharding, None),
     "op9_warc": (op9_warc, WARC),
     "op10_token_counts": (op10_token_counts, None),
+    "op11_hard_negatives": (op11_hard_negatives, HARD_NEGATIVES),
+    "op12_token_files": (op12_token_files, None),
+    "op13_infill": (op13_infill, INFILL),
     "pipeline": (pipeline, None),
 }
