@@ -47,7 +47,7 @@ CACHE_PIECES = 400_000
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The character that stands for each byte in a byte-level vocabulary: printable bytes for
     themselves, the others for the characters from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -65,7 +65,7 @@ def encoder(path: str):
     """
     with open(path, encoding="utf-8") as file:
         content = json.load(file)
-    model, letters = content["model"], _byte_letters()
+    model, letters = content["model"], byte_letters()
     merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
     vocabulary = model["vocab"]
     made = [vocabulary.get("".join(pair)) for pair in merges]

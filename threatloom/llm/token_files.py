@@ -23,18 +23,23 @@ from __future__ import annotations
 
 import functools
 import json
+import os
+import re
+import string
 import uuid
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threatloom.llm.common import named, stored
-from threatloom.llm.packing import batch_rows, narrow, widened
+from threatloom.llm.packing import byte_letters, narrow, widened
 from threatloom.llm.perfect_hash import PerfectHash, digest_words, fingerprints
 from threatloom.llm.shingles import parted, slices
 from threatloom.session import new_folder
@@ -63,6 +68,7 @@ def _tokenizer(path: str):
     It can if white space only ever parts words: the normalizers do not look across it, every
     pre-token is free of it, and control strings neither hold it nor take it in.
     """
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as file:
@@ -83,28 +89,80 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path), by_word
 
 
-class _Words:
-    """Ids of the words seen so far, bounded by bytes."""
+#: Letters that every normalizer here leaves whole, and marks that belong to no control string or
+#: short form: the tokenizer parts a word of such letters from such marks after it.
+_LETTERS = string.ascii_letters + "".join(chr(c) for c in range(0xC0, 0x100) if chr(c).isalpha())
+_MARKS = "".join(c for c in string.punctuation if c not in "'<|>")
+_PLAIN = f"^[{_LETTERS}]+[{re.escape(_MARKS)}]*$"
 
-    def __init__(self):
-        self.known: dict[str, np.ndarray] = {}
-        self.held = 0
 
-    def ids(self, path: str, words: list[str]) -> list[np.ndarray]:
-        tokenizer, _ = _tokenizer(path)
+class _Known:
+    """Ids, as bytes, of the texts that were encoded before, bounded by bytes."""
+
+    def __init__(self, encode):
+        self.encode, self.known, self.held = encode, {}, 0
+
+    def ids(self, texts: list[str]) -> list[bytes]:
         if self.held > CACHE_BYTES:
             self.known.clear()
             self.held = 0
-        new = [word for word in words if word not in self.known]
+        known, new = self.known, [text for text in texts if text not in self.known]
         for start in range(0, len(new), 10_000):
             part = new[start : start + 10_000]
-            for word, found in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                ids = self.known[word] = np.array(found.ids, dtype=np.uint32)
-                self.held += 200 + 4 * len(word) + ids.nbytes
-        return [self.known[word] for word in words]
+            for text, ids in zip(part, self.encode(part)):
+                known[text] = ids
+                self.held += 200 + len(text) + len(ids)
+        return [known[text] for text in texts]
+
+
+@functools.lru_cache(maxsize=2)
+def _known(path: str) -> tuple[_Known, _Known]:
+    """For whole words, and for lower-case words of plain letters, which are one piece to the model."""
+    tokenizer, _ = _tokenizer(path)
+    letters = {byte: letter for letter, byte in byte_letters().items()}
+    spelled = {ord(c): "".join(letters[b] for b in c.encode()) for c in _LETTERS}
+
+    def words(texts: list[str]) -> list[bytes]:
+        return [_bytes(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def stems(texts: list[str]) -> list[bytes]:
+        return [_bytes([token.id for token in tokenizer.model.tokenize(text.translate(spelled))]) for text in texts]
+
+    return _Known(words), _Known(stems)
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
+def _gathered(pool: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of a pool that codes name, one after another, and the length of each."""
+    lengths = sizes[codes]
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    starts = np.cumsum(sizes) - sizes
+    return pool[np.repeat(starts[codes] - (ends - lengths), lengths) + np.arange(total)], lengths
 
 
-_WORDS: dict[str, _Words] = {}
+def _word_ids(path: str, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the words one after another, and the number of ids of each.
+
+    A plain word and the marks after it are separate pieces, so each distinct word is encoded once
+    in whatever case and before whatever mark it stands.
+    """
+    by_word, by_stem = _known(path)
+    plain = pc.match_substring_regex(words, _PLAIN)
+    stems = pc.if_else(plain, pc.utf8_lower(pc.utf8_rtrim(words, _MARKS)), "").dictionary_encode()
+    rest = pc.if_else(plain, pc.utf8_ltrim(words, _LETTERS), words).dictionary_encode()
+    pools = []
+    for known, coded in ((by_stem, stems), (by_word, rest)):
+        ids = known.ids(coded.dictionary.to_pylist())
+        sizes = np.array([len(own) // 4 for own in ids], dtype=np.int64)
+        pools.append((np.frombuffer(b"".join(ids), dtype=np.uint32), sizes, coded.indices.to_numpy()))
+    (one, one_sizes, one_codes), (two, two_sizes, two_codes) = pools
+    codes = np.stack([one_codes, two_codes + len(one_sizes)], axis=1).ravel()
+    ids, lengths = _gathered(np.concatenate([one, two]), np.concatenate([one_sizes, two_sizes]), codes)
+    return ids, lengths.reshape(-1, 2).sum(axis=1)
 
 
 def token_ids(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -115,17 +173,9 @@ def token_ids(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         counts = np.array([len(ids) for ids in found], dtype=np.int64)
         return np.array([i for ids in found for i in ids], dtype=np.uint32), counts
     coded, words = parted(texts)
-    ids = _WORDS.setdefault(path, _Words()).ids(path, coded.dictionary.to_pylist())
-    sizes = np.array([len(own) for own in ids], dtype=np.int64)
-    pool = np.concatenate(ids) if ids else np.empty(0, np.uint32)
-    starts = np.cumsum(sizes) - sizes
-    codes = coded.indices.to_numpy()
-    lengths = sizes[codes]
-    ends = np.cumsum(lengths)
-    total = int(ends[-1]) if len(ends) else 0
-    at = np.repeat(starts[codes] - (ends - lengths), lengths) + np.arange(total)
-    upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(words)])]
-    return pool[at], np.diff(upto)
+    ids, lengths = _gathered(*_word_ids(path, coded.dictionary), coded.indices.to_numpy())
+    upto = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(words)])]
+    return ids, np.diff(upto)
 
 
 def _encoding(path: str, end_id: int):
@@ -133,7 +183,7 @@ def _encoding(path: str, end_id: int):
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 1, 4_000_000):
+            for part in slices(batch, 1):
                 ids, counts = token_ids(path, part.column(1))
                 own, at = [], 0
                 for n in counts.tolist():
