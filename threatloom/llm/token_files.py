@@ -10,8 +10,9 @@ there, number of documents. A look-up hashes the key to a file, a slot and a fin
 one place of a shard. Only a ``doc_id`` that occurs in several shards has more than one run.
 
 A task writes files under names of its own; the stored table of runs names those that count, so
-files of a lost attempt are never read. Shards are cut from ranges of the order (doc_id, number of
-ids, hash of the ids, row), so a ``doc_id`` with a third of all rows is many shards.
+files of a lost attempt are never read. Each task writes a range of ids; where one ``doc_id`` holds
+several cuts of the ranges, its documents are dealt to all of them by a hash of the row's place, so
+an id with a third of all rows is many shards.
 
 Null and empty texts are the end id alone. Rows without a ``doc_id`` come first and share the
 key of a missing id. Repeated rows are documents each; an id that is asked for repeatedly is
@@ -52,6 +53,10 @@ INDEX_KEYS = 500_000
 INDEX_FILES = 64
 #: Bytes of words whose ids a worker keeps; beyond it starts anew.
 CACHE_BYTES = 64_000_000
+#: Most tasks that write.
+MAX_TASKS = 10_000
+#: The place of a missing id: before all others.
+_MISSING = -1e300
 #: Documents that are read at once.
 READ_DOCS = 1_024
 
@@ -179,7 +184,7 @@ def token_ids(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _encoding(path: str, end_id: int):
-    """Arrow function: (doc_id, text) to doc_id, number of ids, ids."""
+    """Arrow function: (doc_id, text, task) to doc_id, task, number of ids, ids."""
 
     def run(batches):
         for batch in batches:
@@ -190,7 +195,8 @@ def _encoding(path: str, end_id: int):
                     own.append(narrow(np.append(ids[at : at + n], np.uint32(end_id))))
                     at += n
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(counts + 1), pa.array(own, pa.binary())], ["doc_id", "n", "ids"]
+                    [part.column(0), part.column(2), pa.array(counts + 1), pa.array(own, pa.binary())],
+                    ["doc_id", "task", "n", "ids"],
                 )
 
     return run
@@ -365,18 +371,13 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, shard_ids:
     folder = new_folder(spark, "token-ids")
     folder = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
     rows = docs.select(named(docs, "doc_id").cast("bigint").alias("doc_id"), named(docs, "text").alias("text"))
-    encoded = stored(
-        rows.mapInArrow(_encoding(tokenizer_path, end_id), "doc_id bigint, n bigint, ids binary")
-        .withColumn("same", F.xxhash64("ids"))
-        .withColumn("row", F.monotonically_increasing_id()),
-        "encoded",
-    )
-    total = encoded.agg(F.sum("n")).first()[0] or 0
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_ids))
-    order = [F.col(c) for c in ("doc_id", "n", "same", "row")]
+    tasks = min(MAX_TASKS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions()))
+    task = _range_of(F.col("doc_id"), _cuts(rows.select("doc_id"), tasks), F.monotonically_increasing_id())
     runs = stored(
-        encoded.repartitionByRange(tasks, *order)
-        .sortWithinPartitions(*order)
+        rows.withColumn("task", task)
+        .mapInArrow(_encoding(tokenizer_path, end_id), "doc_id bigint, task int, n bigint, ids binary")
+        .repartitionById(tasks, "task")
+        .sortWithinPartitions("doc_id", "n")
         .mapInArrow(
             _writing(folder, shard_ids),
             "doc_id bigint, shard bigint, file string, first bigint, docs bigint, n_ids bigint",
@@ -394,6 +395,26 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, shard_ids:
     return TokenFiles(folder, _shards(runs), indexes, dealt, tasks)
 
 
+def _cuts(ids: DataFrame, tasks: int) -> list[float]:
+    """Where the ranges of ids end: ascending, a value as often as it takes the place of a cut."""
+    if tasks < 2:
+        return []
+    value = F.coalesce(F.col("doc_id").cast("double"), F.lit(_MISSING)).alias("value")
+    return sorted(ids.select(value).approxQuantile("value", [i / tasks for i in range(1, tasks)], 0.1 / tasks))
+
+
+def _range_of(doc_id: Column, cuts: list[float], row: Column) -> Column:
+    """The range of an id. One that equals several cuts has the ranges between them to itself and is
+    dealt to all of these; any other goes with what is above the last cut that it reaches."""
+    value = F.coalesce(doc_id.cast("double"), F.lit(_MISSING))
+    ends = F.array(*[F.lit(c) for c in cuts]).cast("array<double>")
+    below = F.size(F.filter(ends, lambda c: c < value))
+    equal = F.size(F.filter(ends, lambda c: c == value))
+    shared = (equal > 1) & ((F.abs(value) < 2.0**53) | (value == _MISSING))
+    dealt = below + 1 + F.pmod(F.xxhash64(row), F.greatest(equal - 1, F.lit(1)))
+    return F.when(shared, dealt).otherwise(below + equal).cast("int")
+
+
 def _keyed(rows: DataFrame, dealt: int) -> DataFrame:
     key = _key(F.col("doc_id"))
     number = F.pmod(F.xxhash64(key), F.lit(dealt)).cast("int")
