@@ -14,8 +14,6 @@ output and form. Repeated rows get equal results. Columns beside ``doc_id`` and
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -115,7 +113,7 @@ def _cutting(error: int):
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, batch.schema.get_field_index("text")):
+            for part in slices(batch, batch.schema.get_field_index("text"), 1_000_000):
                 texts = part.column("text").cast(pa.large_binary()).to_pylist()
                 forms, firsts, seconds = (part.column(c).to_pylist() for c in ("form", "first", "second"))
                 outputs, segments, sizes = [], [], []
@@ -162,9 +160,17 @@ def infilled(
 
 def restored(output: Column, form: Column) -> Column:
     """The text that an output was made of."""
-    parts = F.split(output, "|".join(re.escape(mark) for mark in (PREFIX, SUFFIX, MIDDLE)), -1)
+
+    def parts(mark: str) -> tuple[Column, Column, Column]:
+        """What lies between the first mark and this one, up to the last mark, and after it."""
+        first = F.substring(F.split_part(output, F.lit(mark), F.lit(1)), len(mark) + 1, 2**31 - 1)
+        rest = F.split_part(output, F.lit(mark), F.lit(2))
+        return first, F.split_part(rest, F.lit(MIDDLE), F.lit(1)), F.split_part(rest, F.lit(MIDDLE), F.lit(2))
+
+    prefix, suffix, middle = parts(SUFFIX)
+    late_suffix, late_prefix, late_middle = parts(PREFIX)
     return (
-        F.when(form == PSM, F.concat(F.get(parts, F.lit(1)), F.get(parts, F.lit(3)), F.get(parts, F.lit(2))))
-        .when(form == SPM, F.concat(F.get(parts, F.lit(2)), F.get(parts, F.lit(3)), F.get(parts, F.lit(1))))
+        F.when(form == PSM, F.concat(prefix, middle, suffix))
+        .when(form == SPM, F.concat(late_prefix, late_middle, late_suffix))
         .otherwise(output)
     )
