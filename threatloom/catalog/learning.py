@@ -22,6 +22,7 @@ from threatloom.functions.severity import scan_severity
 from threatloom.operators import evaluation as E
 from threatloom.operators import models
 from threatloom.operators.neighbours import balance_classes, nearest_neighbours
+from threatloom.operators.projection_forest import forest_neighbours
 from threatloom.plans import scanning, training
 from threatloom.plans.preprocess import preprocess_malware
 
@@ -44,6 +45,40 @@ NEAREST = """with pairs as (
 select vec_id, cast(rank as int) as rank, round(distance, 5) as distance from pairs where rank <= 5"""
 
 
+def neighbour_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per class how many neighbours the forest gives, how many of them no row is nearer than in the exact
+    search, and whether those are nine tenths."""
+    vectors = S.vectors(spark, sf_dir)
+    found = forest_neighbours(vectors, "vec_id", "embedding", group="malware")
+    exact = [
+        nearest_neighbours(vectors.where(F.col("malware") == c), "vec_id", "embedding").select(
+            "vec_id", "neighbour", F.lit(True).alias("hit")
+        )
+        for c in (0, 1)
+    ]
+    both = found.join(exact[0].union(exact[1]), ["vec_id", "neighbour"], "left")
+    counted = both.join(vectors.select("vec_id", "malware"), "vec_id").groupBy("malware").agg(
+        F.count("*").alias("neighbours"), F.min("distance").alias("least"), F.count_if("hit").alias("hits")
+    )
+    return counted.select(
+        "malware", "neighbours", F.round("least", 5).alias("least"),
+        (F.col("hits") >= 0.9 * F.col("neighbours")).alias("recalled"),
+    )
+
+
+#: The nearest pair of a class is found whatever a tree parts, and 0.9 is the recall that is promised.
+NEIGHBOUR_RECALL = """with vectors as (
+  select vec_id, cast(label = 0 as int) as malware, cast(embedding as double[]) as v from embeddings
+), nearest as (
+  select a.malware, min(list_distance(a.v, b.v)) as least
+  from vectors a join vectors b on a.malware = b.malware and a.vec_id < b.vec_id group by a.malware
+), sizes as (
+  select malware, count(*) as n from vectors group by malware
+)
+select malware, n * least(5, n - 1) as neighbours, round(least, 5) as least, true as recalled
+from sizes join nearest using (malware)"""
+
+
 def balanced_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per class after oversampling, and how many of them lie within the range of their class's
     own rows, as every row between two of them must."""
@@ -419,6 +454,7 @@ from documents where text is not null"""
 
 QUERIES = {
     "nearest_neighbours": (nearest, NEAREST),
+    "neighbour_recall": (neighbour_recall, NEIGHBOUR_RECALL),
     "balanced_classes": (balanced_classes, BALANCED_CLASSES),
     "pca_norms": (pca_norms, PCA_NORMS),
     "pca_variance": (pca_variance, PCA_VARIANCE),

@@ -10,12 +10,15 @@ those only. Cells compare rows as matrix blocks; pairs are never written out.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from threatloom.operators.joins import checked_broadcast
+from threatloom.operators.projection_forest import forest_neighbours
 from threatloom.operators.ranking import row_numbers
 from threatloom.session import shared_folder
 
@@ -226,28 +229,26 @@ def _best(found: DataFrame, id: str, k: int) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def synthetic_minority(
-    minority: DataFrame, id: str, vector: str, needed: int, k: int = 5, seed: int = 42
+def _between(
+    points: DataFrame, id: str, vector: str, label: str, neighbours: DataFrame, wanted: DataFrame, seed: int
 ) -> DataFrame:
-    """``needed`` new vectors between a minority row and one of its k nearest minority rows.
+    """New vectors between a row and one of its neighbours: as many for a label as ``wanted`` says.
 
-    Every row is the base of an equal number of new ones, and the first rows in hash
-    order of one more. The neighbour and the place between both come from hashes, so a
-    task that runs again gives the same rows.
+    ``wanted`` has the label, its number of rows ``n`` and the number ``needed``. Every row is the
+    base of an equal number of new ones, and the first rows of a label in hash order of one more.
+    The neighbour and the place between both come from hashes, so a task that runs again gives the
+    same rows.
     """
-    size = minority.count()
-    if size < 2:
-        raise ValueError("oversampling needs at least two minority rows")
-    each, rest = divmod(needed, size)
-    points = minority.select(id, F.col(vector).cast("array<double>").alias("vector"))
-    neighbours = nearest_neighbours(points, id, "vector", k)
     by_rank = neighbours.groupBy(id).agg(
         F.sort_array(F.collect_list(F.struct("rank", "neighbour"))).alias("near")
     )
     order = F.xxhash64(F.lit(seed), F.col(id))
-    copies = F.lit(each) + (F.col("__at") <= rest).cast("int")
+    sizes = wanted.select(F.col(label).alias("__label"), "n", "needed")
+    each = F.floor(F.col("needed") / F.col("n"))
+    copies = each + (F.col("__at") <= F.col("needed") - each * F.col("n")).cast("int")
     bases = (
-        row_numbers(points, [], order, "__at", ties=[id])
+        row_numbers(points, [label], order, "__at", ties=[id])
+        .join(checked_broadcast(sizes), F.col(label).eqNullSafe(F.col("__label")))
         .withColumn("__copies", copies)
         .where("__copies > 0")
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
@@ -260,34 +261,60 @@ def synthetic_minority(
     picked = bases.withColumn(
         "neighbour", F.col("near")[F.pmod(draw(1), F.size("near")).cast("int")]["neighbour"]
     ).withColumn("gap", F.pmod(draw(2), F.lit(1 << 30)) / float(1 << 30))
-    others = points.select(F.col(id).alias("neighbour"), F.col("vector").alias("__near_vector"))
+    others = points.select(F.col(id).alias("neighbour"), F.col(vector).alias("__near_vector"))
     between = F.zip_with(
-        "vector", "__near_vector", lambda a, b: a + F.col("gap") * (b - a)
+        vector, "__near_vector", lambda a, b: a + F.col("gap") * (b - a)
     )
     return picked.join(others, "neighbour").select(
-        F.col(id).alias("base"), "neighbour", "copy", "gap", between.alias(vector)
+        F.col(id).alias("base"), "neighbour", "copy", "gap", label, between.alias(vector)
     )
 
 
-def balance_classes(
-    df: DataFrame, id: str, vector: str, label: str, k: int = 5, seed: int = 42
+def synthetic_minority(
+    minority: DataFrame, id: str, vector: str, needed: int, k: int = 5, seed: int = 42
 ) -> DataFrame:
-    """All rows plus synthetic ones, so that each class is as large as the largest."""
-    sizes = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}
-    largest = max(sizes.values())
-    result = df.select(
-        F.col(vector).cast("array<double>").alias(vector), label, F.lit(False).alias("synthetic")
+    """``needed`` new vectors between a minority row and one of its k nearest minority rows, searched exactly."""
+    size = minority.count()
+    if size < 2:
+        raise ValueError("oversampling needs at least two minority rows")
+    points = minority.select(id, F.col(vector).cast("array<double>").alias("vector"), F.lit(0).alias("__class"))
+    neighbours = nearest_neighbours(points, id, "vector", k)
+    wanted = points.sparkSession.createDataFrame([(0, size, needed)], "__class int, n bigint, needed bigint")
+    return (
+        _between(points, id, "vector", "__class", neighbours, wanted, seed)
+        .drop("__class")
+        .withColumnRenamed("vector", vector)
     )
-    for value, size in sizes.items():
-        if size < largest:
-            new = synthetic_minority(
-                df.where(F.col(label) == F.lit(value)), id, vector, largest - size, k, seed
-            )
-            result = result.unionByName(
-                new.select(
-                    vector,
-                    F.lit(value).cast(df.schema[label].dataType).alias(label),
-                    F.lit(True).alias("synthetic"),
-                )
-            )
-    return result
+
+
+def balance_classes(
+    df: DataFrame, id: str, vector: str, label: str, k: int = 5, seed: int = 42, exact: bool = False
+) -> DataFrame:
+    """All rows plus synthetic ones, so that each class is as large as the largest.
+
+    All classes are searched and filled in the same jobs. Neighbours come from a forest of
+    random-projection trees, whose work grows with the rows; ``exact`` compares the rows of each
+    class by pivots instead, class by class.
+    """
+    rows = df.select(F.col(id), F.col(vector).cast("array<double>").alias(vector), label)
+    shared_folder(df.sparkSession)
+    counts = rows.groupBy(label).agg(F.count("*").alias("n")).checkpoint()
+    largest = counts.agg(F.max("n")).first()[0] or 0
+    wanted = counts.where(F.col("n") < largest).withColumn("needed", F.lit(largest) - F.col("n"))
+    if wanted.where("n < 2").take(1):
+        raise ValueError("oversampling needs at least two minority rows")
+    small = wanted.select(F.col(label).alias("__label"))
+    points = rows.join(
+        checked_broadcast(small), F.col(label).eqNullSafe(F.col("__label")), "left_semi"
+    ).checkpoint()
+    if exact:
+        labels = [r[0] for r in small.collect()]
+        parts = [nearest_neighbours(points.where(F.col(label).eqNullSafe(F.lit(v))), id, vector, k) for v in labels]
+        found = reduce(DataFrame.unionByName, parts) if parts else None
+    else:
+        found = forest_neighbours(points, id, vector, k, label)
+    kept = rows.select(vector, label, F.lit(False).alias("synthetic"))
+    if found is None:
+        return kept
+    new = _between(points, id, vector, label, found, wanted, seed)
+    return kept.unionByName(new.select(vector, label, F.lit(True).alias("synthetic")))
