@@ -14,7 +14,10 @@ from threatloom.plans.traffic import packets_to_features
 from threatloom.operators.models import fit_traffic_model
 from threatloom.session import new_folder
 from threatloom.sources.datasets import read_flow_features
-from threatloom.streaming import pipelines
+from threatloom.streaming import ledger, pipelines
+
+#: Files in which the packets of ``stream_units`` arrive.
+ARRIVALS = 5
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +69,40 @@ from numbered where batch_id < total // 1000
 group by batch_id, src_ip, src_port, dst_ip, dst_port"""
 
 
+def stream_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets of three sensors arrive in files of their own length; units of 1000 packets of a sensor
+    are cut as they fill, across files, and their connections are read by the ledger."""
+    ordered = S.packets(spark, sf_dir).withColumn("sensor", (F.substring_index("src_ip", ".", -1).cast("int") % 3).cast("string"))
+    captured, features, progress = (new_folder(spark, name) for name in ("arrivals", "units", "units-progress"))
+    last = ordered.agg(F.max("seq")).first()[0] or 0
+    for part in range(ARRIVALS):  # one file after the other, as a capture writes them
+        span = ordered.where((F.col("seq") * ARRIVALS >= part * (last + 1)) & (F.col("seq") * ARRIVALS < (part + 1) * (last + 1)))
+        span.coalesce(1).write.mode("append").parquet(captured)
+    pipelines.flows_from_capture(spark, captured, features, progress, files_per_trigger=1).awaitTermination()
+    return ledger.read_finished(spark, features).select(
+        "unit", "connection_key", F.round("duration", 6).alias("duration"), "src_bytes", "dst_bytes", "land",
+        "wrong_fragment", "urgent",
+    )
+
+
+STREAM_UNITS = f"""with {S.PACKETS}, sensors as (
+  select *, cast(split_part(src_ip, '.', 4) as int) % 3 as sensor from packets
+), numbered as (
+  select *, (row_number() over (partition by sensor order by seq) - 1) // 1000 as unit,
+    count(*) over (partition by sensor) as total
+  from sensors
+)
+select sensor || '-' || unit as unit, src_ip || '_' || src_port || '_' || dst_ip || '_' || dst_port as connection_key,
+  round((max_by(us, seq) - min_by(us, seq)) / 1000000.0, 6) as duration,
+  cast(sum(ip_len) as bigint) as src_bytes,
+  case when src_ip = dst_ip then cast(sum(ip_len) as bigint) else min_by(ip_len, seq) end as dst_bytes,
+  cast(src_ip = dst_ip and src_port = dst_port as int) as land,
+  count_if(icmp_inner_ip) - cast(min_by(icmp_inner_ip, seq) as int) as wrong_fragment,
+  count_if(proto = 'tcp' and urgptr <> 0) - cast(min_by(proto = 'tcp' and urgptr <> 0, seq) as int) as urgent
+from numbered where unit < total // 1000
+group by sensor, numbered.unit, src_ip, src_port, dst_ip, dst_port"""
+
+
 def _threat_lines(spark: SparkSession, sf_dir: str) -> str:
     """``events`` written as a threat log; returns its folder."""
     iso = F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
@@ -194,6 +231,7 @@ from packets group by src_ip, src_port, dst_ip, dst_port"""
 
 QUERIES = {
     "stream_flows": (stream_flows, STREAM_FLOWS),
+    "stream_units": (stream_units, STREAM_UNITS),
     "stream_threat_index": (stream_threat_index, STREAM_THREAT_INDEX),
     "stream_once": (stream_once, STREAM_ONCE),
     "stream_window_counts": (stream_window_counts, STREAM_WINDOW_COUNTS),

@@ -17,6 +17,7 @@ def connection_events(
     confidence: Column | None = None,
     model: str = "RandomForest",
     version: str = "v1.0",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """One event per classified connection. Confidence is the model's, or the log's constants."""
     attack = F.col(attack_type)
@@ -30,6 +31,7 @@ def connection_events(
         (log_confidence(attack) if confidence is None else confidence).alias("confidence"),
         F.lit(model).alias("model"),
         F.lit(version).alias("model_version"),
+        *keep,
     )
 
 

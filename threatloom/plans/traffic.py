@@ -62,10 +62,11 @@ def classify(features: DataFrame, model: PipelineModel) -> DataFrame:
 
 
 def threat_events(
-    classified: DataFrame, host_name: str, model_confidence: bool = True, version: str = "v1.0"
+    classified: DataFrame, host_name: str, model_confidence: bool = True, version: str = "v1.0", keep: tuple[str, ...] = ()
 ) -> DataFrame:
+    """An event per classified connection, with the columns ``keep`` beside it."""
     confidence: Column | None = F.col("confidence") if model_confidence else None
-    return threats.connection_events(classified, host_name, confidence=confidence, version=version)
+    return threats.connection_events(classified, host_name, confidence=confidence, version=version, keep=keep)
 
 
 def summary(classified: DataFrame) -> DataFrame:

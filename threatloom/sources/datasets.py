@@ -86,8 +86,8 @@ def read_nsl_kdd(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.NSL_KDD).csv(path, header=False).drop("difficulty")
 
 
-def read_flow_features(spark: SparkSession, path: str) -> DataFrame:
-    """A flow feature file, its columns renamed by position to the model's names."""
+def read_flow_features(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Flow feature files, their columns renamed by position to the model's names."""
     return (
         spark.read.schema(schemas.FLOW_EXPORT)
         .option("recursiveFileLookup", "true")

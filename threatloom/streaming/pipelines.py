@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from threatloom import schemas
+from threatloom.fixed_values import PACKET_BATCH
 from threatloom.functions.times import normalise_time
 from threatloom.operators import flows, threats
 from threatloom.operators.models import score_traffic
 from threatloom.plans.traffic import threat_events
+from threatloom.sources.datasets import read_flow_features
 from threatloom.sources.files import stream_packets, stream_threat_log
+from threatloom.streaming.ledger import LINE, finish, follow, is_finished, ledger_of, with_units
+from threatloom.streaming.units import UNIT, unit_packets
 
 # State on local disk with snapshots in the checkpoint, so that it may outgrow memory;
 # sessions of one key merge within a task before they are shuffled.
@@ -53,6 +58,37 @@ def _start_stateful(
                 spark.conf.set(name, value)
 
 
+def _folder_name(text: Column) -> Column:
+    """A unit as the name of a folder: its readable end, and a hash where that is not all of it."""
+    plain = F.regexp_replace(text, "[^A-Za-z0-9_.-]", "_")
+    return F.when((plain == text) & (F.length(text) <= 80), text).otherwise(
+        F.concat(F.substring(plain, -80, 80), F.lit("-"), F.md5(text))
+    )
+
+
+def _unit_writer(spark: SparkSession, output: str, ledger: str, keys: list[str]):
+    """Write the connections of whole units, and enter them in the ledger last."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if is_finished(spark, ledger, batch_id):
+            return
+        found = flows.connection_flows(batch, keys)
+        unit = _folder_name(F.concat_ws("-", *keys))
+        folder = f"{output}/batch={batch_id}"
+        flows.flow_export(found.withColumn("unit", unit), "unit").repartition("unit").write.mode(
+            "overwrite"
+        ).partitionBy("unit").csv(folder, header=True)
+        try:
+            written = spark.read.schema(f"{schemas.FLOW_EXPORT}, unit string").csv(folder, header=True)
+        except AnalysisException as error:  # no unit, no file
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+        else:
+            finish(written, ledger, batch_id)
+
+    return write
+
+
 def flows_from_packets(
     spark: SparkSession,
     packets: str,
@@ -61,20 +97,75 @@ def flows_from_packets(
     every: str | None = None,
     file_format: str = "parquet",
     unit: str | None = None,
+    ledger: str | None = None,
 ) -> StreamingQuery:
-    """Connections of each capture unit, as feature files.
+    """Connections of each capture unit, as feature files in a folder for each micro-batch and unit.
 
     A connection is counted within one unit: a packet file, or the values of a column
-    (``unit``, as "name type") of files that hold whole units. Each micro-batch owns a
-    folder, which a repeated batch replaces.
+    (``unit``, as "name type") of files that hold whole units.
     """
     key = unit.split()[0] if unit else "source_file"
+    stream = stream_packets(spark, packets, file_format, extra=unit)
+    write = _unit_writer(spark, output, ledger or ledger_of(output), [key])
+    return _start(stream.writeStream.foreachBatch(write), checkpoint, every)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        found = flows.connection_flows(batch, [key])
-        flows.flow_export(found).write.mode("overwrite").csv(f"{output}/unit={batch_id}", header=True)
 
-    stream = stream_packets(spark, packets, file_format, extra=unit)
+def flows_from_capture(
+    spark: SparkSession,
+    packets: str,
+    output: str,
+    checkpoint: str,
+    sensor: str = "sensor string",
+    size: int = PACKET_BATCH,
+    every: str | None = None,
+    file_format: str = "parquet",
+    files_per_trigger: int = 1000,
+    ledger: str | None = None,
+) -> StreamingQuery:
+    """Connections of units of ``size`` packets, cut from each sensor's packets as they arrive.
+
+    ``sensor`` is the column that tells sensors apart, as "name type". A unit is given out by the
+    micro-batch that fills it, whole.
+    """
+    key = sensor.split()[0]
+    stream = stream_packets(spark, packets, file_format, files_per_trigger, extra=sensor).drop("source_file")
+    write = _unit_writer(spark, output, ledger or ledger_of(output), [key, UNIT])
+    writer = unit_packets(stream, key, size).writeStream.foreachBatch(write)
+    return _start_stateful(spark, writer, checkpoint, every)
+
+
+def scores_from_units(
+    spark: SparkSession,
+    feature_files: str,
+    model: PipelineModel,
+    output: str,
+    checkpoint: str,
+    host_name: str,
+    every: str | None = None,
+    ledger: str | None = None,
+) -> StreamingQuery:
+    """Threat events of the connections of finished units, with their ``unit``, in a folder for each micro-batch.
+
+    Follows the ledger of the stream that writes the units. A micro-batch that runs again replaces its
+    folder, so each connection has one event however often either stream starts anew.
+    """
+    scored_ledger = ledger_of(output)
+
+    def write(lines: DataFrame, batch_id: int) -> None:
+        if is_finished(spark, scored_ledger, batch_id):
+            return
+        named = lines.collect()  # files of a micro-batch, whose number the trigger bounds
+        if not named:
+            return
+        features = read_flow_features(spark, [r["file"] for r in named])
+        units = F.broadcast(spark.createDataFrame(named, LINE).select("file", "unit"))
+        scored = score_traffic(with_units(features, units), model)
+        events = threat_events(scored.withColumnRenamed("predicted_attack", "attack_type"), host_name, keep=("unit",))
+        folder = f"{output}/batch={batch_id}"
+        events.write.mode("overwrite").parquet(folder)
+        finish(spark.read.parquet(folder), scored_ledger, batch_id)
+
+    stream = follow(spark, ledger or ledger_of(feature_files))
     return _start(stream.writeStream.foreachBatch(write), checkpoint, every)
 
 
