@@ -113,10 +113,10 @@ def _random_connections(n, hosts, span, seed):
     return rows
 
 
-@pytest.mark.parametrize("block", [2.0, 7.0, 1000.0])
-def test_time_windows_match_brute_force(spark, block):
+@pytest.mark.parametrize("blocks", [1, 7, 60])
+def test_time_windows_match_brute_force(spark, blocks):
     rows = _random_connections(300, 5, 60, 1)
-    found = flows.time_window_features(packets(spark, rows), 2.0, block)
+    found = flows.time_window_features(packets(spark, rows), 2.0, blocks)
     got = {r["seq"]: r for r in found.collect()}
     assert len(got) == len(rows)
     for r in rows:
@@ -133,6 +133,28 @@ def test_time_windows_match_brute_force(spark, block):
         assert g["srv_diff_host_rate"] == pytest.approx(1 - len(both) / len(srv))
 
 
+def test_one_service_with_most_rows_is_many_blocks(spark, monkeypatch):
+    """Nine tenths of the rows are one service; no block of running totals has more than its share."""
+    from threatloom.operators import ranking
+
+    seen = []
+    shift = ranking.shift_by_blocks
+
+    def watched(df, keys, sums):
+        seen.append((keys, max(r["n"] for r in df.groupBy(*keys, ranking.BLOCK).agg(F.count("*").alias("n")).collect()), df.count()))
+        return shift(df, keys, sums)
+
+    monkeypatch.setattr(ranking, "shift_by_blocks", watched)
+    connections = spark.range(6000).select(
+        F.timestamp_micros(F.col("id") * 50_000).alias("ts"), F.concat(F.lit("h"), F.col("id") % 50).alias("dst_ip"),
+        F.when(F.col("id") % 10 == 0, "dns").otherwise("http").alias("service"), F.lit("SF").alias("conn_state"),
+    )
+    found = flows.time_window_features(connections, 2.0, 30).where("service = 'http'")
+    assert found.agg(F.max("srv_count")).first()[0] == 37 and found.count() == 5400
+    keys, most, rows = next(s for s in seen if s[0] == ["service"])
+    assert most <= 2 * rows / 30
+
+
 @pytest.mark.parametrize("block", [5, 9, 10_000])
 def test_host_windows_match_brute_force(spark, block):
     rows = _random_connections(200, 3, 60, 2)

@@ -15,7 +15,8 @@ from threatloom.fixed_values import (
     PACKET_BATCH,
 )
 from threatloom.functions.connections import connection_key, land, port_or_zero
-from threatloom.operators.ranking import row_numbers
+from threatloom.operators.ranking import row_numbers, running_sums
+from threatloom.session import shared_folder
 
 CONNECTION = ["src_ip", "src_port", "dst_ip", "dst_port"]
 
@@ -106,99 +107,75 @@ def _floor_div(value: Column, step: int) -> Column:
 
 
 def _recent_sums(
-    counts: DataFrame, host: list[str], inner: list[str], names: dict[str, str], width: int, block: int
+    counts: DataFrame, keys: list[str], names: dict[str, str], width: int, blocks: int | None
 ) -> DataFrame:
-    """Sums over the last ``width`` microseconds per ``host`` and per ``host + inner``.
+    """Per key and time the sums over the last ``width`` microseconds, the ends of the span included.
 
-    Each count enters at its time and leaves just after ``width``; a running sum over
-    these steps is the sliding count, with work linear in the rows. Time is cut into
-    blocks (at least ``width`` long, so that a count reaches one block further at most)
-    and a count still alive at the end of its block is carried into the next. A host
-    with a third of all connections is so spread over as many tasks as it has blocks.
+    A sum over a span is the difference of two running totals: the one at the row's time and the
+    one just before the span. Rows ask for the latter with a mark at the span's beginning, so one
+    pass over the times of a key answers both. Running totals are cut into blocks of about equal
+    numbers of rows, whatever their key; a key with most of all rows is as many tasks as its blocks.
     """
-    t = F.col("__t")
-    here, there = _floor_div(t, block), _floor_div(t + width, block)
-    values = list(names)
-
-    def step(at_block: Column, time: Column, kind: int, sign: int) -> Column:
-        return F.struct(
-            at_block.alias("__b"),
-            time.alias("__at"),
-            F.lit(kind).alias("__kind"),
-            F.lit(sign).alias("__sign"),
-        )
-
-    # kind: 0 carried in, 1 enters, 2 leaves; a count still holds at exactly t + width.
-    enter, leave = step(here, t, 1, 1), step(there, t + width, 2, -1)
-    carried = step(there, there * block, 0, 1)
-    steps = F.when(here == there, F.array(enter, leave)).otherwise(F.array(enter, carried, leave))
-    rows = counts.withColumn("__step", F.explode(steps)).select("*", "__step.*").drop("__step")
-    by_host = Window.partitionBy(*host, "__b").orderBy("__at", "__kind")
-    by_both = Window.partitionBy(*host, "__b", *inner).orderBy("__at", "__kind")
-    signed = {v: F.col(v) * F.col("__sign") for v in values}
-    summed = rows.withColumns(
-        {
-            **{names[v]: F.sum(signed[v]).over(by_host) for v in values},
-            "__same": F.sum(signed["__n"]).over(by_both),
-        }
+    per_time = counts.groupBy(*keys, "__t").agg(*[F.sum(v).alias(v) for v in names])
+    # Times as even numbers and marks just before them: a mark comes before the rows of its own time.
+    now = F.struct((F.col("__t") * 2).alias("__at"), F.lit(1).alias("__sign"))
+    before = F.struct(((F.col("__t") - width) * 2 - 1).alias("__at"), F.lit(-1).alias("__sign"))
+    steps = per_time.withColumn("__step", F.explode(F.array(now, before))).select("*", "__step.*").drop("__step")
+    entering = {v: F.when(F.col("__sign") == 1, F.col(v)).otherwise(0) for v in names}
+    totals = running_sums(steps, keys, F.col("__at"), {f"__upto{v}": entering[v] for v in names}, blocks=blocks)
+    return totals.groupBy(*keys, "__t").agg(
+        *[F.sum(F.col(f"__upto{v}") * F.col("__sign")).alias(name) for v, name in names.items()]
     )
-    return summed.where(F.col("__kind") == 1).drop("__b", "__at", "__kind", "__sign")
 
 
-def time_window_features(
-    connections: DataFrame, seconds: float = 2.0, block_seconds: float | None = None
-) -> DataFrame:
+def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """An inner join on keys that may be null."""
+    other = right.withColumnsRenamed({c: f"__key{c}" for c in keys})
+    condition = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__key{c}")) for c in keys])
+    return left.join(other, condition).drop(*[f"__key{c}" for c in keys])
+
+
+def time_window_features(connections: DataFrame, seconds: float = 2.0, blocks: int | None = None) -> DataFrame:
     """Add the nine features over the connections of the last ``seconds``.
 
     ``connections`` has ``ts``, ``dst_ip``, ``service`` and ``conn_state`` (S0: SYN
     error, REJ: rejected). Connections alike in time, host and service are counted
-    together first.
+    together first, and all three kinds of sums read those counts.
     """
     width = int(seconds * 1_000_000)
-    block = int((block_seconds or max(60.0, 8 * seconds)) * 1_000_000)
-    if block < width:
-        raise ValueError("a block must be at least as long as the window")
     rows = connections.withColumn("__t", F.unix_micros(F.col("ts")))
     group = ["__t", "dst_ip", "service"]
-    counts = rows.groupBy(*group).agg(
-        F.count("*").alias("__n"),
-        F.count_if(F.col("conn_state") == "S0").alias("__syn"),
-        F.count_if(F.col("conn_state") == "REJ").alias("__rej"),
-    )
-    host = _recent_sums(
-        counts,
-        ["dst_ip"],
-        ["service"],
-        {"__n": "count", "__syn": "__host_syn", "__rej": "__host_rej"},
-        width,
-        block,
+    shared_folder(connections.sparkSession)
+    counts = (
+        rows.groupBy(*group)
+        .agg(
+            F.count("*").alias("__n"),
+            F.count_if(F.col("conn_state") == "S0").alias("__syn"),
+            F.count_if(F.col("conn_state") == "REJ").alias("__rej"),
+        )
+        .checkpoint()
     )
-    host = host.withColumns(
+    host = {"__n": "count", "__syn": "__host_syn", "__rej": "__host_rej"}
+    service = {"__n": "srv_count", "__syn": "__srv_syn", "__rej": "__srv_rej"}
+    found = counts.drop("__n", "__syn", "__rej")
+    for keys, names in (
+        (["dst_ip"], host), (["service"], service), (["dst_ip", "service"], {"__n": "__same"}),
+    ):
+        found = _joined(found, _recent_sums(counts, keys, names, width, blocks), [*keys, "__t"])
+    same_host, same_service = F.col("__same") / F.col("count"), F.col("__same") / F.col("srv_count")
+    measured = found.withColumns(
         {
             "serror_rate": F.col("__host_syn") / F.col("count"),
             "rerror_rate": F.col("__host_rej") / F.col("count"),
-            "same_srv_rate": F.col("__same") / F.col("count"),
-            "diff_srv_rate": 1 - F.col("__same") / F.col("count"),
-        }
-    ).drop("__host_syn", "__host_rej", "__same")
-    both = _recent_sums(
-        host,
-        ["service"],
-        ["dst_ip"],
-        {"__n": "srv_count", "__syn": "__srv_syn", "__rej": "__srv_rej"},
-        width,
-        block,
-    )
-    both = both.withColumns(
-        {
+            "same_srv_rate": same_host,
+            "diff_srv_rate": 1 - same_host,
             "srv_serror_rate": F.col("__srv_syn") / F.col("srv_count"),
             "srv_rerror_rate": F.col("__srv_rej") / F.col("srv_count"),
-            "srv_diff_host_rate": 1 - F.col("__same") / F.col("srv_count"),
+            "srv_diff_host_rate": 1 - same_service,
         }
-    ).drop("__srv_syn", "__srv_rej", "__same", "__n", "__syn", "__rej")
-    keyed = both.withColumnsRenamed({c: f"__key{c}" for c in group})
-    condition = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__key{c}")) for c in group])
-    return rows.join(keyed, condition).drop(*[f"__key{c}" for c in group], "__t")
+    )
+    hidden = ["__same", *[n for n in [*host.values(), *service.values()] if n.startswith("__")]]
+    return _joined(rows, measured.drop(*hidden), group).drop("__t")
 
 
 def host_window_features(connections: DataFrame, last: int = 100, block: int = 10_000) -> DataFrame:

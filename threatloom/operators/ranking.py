@@ -19,18 +19,21 @@ from threatloom.session import default_blocks, shared_folder
 BLOCK = "__block"
 _ORDER = "__order"
 CUT_SAMPLE_ROWS = 1_000_000
+#: Rows of a block where the caller names no number of blocks, and the most blocks that are cut.
+BLOCK_ROWS, MAX_BLOCKS = 1_000_000, 20_000
 
 
-def range_cuts(df: DataFrame, column: str, blocks: int) -> list[float]:
-    """At most ``blocks - 1`` ascending cut points; their number, not the data, sets the size.
+def range_cuts(df: DataFrame, column: str, blocks: int | None) -> list[float]:
+    """At most ``blocks - 1`` ascending cut points; without a number, blocks of ``BLOCK_ROWS`` rows.
 
     Large inputs are sampled for this, as a range shuffle does. That moves the cuts a
     little and with them the balance of the blocks, never a result.
     """
     values = df.select(column).where(F.col(column).isNotNull())
-    rows = values.count() if blocks > 1 else 0
+    rows = values.count() if blocks != 1 else 0
     if rows == 0:
         return []
+    blocks = blocks or min(MAX_BLOCKS, max(default_blocks(df.sparkSession), -(-rows // BLOCK_ROWS)))
     if rows > CUT_SAMPLE_ROWS:
         values = values.sample(CUT_SAMPLE_ROWS / rows, seed=42)
     probabilities = [i / blocks for i in range(1, blocks)]
@@ -40,7 +43,6 @@ def range_cuts(df: DataFrame, column: str, blocks: int) -> list[float]:
 
 def with_blocks(df: DataFrame, order: Column, blocks: int | None = None) -> DataFrame:
     """Add a block number that never falls as the order column rises; equal values share a block."""
-    blocks = blocks or default_blocks(df.sparkSession)
     tagged = df.withColumn(_ORDER, order.cast("double"))
     cuts = range_cuts(tagged, _ORDER, blocks)
     if not cuts:
