@@ -11,7 +11,7 @@ from threatloom.functions import files as names
 from threatloom.functions import pe
 from threatloom.functions.scoring import fixed_prediction
 from threatloom.functions.text import count_token, latin1_text
-from threatloom.operators import corpus, threats
+from threatloom.operators import corpus, features, threats
 
 # Words that occur in the test texts, next to the fixed API names.
 TOKENS = [*API_TOKENS, "Error", "license", "tion", "there", "Copyright"]
@@ -220,6 +220,45 @@ union all
 select doc_id, '.bss' as section, 64 as raw_size, 0.0::double as entropy from documents"""
 
 
+_VECTOR = [
+    "Machine", "SizeOfCode", "SectionsNb", "size", "file_size", "num_sections", "has_resources", "section_.text_size",
+    "section_.text_entropy", "section_.bss_size", "section_.bss_entropy", "section_.rsrc_size", "url_count",
+    "num_imports", "import_kernel32.dll", *TOKENS, "never seen there",
+]
+
+
+def file_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector a model of these columns would see of each executable: header, structure, sections,
+    strings, imports and token counts from one read; columns that nothing measures are 0."""
+    numbers = S.table(spark, sf_dir, "documents").select("doc_id").where("doc_id % 2 = 0")
+    imports = numbers.select(
+        F.concat(F.lit("/bin/"), "doc_id", F.lit(".exe")).alias("file"),
+        F.explode(F.array(F.lit("KERNEL32.dll"), F.lit("kernel32.dll"), F.lit("ole32.dll"))).alias("dll"),
+        F.lit("symbol").alias("symbol"),
+    )
+    found = features.file_features(S.programs(spark, sf_dir), _VECTOR, "doc_id", "path", imports=imports)
+    return found.drop("path").withColumn("section_.text_entropy", F.round("`section_.text_entropy`", 6))
+
+
+def _file_features_sql() -> str:
+    plus, size = "doc_id % 2 = 1", "octet_length(encode(text))"
+    whole = f"{size} + 64 + 64 + 24 + 2 * 40 + case when {plus} then 240 else 224 end"
+
+    def count(token):
+        return f"(length(text) - length(replace(text, '{token}', ''))) // {len(token)}"
+
+    values = {
+        "Machine": f"case when {plus} then {0x8664} else {0x14C} end", "SizeOfCode": size, "SectionsNb": 2, "size": whole,
+        "file_size": whole, "num_sections": 2, "has_resources": "cast(doc_id % 3 > 0 as int)", "section_.text_size": size,
+        "section_.text_entropy": "entropy", "section_.bss_size": 64, "url_count": f"{count('http://')} + {count('https://')}",
+        "num_imports": "case when doc_id % 2 = 0 then 2 else 0 end",
+        "import_kernel32.dll": "case when doc_id % 2 = 0 then 2 else 0 end", **{t: count(t) for t in TOKENS},
+    }
+    columns = ", ".join(f'cast({values.get(c, 0)} as double) as "{c}"' for c in _VECTOR)
+    return f"""with entropies as ({CONTENT_ENTROPY})
+select doc_id, {columns} from documents join entropies using (doc_id)"""
+
+
 def import_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` as an import table: orders are files, line numbers DLLs, parts symbols."""
     dlls = F.array(*[F.lit(d.upper()) for d in COMMON_DLLS], F.lit("ntdll.dll"), F.lit("gdi32.dll"), F.lit("ole32.dll"))
@@ -309,6 +348,7 @@ QUERIES = {
     "content_entropy": (content_entropy, CONTENT_ENTROPY),
     "pe_headers": (pe_headers, _pe_headers_sql()),
     "section_features": (section_features, SECTION_FEATURES),
+    "file_features": (file_features, _file_features_sql()),
     "import_features": (import_features, IMPORT_FEATURES),
     "scan_events": (scan_events, SCAN_EVENTS),
     "mixed_log": (mixed_log, MIXED_LOG),

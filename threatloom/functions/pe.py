@@ -104,6 +104,38 @@ def has_resources(df: DataFrame, content: str = "content") -> DataFrame:
     )
 
 
+def with_section_table(df: DataFrame, content: str = "content") -> DataFrame:
+    """Add ``sections``: name, claimed raw size, and where its bytes lie in the contents (start, held),
+    for every section whose table row the file has; null where the file is not PE."""
+    body, total = F.col(content), V.SECTION_HEADER_BYTES
+    counted = with_header(df, content).withColumns(
+        {
+            "__count": header_number(4 + V.COFF_SECTION_COUNT[1], 2),
+            "__table": F.col("pe_offset") + _COFF_BYTES + header_number(4 + 16, 2),
+        }
+    )
+    end = F.length(body).cast("bigint")
+    whole = F.greatest(F.lit(0), F.least(F.col("__count"), F.floor((end - F.col("__table")) / total)))
+
+    def row(i: Column) -> Column:
+        start = (F.col("__table") + i * total).cast("int")
+        entry = reversed_hex(F.substr(body, start + 1, F.lit(total)), total)
+        name = F.decode(F.substr(body, start + 1, F.lit(8)), "ISO-8859-1")
+        raw_size = unsigned(little_endian(entry, total, 16, 4), 4)
+        raw_offset = unsigned(little_endian(entry, total, 20, 4), 4)
+        begin = F.least(raw_offset, end)
+        return F.struct(
+            F.regexp_replace(name, r"^\x00+|\x00+$", "").alias("name"),
+            raw_size.alias("raw_size"),
+            begin.alias("start"),
+            F.least(raw_size, end - begin).alias("held"),
+        )
+
+    numbers = F.when(whole > 0, F.sequence(F.lit(0), whole.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    table = F.when(F.col("__count").isNotNull(), F.transform(numbers, row))
+    return counted.withColumn("sections", table).drop(*HEADER_COLUMNS, "__count", "__table")
+
+
 def sections(df: DataFrame, key: str, content: str = "content") -> DataFrame:
     """One row per section of PE files: position, name, raw size and raw bytes."""
     body = F.col(content)

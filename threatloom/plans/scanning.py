@@ -11,8 +11,8 @@ from threatloom.functions import files, pe
 from threatloom.functions.scoring import fixed_prediction
 from threatloom.operators import corpus as corpus_ops
 from threatloom.operators import threats
+from threatloom.operators.features import file_features
 from threatloom.operators.models import score_malware
-from threatloom.operators.quality import align
 
 
 def admitted(corpus: DataFrame, max_mb: int = V.MAX_FILE_MB) -> DataFrame:
@@ -22,13 +22,23 @@ def admitted(corpus: DataFrame, max_mb: int = V.MAX_FILE_MB) -> DataFrame:
     return checked.where(F.col("allowed") & F.col("valid")).drop("allowed", "valid", "reason")
 
 
-def scan(corpus: DataFrame, model: PipelineModel, columns: list[str], threshold: float = V.SERVING_THRESHOLD) -> DataFrame:
+def scan(
+    corpus: DataFrame,
+    model: PipelineModel,
+    columns: list[str],
+    threshold: float = V.SERVING_THRESHOLD,
+    imports: DataFrame | None = None,
+    prefix_bytes: int | None = None,
+) -> DataFrame:
     """A verdict per admitted file: by name for the antivirus test file, "unsupported" for files
-    that are not PE, and by the model for the rest."""
-    known = pe.is_pe(admitted(corpus))
-    described = pe.header_fields(known).withColumn("file_hash", files.file_hash(F.col("content")))
+    that are not PE, and by the model for the rest.
+
+    The model sees the whole feature vector of a file, aligned to the columns it was fitted on.
+    ``features_analyzed`` is their number.
+    """
+    known = pe.is_pe(admitted(corpus)).withColumn("file_hash", files.file_hash(F.col("content")))
     keep = ["path", "filename", "length", "file_hash", "is_pe"]
-    features, _, _ = align(described.drop("content", "modificationTime"), columns, *keep)
+    features = file_features(known, columns, *keep, imports=imports, prefix_bytes=prefix_bytes)
     scored = score_malware(features, model, threshold).select(*keep, "prediction")
     eicar = F.lower("filename") == V.EICAR_NAME
     return scored.select(
@@ -41,6 +51,7 @@ def scan(corpus: DataFrame, model: PipelineModel, columns: list[str], threshold:
         .otherwise(F.col("prediction"))
         .alias("prediction"),
         F.when(~eicar & ~F.col("is_pe"), V.UNSUPPORTED_WARNING).alias("warning"),
+        F.lit(len(columns)).alias("features_analyzed"),
     )
 
 
