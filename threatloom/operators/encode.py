@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import SQLTransformer
+from pyspark.ml.param import Param
+from pyspark.ml.util import (
+    DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter,
+    MLReadable, MLReader, MLWritable, MLWriter,
+)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threatloom.operators.joins import checked_broadcast
 from threatloom.operators.quality import quoted
 from threatloom.operators.ranking import codes_in_order
+from threatloom.session import shared_folder
 
 # Fixed value: the category of a null.
 NULL_TEXT = "nan"
@@ -29,19 +36,109 @@ def decode_classes(df: DataFrame, mapping: DataFrame, code: str, name: str) -> D
     return df.join(checked_broadcast(lookup), F.col(code) == F.col("__code")).drop("__code")
 
 
-def encode_categoricals(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Replace text columns by their codes 0..n-1 in alphabetical order; null is the text ``nan``.
+def category_table(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column``, ``category`` and ``code`` (0 to n-1 in alphabetical order) of every text column,
+    from one pass over the rows; null is the text ``nan``."""
+    pairs = [
+        F.struct(F.lit(c).alias("column"), F.coalesce(quoted(c).cast("string"), F.lit(NULL_TEXT)).alias("category"))
+        for c in columns
+    ]
+    long = df.select(F.explode(F.array(*pairs)).alias("pair"))
+    placed = codes_in_order(long, "pair", "place").select("place", "pair.column", "pair.category")
+    first = placed.groupBy("column").agg(F.min("place").alias("first"))
+    codes = placed.join(F.broadcast(first), "column")  # a row for each column
+    return codes.select("column", "category", (F.col("place") - F.col("first")).alias("code"))
+
+
+class CategoryEncoder(Estimator, DefaultParamsReadable, DefaultParamsWritable):
+    """Learns the categories of text columns."""
+
+    def __init__(self, columns: list[str] | None = None, unseen: str = "next"):
+        super().__init__()
+        self.columns = Param(self, "columns", "text columns")
+        self.unseen = Param(self, "unseen", "what becomes of a category that was not learnt: next or error")
+        self._set(columns=columns or [], unseen=unseen)
+
+    def _fit(self, df: DataFrame) -> CategoryEncoderModel:
+        columns = self.getOrDefault("columns")
+        shared_folder(df.sparkSession)
+        table = category_table(df, columns).checkpoint() if columns else None
+        return CategoryEncoderModel(columns, self.getOrDefault("unseen"), table)
 
-    One way for any number of categories: the codes are joined, by broadcast where they are few.
+
+class CategoryEncoderModel(Model, MLWritable, MLReadable):
+    """Replaces text columns by the codes of their categories.
+
+    A category that was not learnt gets the code after the last one of its column, the same for all
+    such; with ``unseen="error"`` it is refused. The categories are a table, saved beside the
+    parameters and joined, by broadcast where they are few.
     """
-    for column in columns:
-        text = F.coalesce(quoted(column).cast("string"), F.lit(NULL_TEXT))
-        mapping = codes_in_order(df.select(text.alias("__label")), "__label", "__code")
-        joined = df.withColumn("__text", text).join(checked_broadcast(mapping), F.col("__text") == F.col("__label"))
-        df = joined.select(
-            *[F.col("__code").cast("bigint").alias(c) if c == column else quoted(c) for c in df.columns]
-        )
-    return df
+
+    def __init__(self, columns: list[str] | None = None, unseen: str = "next", table: DataFrame | None = None):
+        super().__init__()
+        self.columns = Param(self, "columns", "text columns")
+        self.unseen = Param(self, "unseen", "what becomes of a category that was not learnt: next or error")
+        self._set(columns=columns or [], unseen=unseen)
+        self.table = table
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        columns = self.getOrDefault("columns")
+        # A row for each column.
+        sizes = {r["column"]: r["n"] for r in self.table.groupBy("column").agg(F.count("*").alias("n")).collect()} if columns else {}
+        for column in columns:
+            mapping = self.table.where(F.col("column") == column).select(
+                F.col("category").alias("__label"), F.col("code").alias("__code")
+            )
+            text = F.coalesce(quoted(column).cast("string"), F.lit(NULL_TEXT))
+            joined = df.withColumn("__text", text).join(
+                checked_broadcast(mapping), F.col("__text") == F.col("__label"), "left"
+            )
+            if self.getOrDefault("unseen") == "error":
+                message = F.concat(F.lit(f"category of {column} was not learnt: "), F.col("__text"))
+                code = F.when(F.col("__label").isNull(), F.raise_error(message)).otherwise(F.col("__code"))
+            else:
+                code = F.coalesce("__code", F.lit(sizes.get(column, 0)))
+            df = joined.select(
+                *[code.cast("bigint").alias(c) if c == column else quoted(c) for c in df.columns]
+            )
+        return df
+
+    def write(self) -> MLWriter:
+        return _CategoryWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _CategoryReader()
+
+
+_TABLE = "column string, category string, code bigint"
+
+
+class _CategoryWriter(MLWriter):
+    def __init__(self, model: CategoryEncoderModel):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession)
+        table = self.model.table
+        if table is None:
+            table = self.sparkSession.createDataFrame([], _TABLE)
+        table.write.parquet(f"{path}/categories")
+
+
+class _CategoryReader(MLReader):
+    def load(self, path: str) -> CategoryEncoderModel:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model = CategoryEncoderModel(table=self.sparkSession.read.schema(_TABLE).parquet(f"{path}/categories"))
+        model._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(model, metadata)
+        return model
+
+
+def encode_categoricals(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Replace text columns by their codes 0..n-1 in alphabetical order; null is the text ``nan``."""
+    return CategoryEncoder(columns).fit(df).transform(df)
 
 
 def scaling_parameters(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
@@ -55,21 +152,28 @@ def scaling_parameters(df: DataFrame, columns: list[str]) -> dict[str, tuple[flo
     }
 
 
-def scaler_stage(parameters: dict[str, tuple[float, float]], prefix: str = "z_") -> SQLTransformer:
-    """A stage that can be saved in a pipeline and adds one scaled column per feature."""
+def scaler_stage(parameters: dict[str, tuple[float, float]], names: list[str] | None = None) -> SQLTransformer:
+    """A stage that can be saved in a pipeline and adds one scaled column per feature.
+
+    The scaled columns are ``z_`` and the feature's name, or the given names.
+    """
     columns = []
-    for name, (mean, scale) in parameters.items():
-        tick = name.replace("`", "``")
+    for (name, (mean, scale)), scaled in zip(parameters.items(), names or [f"z_{n}" for n in parameters]):
+        tick, alias = name.replace("`", "``"), scaled.replace("`", "``")
         columns.append(
-            f"(CAST(`{tick}` AS DOUBLE) - CAST('{mean!r}' AS DOUBLE)) / CAST('{scale!r}' AS DOUBLE)"
-            f" AS `{prefix}{tick}`"
+            f"(CAST(`{tick}` AS DOUBLE) - CAST('{mean!r}' AS DOUBLE)) / CAST('{scale!r}' AS DOUBLE) AS `{alias}`"
         )
     return SQLTransformer(statement=f"SELECT *, {', '.join(columns)} FROM __THIS__")
 
 
-def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
+def scaled_columns(df: DataFrame, stage: SQLTransformer, columns: list[str]) -> DataFrame:
     """Scaled values in place of the columns."""
-    scaled = scaler_stage(scaling_parameters(df, columns)).transform(df)
-    return scaled.select(
-        *[quoted(f"z_{c}").alias(c) if c in set(columns) else quoted(c) for c in df.columns]
+    wanted = set(columns)
+    return stage.transform(df).select(
+        *[quoted(f"z_{c}").alias(c) if c in wanted else quoted(c) for c in df.columns]
     )
+
+
+def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Values scaled by their own mean and deviation in place of the columns."""
+    return scaled_columns(df, scaler_stage(scaling_parameters(df, columns)), columns)

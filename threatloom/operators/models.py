@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import (
@@ -18,6 +20,7 @@ from threatloom.fixed_values import PCA_VARIANCE_TARGET, SERVING_THRESHOLD
 from threatloom.functions.scoring import prediction_struct
 from threatloom.operators.encode import scaler_stage, scaling_parameters
 from threatloom.operators.joins import training_rows
+from threatloom.operators.quality import quoted
 
 SEED = 42
 # Spark's deepest tree. The traffic forest is to grow without a limit.
@@ -32,10 +35,9 @@ def components_for(explained: list[float] | np.ndarray, target: float) -> int:
 
 def fit_scaled_vectors(df: DataFrame, columns: list[str], output: str = "scaled") -> list[Transformer]:
     """Stages from plain columns to one vector of scaled values."""
-    scaler = scaler_stage(scaling_parameters(df, columns))
-    assembler = VectorAssembler(
-        inputCols=[f"z_{c}" for c in columns], outputCol=output, handleInvalid="error"
-    )
+    names = [f"__scaled_{i}" for i in range(len(columns))]  # an assembler takes no names with dots
+    scaler = scaler_stage(scaling_parameters(df, columns), names)
+    assembler = VectorAssembler(inputCols=names, outputCol=output, handleInvalid="error")
     return [scaler, assembler]
 
 
@@ -138,7 +140,7 @@ def score_traffic(df: DataFrame, model: PipelineModel) -> DataFrame:
     at = F.col("prediction").cast("int") + 1
     return scored.withColumn(
         "confidence", F.element_at(vector_to_array("probability"), at)
-    ).select(*df.columns, "predicted_attack", "confidence")
+    ).select(*map(quoted, df.columns), "predicted_attack", "confidence")
 
 
 def rank_traffic(df: DataFrame, model: PipelineModel, top: int = 3) -> DataFrame:
@@ -165,15 +167,16 @@ def rank_traffic(df: DataFrame, model: PipelineModel, top: int = 3) -> DataFrame
         scored.withColumn("confidence", F.element_at(vector_to_array("probability"), at))
         .withColumn("all_probabilities", ranked)
         .withColumn("top_predictions", F.slice("all_probabilities", 1, top))
-        .select(*df.columns, "predicted_attack", "confidence", "top_predictions", "all_probabilities")
+        .select(*map(quoted, df.columns), "predicted_attack", "confidence", "top_predictions", "all_probabilities")
     )
 
 
-def case_summary(ranked: DataFrame, name: str) -> DataFrame:
+def case_summary(ranked: DataFrame, name: str, *keep: str) -> DataFrame:
     """One row per ranked case: prediction, confidence and the likeliest class."""
     first = F.col("all_probabilities")[0]
     return ranked.select(
         name,
+        *keep,
         "predicted_attack",
         "confidence",
         first["class"].alias("top_class"),
@@ -181,6 +184,18 @@ def case_summary(ranked: DataFrame, name: str) -> DataFrame:
     )
 
 
+def run_cases(groups: dict[str, DataFrame], model: PipelineModel, name: str = "name") -> DataFrame:
+    """Prediction, confidence and the likeliest class of every case of all groups, with its ``group``.
+
+    A group lacks what its cases need not say: a feature that no case of a group names is 0.
+    """
+    parts = [cases.withColumn("group", F.lit(group)) for group, cases in groups.items()]
+    together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    filled = together.na.fill(0)
+    ranked = rank_traffic(filled, model)
+    return case_summary(ranked, name, "group")
+
+
 def feature_importances(model: PipelineModel, columns: list[str]) -> DataFrame:
     """One row per feature, most important first."""
     values = forest_of(model).featureImportances.toArray()
@@ -217,7 +232,7 @@ def score_malware(df: DataFrame, model: PipelineModel, threshold: float = SERVIN
     rf = vector_to_array("rf_probability")[1]
     net = vector_to_array("net_probability")[1]
     return scored.withColumn("prediction", prediction_struct(rf, net, threshold)).select(
-        *df.columns, "prediction"
+        *map(quoted, df.columns), "prediction"
     )
 
 

@@ -13,7 +13,9 @@ from threatloom import schemas
 from threatloom.fixed_values import PCA_VARIANCE_TARGET, PLACEHOLDERS
 from threatloom.functions.labels import map_labels
 from threatloom.operators import quality
-from threatloom.operators.encode import encode_categoricals, standardise
+from threatloom.operators.encode import (
+    CategoryEncoder, encode_categoricals, scaled_columns, scaler_stage, scaling_parameters,
+)
 from threatloom.operators.models import apply_stages, fit_pca, fit_scaled_vectors, vector_columns
 from threatloom.operators.profile import cleaning_counts, drop_rare_classes
 
@@ -52,11 +54,35 @@ def encode_network(clean: DataFrame, label: str) -> DataFrame:
     return encode_categoricals(labelled, quality.non_numeric_columns(labelled, "y"))
 
 
-def preprocess_network(raw: DataFrame, dataset_name: str, last_is_label: bool = False) -> Prepared:
-    """Scaled features and ``y`` of an intrusion dataset."""
+def preprocess_network(
+    raw: DataFrame,
+    dataset_name: str,
+    last_is_label: bool = False,
+    stages: list | None = None,
+    training_columns: list[str] | None = None,
+) -> Prepared:
+    """Scaled features and ``y`` of an intrusion dataset, and the stages that made them.
+
+    With the stages and columns of an earlier run new rows are prepared alike: its category codes
+    (a category it has not seen gets the next one) and its means and deviations.
+    """
     clean, label, counts = clean_network(raw, last_is_label=last_is_label)
-    encoded = encode_network(clean, label)
-    features = [c for c in encoded.columns if c != "y"]
+    labelled = clean.withColumn("y", map_labels(clean, label)).drop(quality.quoted(label))
+    if stages is None:
+        encoder = CategoryEncoder(quality.non_numeric_columns(labelled, "y")).fit(labelled)
+        encoded = encoder.transform(labelled)
+        features = [c for c in encoded.columns if c != "y"]
+        stages = [encoder, scaler_stage(scaling_parameters(encoded, features))]
+    else:
+        if training_columns is None:
+            raise ValueError("stages need the columns of their run")
+        features = training_columns
+        texts = set(stages[0].getOrDefault("columns"))
+        known = [c for c in features if c in labelled.columns]
+        given = labelled.select(
+            *[quality.quoted(c) if c in known else F.lit("" if c in texts else 0).alias(c) for c in features], "y"
+        )
+        encoded = stages[0].transform(given)
     row = counts.first()
     summary = {
         "dataset_name": dataset_name,
@@ -67,7 +93,7 @@ def preprocess_network(raw: DataFrame, dataset_name: str, last_is_label: bool =
         "preprocessing_status": "Completed",
         "dropped_columns": quality.non_feature_columns(quality.trim_headers(raw).columns, label),
     }
-    return Prepared(standardise(encoded, features), summary, features=features)
+    return Prepared(scaled_columns(encoded, stages[1], features), summary, stages, features)
 
 
 def prepare_training(df: DataFrame) -> DataFrame:
