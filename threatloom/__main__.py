@@ -7,17 +7,19 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatloom.fixed_values import TRAFFIC_FEATURES
+from threatloom.fixed_values import PACKET_BATCH, TRAFFIC_FEATURES
 from threatloom.operators import evaluation, flows, models
 from threatloom.operators.encode import class_mapping
 from threatloom.operators.joins import training_rows
 from threatloom.operators.quality import align, non_numeric_columns, quoted, with_malware_label
 from threatloom.plans import preprocess, scanning, traffic, training
-from threatloom.session import build_session
+from threatloom.session import build_session, shared_folder
 from threatloom.sources import datasets, files, sinks
 from threatloom.streaming import pipelines
 
 KEY = "row_id"
+# What makes two lines of a threat log the same event.
+LOG_IDENTITY = ["@timestamp", "timestamp", "tool", "event_type", "host_name", "attack_type", "connection_key", "file_name", "file_hash"]
 
 
 def keyed(rows: DataFrame) -> DataFrame:
@@ -29,7 +31,10 @@ def prepare_intrusions(spark: SparkSession, a: argparse.Namespace) -> None:
     raw = datasets.read_nsl_kdd(spark, a.input) if a.dataset == "NSL-KDD" else datasets.read_csv(spark, a.input)
     if a.dataset == "NSL-KDD":
         raw = raw.withColumnRenamed("attack_type", "attack")
-    done = preprocess.preprocess_network(raw, a.dataset)
+    stages, columns = preprocess.load_model(spark, a.model) if a.mode == "test" else (None, None)
+    done = preprocess.preprocess_network(raw, a.dataset, stages=stages, training_columns=columns)
+    if a.model and a.mode == "train":
+        preprocess.save_model(spark, done.stages, done.features, a.model)
     done.data.write.mode("overwrite").parquet(f"{a.output}/data")
     sinks.write_summary(done.summary_frame(), f"{a.output}/summary")
 
@@ -56,6 +61,8 @@ def train_traffic(spark: SparkSession, a: argparse.Namespace) -> None:
     sinks.write_csv(class_mapping(rows, "attack_type"), f"{a.output}/class_mapping", "overwrite")
     pairs = training.evaluate_traffic(trained)
     sinks.write_csv(evaluation.classification_report(pairs), f"{a.output}/report", "overwrite")
+    sinks.write_csv(evaluation.overall_scores(pairs), f"{a.output}/scores", "overwrite")
+    sinks.write_csv(evaluation.confusion_matrix(pairs), f"{a.output}/confusion", "overwrite")
     sinks.write_csv(evaluation.severity_scores(pairs), f"{a.output}/severity", "overwrite")
     sinks.write_csv(models.feature_importances(trained.model, columns), f"{a.output}/importance", "overwrite")
 
@@ -76,7 +83,7 @@ def train_malware(spark: SparkSession, a: argparse.Namespace) -> None:
     preprocess.save_model(spark, trained.model.stages, columns, a.model)
     found = training.evaluate_malware(trained.model, trained.test)
     for scorer in ("rf", "net"):
-        sinks.write_csv(training.malware_metrics(found, scorer), f"{a.output}/{scorer}_report", "overwrite")
+        write_verdict_scores(found, scorer, a.output)
         sinks.write_csv(evaluation.roc_curve(found, "malware", f"{scorer}_score"), f"{a.output}/{scorer}_roc", "overwrite")
 
 
@@ -87,14 +94,37 @@ def evaluate_malware(spark: SparkSession, a: argparse.Namespace) -> None:
     found = training.evaluate_malware(model, rows)
     sinks.write_csv(found.select("actual", "rf_verdict", "net_verdict"), f"{a.output}/verdicts", "overwrite")
     for scorer in ("rf", "net"):
-        sinks.write_csv(training.malware_metrics(found, scorer), f"{a.output}/{scorer}_report", "overwrite")
+        write_verdict_scores(found, scorer, a.output)
+
+
+def write_verdict_scores(found: DataFrame, scorer: str, output: str) -> None:
+    """Report, accuracy and weighted scores, confusion matrix and area under the curve of one scorer."""
+    pairs = evaluation.pair_counts(found, "actual", f"{scorer}_verdict")
+    sinks.write_csv(evaluation.classification_report(pairs), f"{output}/{scorer}_report", "overwrite")
+    sinks.write_csv(evaluation.overall_scores(pairs), f"{output}/{scorer}_scores", "overwrite")
+    sinks.write_csv(evaluation.confusion_matrix(pairs), f"{output}/{scorer}_confusion", "overwrite")
+    sinks.write_csv(evaluation.roc_auc(found, "malware", f"{scorer}_score"), f"{output}/{scorer}_auc", "overwrite")
+
+
+def run_cases(spark: SparkSession, a: argparse.Namespace) -> None:
+    """CSV files of named cases, one file for each group, whose name is the file's."""
+    model, columns = preprocess.load_pipeline(spark, a.model)
+    cases = datasets.read_csv(spark, a.input)
+    group = F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]*)", 1)
+    rows = cases.select("*", group.alias("group"))
+    aligned, _, _ = align(rows, columns, "name", "group")
+    ranked = models.rank_traffic(aligned, model)
+    sinks.write_csv(models.case_summary(ranked, "name", "group"), a.output, "overwrite")
 
 
 def scan(spark: SparkSession, a: argparse.Namespace) -> None:
     model, columns = preprocess.load_pipeline(spark, a.model)
-    verdicts = scanning.scan(files.read_corpus(spark, a.input), model, columns)
+    shared_folder(spark)
+    verdicts = scanning.scan(files.read_corpus(spark, a.input), model, columns).checkpoint()  # three logs read it
     sinks.write_threat_log(scanning.events(verdicts), f"{a.output}/threat_log")
     sinks.write_analysis(scanning.shown(verdicts), f"{a.output}/results")
+    lines = sinks.analysis_log(verdicts, F.col("features_analyzed"))
+    sinks.write_analysis_log(lines, f"{a.output}/analysis_log")
 
 
 def flow_features(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -115,15 +145,51 @@ def stream_flows(spark: SparkSession, a: argparse.Namespace) -> None:
     pipelines.flows_from_packets(spark, a.input, a.output, a.progress, a.every).awaitTermination()
 
 
+def stream_capture(spark: SparkSession, a: argparse.Namespace) -> None:
+    pipelines.flows_from_capture(
+        spark, a.input, a.output, a.progress, f"{a.sensor} string", a.unit_size, a.every
+    ).awaitTermination()
+
+
 def stream_scores(spark: SparkSession, a: argparse.Namespace) -> None:
     model, _ = preprocess.load_pipeline(spark, a.model)
-    pipelines.scores_from_flows(spark, a.input, model, a.output, a.progress, a.host, a.every).awaitTermination()
+    start = pipelines.scores_from_flows if a.files == "plain" else pipelines.scores_from_units
+    start(spark, a.input, model, a.output, a.progress, a.host, a.every).awaitTermination()
 
 
 def index_log(spark: SparkSession, a: argparse.Namespace) -> None:
     pipelines.index_threat_log(spark, a.input, a.output, a.progress, a.every).awaitTermination()
 
 
+def log_events(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """The lines of a threat log with a time, as they arrive."""
+    return pipelines.with_event_time(files.stream_threat_log(spark, a.input)).where("not parse_failed")
+
+
+def index_once(spark: SparkSession, a: argparse.Namespace) -> None:
+    identity = [c for c in log_events(spark, a).columns if c in LOG_IDENTITY]
+    pipelines.index_once(
+        log_events(spark, a), identity, a.output, a.progress, late=a.late, every=a.every
+    ).awaitTermination()
+
+
+def window_counts(spark: SparkSession, a: argparse.Namespace) -> None:
+    ended(spark, a, lambda e: pipelines.counts_by_window(e, a.keys, a.output, a.progress, a.width, a.slide, late=a.late, every=a.every))
+
+
+def sessions(spark: SparkSession, a: argparse.Namespace) -> None:
+    ended(spark, a, lambda e: pipelines.sessions_by_key(e, a.keys, a.output, a.progress, a.gap, late=a.late, every=a.every))
+
+
+def ended(spark: SparkSession, a: argparse.Namespace, start) -> None:
+    """A stream with an interval goes on; with ``--ended`` its last windows come out, without they wait for more."""
+    events = log_events(spark, a)
+    if a.ended and not a.every:
+        pipelines.run_to_end(events, start, f"{a.progress}-end")
+    else:
+        start(events).awaitTermination()
+
+
 JOBS = {
     "prepare-intrusions": prepare_intrusions,
     "prepare-malware": prepare_malware,
@@ -135,8 +201,13 @@ JOBS = {
     "flow-features": flow_features,
     "classify-flows": classify_flows,
     "stream-flows": stream_flows,
+    "run-cases": run_cases,
+    "stream-capture": stream_capture,
     "stream-scores": stream_scores,
     "index-log": index_log,
+    "index-once": index_once,
+    "window-counts": window_counts,
+    "sessions": sessions,
 }
 
 
@@ -151,6 +222,15 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--host", default="sensor")
     parser.add_argument("--batch", default="0", help="name of the result folder of this batch")
     parser.add_argument("--progress", help="checkpoint folder of a stream")
+    parser.add_argument("--sensor", default="sensor", help="column that tells sensors apart")
+    parser.add_argument("--unit-size", type=int, default=PACKET_BATCH, help="packets of a capture unit")
+    parser.add_argument("--files", default="units", choices=["units", "plain"], help="feature files with a ledger, or any")
+    parser.add_argument("--keys", nargs="+", default=["severity"], help="columns that counts and sessions are by")
+    parser.add_argument("--width", default="1 hour")
+    parser.add_argument("--slide")
+    parser.add_argument("--gap", default="30 minutes")
+    parser.add_argument("--late", default="10 minutes", help="how late an event may come")
+    parser.add_argument("--ended", action="store_true", help="the stream is over: its last windows come out too")
     parser.add_argument("--every", help="interval of a stream; without one it stops at the end of its input")
     parsed = parser.parse_args(arguments)
     JOBS[parsed.job](build_session(f"threatloom {parsed.job}"), parsed)
