@@ -6,12 +6,13 @@ template's and other common ones, from the rest; taking away one backslash befor
 character gives the text back. A role's line ends are escaped the same way.
 
 Windows: prefix sums of turn tokens place the turns of a conversation on a line that is cut
-into cells of the budget for new turns. The turns that lie wholly in a cell are a span, and a
-turn that crosses a cell's end is a span of its own. A window is the system turn, the history
-(whole turns that begin within ``history`` tokens before the span) and the span. So a window
-stays within the budget unless a single turn does not fit; such a turn is kept whole. Only
-new assistant texts are under the loss mask; the system turn and the history are repeated
-with their targets masked.
+into cells of the budget for new turns. A turn's tokens are those of the turn as it is written, with
+its marks and role. The turns that lie wholly in a cell are a span, and a turn that crosses a cell's
+end is a span of its own. A window is the system turn, the history (whole turns that begin within
+``history`` tokens before the span) and the span. The span comes first: beside a long one there is
+less history, and no system turn where both do not fit. So a window stays within the budget unless
+a single turn exceeds it; such a turn is kept whole and alone. Only new assistant texts are
+under the loss mask; the system turn and the history are repeated with their targets masked.
 
 Spans follow from prefix sums alone, so a conversation with many turns is many small groups.
 Null text is empty, a null role is an empty role. Turns are ordered by turn (null first),
@@ -21,21 +22,21 @@ Columns beside ``conv_id``, ``turn``, ``role`` and ``text`` are not read.
 
 from __future__ import annotations
 
-import functools
 import re
 from hashlib import sha256
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threatloom.llm.common import named, stored
+from threatloom.llm.packing import token_ids
+from threatloom.llm.shingles import slices
 
 BUDGET = 1_024
 SYSTEM_BUDGET = 256
 HISTORY = 256
-#: Tokens that the template adds to a turn.
-TURN_TOKENS = 4
 #: Turn numbers that are summed in one group.
 TURN_BLOCK = 1_024
 
@@ -53,24 +54,15 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
 
 
-@functools.lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
-
-
 def _sized(path: str):
-    """Arrow function: appends the token count of the last column, the formatted turn."""
+    """Arrow function: (conv, turn, role, text, head, body) with the tokens of the turn as it is written."""
 
     def run(batches):
-        tokenizer = _tokenizer(path)
         for batch in batches:
-            encoded = tokenizer.encode_batch(batch.column(batch.num_columns - 1).to_pylist(), add_special_tokens=False)
-            counts = pa.array([len(e.ids) + TURN_TOKENS for e in encoded], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, counts], [*batch.schema.names, "tokens"])
+            for part in slices(batch, batch.schema.get_field_index("body"), 1_000_000):
+                written = pc.binary_join_element_wise(part.column("head"), part.column("body"), END, "")
+                _, counts = token_ids(path, written)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(counts)], [*part.schema.names, "tokens"])
 
     return run
 
@@ -78,8 +70,9 @@ def _sized(path: str):
 def formatted_turns(turns: DataFrame, tokenizer_path: str) -> DataFrame:
     """conv, at (0-based place), role, head, body (escaped), tokens and before (their prefix sum).
 
-    Turn tokens are added up per ``GROUP`` places first, so the sums of a long conversation
-    come from many tasks: places follow from range blocks of the turn numbers.
+    Turns are added up in blocks of ``TURN_BLOCK`` turn numbers, so the sums of a long conversation
+    come from many tasks. The tokens of a window are the sum of its turns': a turn ends with a line
+    end and the next begins with a mark, which no token of the template's tokenizers spans.
     """
     rows = turns.select(
         named(turns, "conv_id").cast("bigint").alias("conv"), named(turns, "turn").cast("bigint").alias("turn"),
@@ -131,7 +124,20 @@ def windows(
     cell = F.floor(F.col("before") / cell_size)
     crossing = F.floor((F.col("before") + F.col("tokens") - 1) / cell_size) > cell
     placed = stored(placed.withColumns({"cell": cell.cast("bigint"), "crossing": crossing}), "placed")
-    spans = placed.groupBy("conv", "cell", "crossing").agg(F.min("before").alias("begin"), F.min("at").alias("first"))
+    # The system turn is the first turn of a conversation, if it is one.
+    system = placed.where((F.col("at") == 0) & (F.col("role") == "system")).select(
+        F.col("conv").alias("c"), "role", "head", "body", "tokens"
+    )
+    sized = placed.groupBy("conv", "cell", "crossing").agg(
+        F.min("before").alias("begin"), F.min("at").alias("first"), F.sum("tokens").alias("own_tokens")
+    )
+    preceded = sized.join(
+        system.select(F.col("c"), F.col("tokens").alias("system_tokens")), F.col("conv").eqNullSafe(F.col("c")), "left"
+    ).drop("c")
+    room = F.lit(budget) - F.col("own_tokens")
+    retains = F.coalesce((F.col("first") > 0) & (F.col("system_tokens") <= room), F.lit(False))
+    left = room - F.when(retains, F.col("system_tokens")).otherwise(0)
+    spans = preceded.withColumns({"retains": retains, "reach": F.greatest(F.lit(0), F.least(F.lit(history), left))})
     # A turn is history of spans that begin after it, within reach: in its own cell or the next ones.
     reach = history // cell_size + 2
     cells = F.explode(F.sequence(F.col("cell"), F.col("cell") + F.lit(reach)))
@@ -141,7 +147,7 @@ def windows(
     )
     in_reach = (
         F.col("conv").eqNullSafe(F.col("c")) & (F.col("cell") == F.col("to")) & (F.col("a") < F.col("first"))
-        & (F.col("begin") - F.col("own") <= history)
+        & (F.col("begin") - F.col("own") <= F.col("reach"))
     )
     turn = F.struct("at", "role", "head", "body", "tokens", "new")
     repeated = spans.join(past, in_reach).where(F.col("role") != "system").select(
@@ -149,11 +155,7 @@ def windows(
             F.col("a").alias("at"), "role", "head", "body", "tokens", F.lit(False).alias("new")
         ).alias("turn"),
     )
-    # The system turn is the first turn of a conversation, if it is one.
-    system = placed.where((F.col("at") == 0) & (F.col("role") == "system")).select(
-        F.col("conv").alias("c"), "role", "head", "body", "tokens"
-    )
-    retained = spans.where(F.col("first") > 0).join(system, F.col("conv").eqNullSafe(F.col("c"))).select(
+    retained = spans.where("retains").join(system, F.col("conv").eqNullSafe(F.col("c"))).select(
         "conv", "cell", "crossing", F.struct(
             F.lit(0).cast("bigint").alias("at"), "role", "head", "body", "tokens", F.lit(False).alias("new")
         ).alias("turn"),

@@ -1,11 +1,12 @@
 """Language by compression: the language whose dictionary makes a text smallest.
 
 Each language has a dictionary of raw text from a bounded sample of labelled rows. A text is
-lower-cased, reduced to its letters, cut into chunks, and every chunk of it is encoded with
+lower-cased, reduced to its letters and their marks, cut into chunks, and every chunk of it is encoded with
 zstandard once for each language; the smallest sum wins. A margin below ``min_margin`` of the
 runner-up's size is no evidence, and the document is marked as rejected.
 
-Null text and text without letters: ``und``, score 0, rejected. With no labelled rows every
+A letter is a character of Unicode's category L, for fitting and predicting alike. Null text and
+text without letters: ``und``, score 0, rejected. With no labelled rows every
 text is ``und``. Equal sums go to the language that is first by code point, rejected.
 Repeated rows are predicted alike. Columns beside ``doc_id``, ``text`` and (for fitting)
 ``lang`` are not read.
@@ -13,31 +14,29 @@ Repeated rows are predicted alike. Columns beside ``doc_id``, ``text`` and (for
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threatloom.llm.common import ROW, named, unpacked, whole_row
-from threatloom.llm.packing import batch_rows
+from threatloom.llm.shingles import slices
 
-#: Labelled rows of a language that are sampled for its dictionary, by the order of a hash.
+#: The one bound of what is learned: labelled rows of a language whose whole texts may go into its
+#: dictionary, taken by the order of a hash until the dictionary is full.
 SAMPLE_ROWS = 400
-#: Languages that are learned at most, and how many samples are drawn to take the least hashes of.
-LANGUAGES = 256
+#: How many times the sample is drawn to take the least hashes of.
 OVERSAMPLE = 4
-#: Characters of a sampled row and bytes of a dictionary.
-SAMPLE_CHARS = 4_000
-DICTIONARY_BYTES = 65_536
+#: Bytes of a dictionary, and of all of them: of very many languages each has a smaller one.
+DICTIONARY_BYTES, ALL_BYTES = 65_536, 64_000_000
 CHUNK = 2_048
 MIN_MARGIN = 0.001
 UNKNOWN = "und"
 FOLDS = 5
 
-_OTHER = re.compile(r"[\W\d_]+")
+_OTHER, _LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -46,48 +45,59 @@ def held_out(doc_id: Column) -> Column:
 
 
 def letters(text: str) -> bytes:
+    """The words of a text in lower case; nothing if it has no letter."""
+    if not _LETTER.search(text):
+        return b""
     return _OTHER.sub(" ", text.lower()).strip().encode("utf-8", "replace")
 
 
-def _sampled(labelled: DataFrame, sample_rows: int, languages: int) -> DataFrame:
-    """lang, at (1 is the least hash) and text of at most ``sample_rows`` rows of each language.
+def _sampled(labelled: DataFrame, sample_rows: int) -> DataFrame:
+    """lang, order and text of at most about ``OVERSAMPLE`` times ``sample_rows`` rows of each language.
 
     Rows are counted by language first. Only rows whose hash lies below a share that holds
     about ``OVERSAMPLE`` times the sample are dealt by language, so what is dealt does not
-    grow with the rows of a language.
+    grow with the rows of a language; equal rows have one hash and are dealt once.
     """
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    # At most ``languages`` rows, the bound of the whole model: safe to broadcast.
-    counts = known.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(languages)
+    counts = known.groupBy("lang").agg(F.count("*").alias("rows"))
     order = F.xxhash64("doc_id", "text")
     share = (order / F.lit(2.0**64) + 0.5) * F.col("rows")
-    near = (
-        known.join(F.broadcast(counts), "lang").where(share <= OVERSAMPLE * sample_rows)
-        .select("lang", "doc_id", order.alias("order"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    return (
+        known.join(counts, "lang").where(share <= OVERSAMPLE * sample_rows)
+        .select("lang", order.alias("order"), "text")
+        .distinct()
     )
-    whole = Window.partitionBy("lang").orderBy("order", "doc_id")
-    return near.withColumn("at", F.row_number().over(whole)).where(F.col("at") <= sample_rows)
+
+
+def _filling(sample_rows: int, dictionary_bytes: int):
+    """Arrow function: the sampled rows of a language to its dictionary, row by row until it is full."""
+
+    def fill(group: pa.Table) -> pa.Table:
+        rows = sorted(zip(group.column("order").to_pylist(), range(group.num_rows)))[:sample_rows]
+        content = b""
+        for _, i in rows:
+            if len(content) >= dictionary_bytes:
+                break
+            content += (b" " if content else b"") + letters(group.column("text")[i].as_py())
+        return pa.table({"lang": group.column("lang").slice(0, 1), "content": [content[:dictionary_bytes]]})
+
+    return fill
 
 
 def fit(
-    labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, dictionary_bytes: int = DICTIONARY_BYTES,
-    languages: int = LANGUAGES,
+    labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, dictionary_bytes: int = DICTIONARY_BYTES, all_bytes: int = ALL_BYTES
 ) -> dict[str, bytes]:
     """Language to dictionary, from columns ``doc_id``, ``text`` and ``lang``.
 
-    ``sample_rows`` bounds what is learned from each language, whatever the input's size, and
-    ``languages`` the languages learned: those with the most rows, then by code point. The
-    most helpful content goes last, where zstandard reaches it cheapest; here all content is
-    alike, so the order is that of the hash.
+    ``sample_rows`` bounds what is learned from each language, whatever the input's size; every
+    labelled language is learned. Dictionaries are filled in the executors, and only they come to
+    the driver: ``all_bytes`` at most.
     """
-    sample = _sampled(labelled, sample_rows, languages)
-    texts: dict[str, list[tuple[int, str]]] = {}
-    for row in sample.select("lang", "at", "text").collect():
-        texts.setdefault(row["lang"], []).append((row["at"], row["text"]))
-    return {
-        lang: b" ".join(letters(text) for _, text in sorted(texts[lang]))[:dictionary_bytes]
-        for lang in sorted(texts)
-    }
+    sample = _sampled(labelled, sample_rows)
+    languages = labelled.agg(F.count_distinct("lang")).first()[0]
+    own = min(dictionary_bytes, all_bytes // max(1, languages))
+    filled = sample.groupBy("lang").applyInArrow(_filling(sample_rows, own), "lang string, content binary")
+    return {row["lang"]: bytes(row["content"]) for row in filled.orderBy("lang").collect()}
 
 
 def _compressors(dictionaries: dict[str, bytes]):
@@ -134,7 +144,7 @@ def _predicting(dictionaries: dict[str, bytes], min_margin: float):
     def run(batches):
         compressors, langs = _compressors(dictionaries), list(dictionaries)
         for batch in batches:
-            for part in batch_rows(batch, 1_000):
+            for part in slices(batch, batch.num_columns - 1):
                 answers = []
                 for text in part.column(part.num_columns - 1):
                     content = letters(text.as_py() or "")

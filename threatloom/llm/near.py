@@ -30,8 +30,10 @@ BANDS = 40
 BAND_ROWS = 5
 #: Rounds in which every bucket compares its members with one of them, before families.
 STAR_ROUNDS = 2
-#: Elements of a block in which the sets of a family are compared.
-BLOCK_ELEMENTS = 100_000
+#: Elements and rows of a block in which the sets of a family are compared.
+BLOCK_ELEMENTS, BLOCK_ROWS = 100_000, 2_000
+#: Sets indexed under an element up to which each set that has it is paired with all of them.
+GROUP_SETS = 64
 #: Copies of a family's row, so that the members of a large family meet it in several tasks.
 SALTS = 32
 
@@ -174,38 +176,96 @@ def _compared(percent: int):
     return run
 
 
-def _remaining_links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between members of different components, for all buckets that star rounds left open.
+def _prefixes(members: DataFrame, percent: int) -> DataFrame:
+    """element, set_id, component, n, at (from 1) and indexed: the rarest elements of each set, rarest first.
 
-    Buckets that share members are a family. In a family, whoever is outside the largest
-    component is a query; queries meet all members of the family in blocks of about
-    ``BLOCK_ELEMENTS`` elements, one task for each pair of blocks. No pair leaves its task
-    unless it is a link.
+    With elements in one order for all, a set and one that is at most as large can only be alike enough
+    if the larger one's first ``n - percent * n + 1`` elements and the smaller one's shorter indexed
+    prefix meet. Rare elements come first, so what many sets share is hardly ever in a prefix.
     """
-    edges = stored(
-        buckets.join(_open_buckets(buckets, F.col("set_id")), "key").select(
-            "set_id", "component", F.col("pivot.set_id").alias("pivot")
-        ).distinct(),
-        "open",
+    each = members.select("set_id", "component", F.size("elements").alias("n"), F.explode("elements").alias("element"))
+    shared = each.groupBy("element").agg(F.count("*").alias("sets")).where("sets > 1")
+    ordered = (
+        each.join(shared, "element", "left")
+        .groupBy("set_id", "component", "n")
+        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("sets", F.lit(1)).alias("sets"), "element"))).alias("own"))
     )
-    families = components(edges, "set_id", "pivot").select(
-        F.col("node").alias("set_id"), F.col("component").alias("family")
+    n = F.col("n")
+    probed = n - F.ceil(n * percent / 100.0 - 1e-9) + 1
+    indexed = n - F.ceil(n * 2 * percent / (100.0 + percent) - 1e-9) + 1
+    return (
+        ordered.select("set_id", "component", "n", F.posexplode(F.slice("own", 1, probed.cast("int"))).alias("at", "e"))
+        .where("e.sets > 1")
+        .select(F.col("e.element").alias("element"), "set_id", "component", "n", (F.col("at") + 1).alias("at"),
+                (F.col("at") < indexed).alias("indexed"))
+    )
+
+
+def _candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that meet in an element and whose sizes and places allow the similarity."""
+    small = rows.where("indexed").select(
+        "element", F.col("set_id").alias("other"), F.col("component").alias("other_component"),
+        F.col("n").alias("other_n"), F.col("at").alias("other_at"),
     )
-    members = stored(
-        edges.select("set_id", "component").distinct().join(families, "set_id").join(sets, "set_id"),
-        "members",
+    fits = (F.col("component") != F.col("other_component")) & (F.col("other_n") <= F.col("n"))
+    fits &= 100 * F.col("other_n") >= percent * F.col("n")
+    # No more than this one and what follows it in the shorter rest can be common.
+    most = F.least(F.col("n") - F.col("at"), F.col("other_n") - F.col("other_at")) + 1
+    fits &= (100 + percent) * most >= percent * (F.col("n") + F.col("other_n"))
+    return (
+        rows.select("element", "set_id", "component", "n", "at").join(small, "element").where(fits)
+        .select(F.least("set_id", "other").alias("first"), F.greatest("set_id", "other").alias("second"))
+        .distinct()
     )
+
+
+def _remaining_links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members of different components, for all buckets that star rounds left open.
+
+    Members meet in the rare elements of their prefixes. Where at most ``GROUP_SETS`` sets are indexed
+    under an element, each set that has it makes no more pairs than those. Elements under which more
+    are indexed are few; their sets are compared in blocks (``_links_in_blocks``).
+    """
+    wanted = buckets.join(_open_buckets(buckets, F.col("set_id")).select("key"), "key", "left_semi")
+    members = stored(wanted.select("set_id", "component").distinct().join(sets, "set_id"), "members")
+    rows = stored(_prefixes(members, percent), "prefixes")
+    met = (
+        rows.groupBy("element")
+        .agg(F.count_if("indexed").alias("sets"), F.min("component").alias("low"), F.max("component").alias("high"))
+        .where("sets > 0 and low < high")
+    )
+    few = rows.join(met.where(F.col("sets") <= GROUP_SETS).select("element"), "element", "left_semi")
+    pairs = stored(_candidates(few, percent), "pairs")
+    many = rows.join(met.where(F.col("sets") > GROUP_SETS).select("element"), "element", "left_semi")
+    families = stored(many.select(F.col("element").alias("family"), "set_id", "component").distinct(), "families")
+    found = _verified(pairs, sets, percent)
+    if families.isEmpty():
+        return found
+    return found.union(_links_in_blocks(families.join(sets, "set_id"), percent)).distinct()
+
+
+def _links_in_blocks(members: DataFrame, percent: int) -> DataFrame:
+    """Links within each family of sets (family, set_id, component, elements).
+
+    In a family, whoever is outside the largest component is a query; queries meet all members
+    of the family in blocks of about ``BLOCK_ELEMENTS`` elements and at most about ``BLOCK_ROWS``
+    sets, one task for each pair of blocks. No pair leaves its task unless it is a link.
+    """
+
+    def blocks_of(elements: Column, rows: Column) -> Column:
+        return F.greatest(F.ceil(elements / BLOCK_ELEMENTS), F.ceil(rows / BLOCK_ROWS)).cast("int")
+
     parts = members.groupBy("family", "component").agg(
         F.count("*").alias("rows"), F.sum(F.size("elements")).alias("n")
     )
+    order = F.struct("rows", "component")
     largest = parts.groupBy("family").agg(
-        F.max_by("component", F.struct("rows", "component")).alias("largest"),
-        F.ceil(F.sum("n") / BLOCK_ELEMENTS).cast("int").alias("blocks"),
-        F.ceil((F.sum("n") - F.max_by("n", F.struct("rows", "component"))) / BLOCK_ELEMENTS)
-        .cast("int").alias("query_blocks"),
+        F.max_by("component", order).alias("largest"),
+        blocks_of(F.sum("n"), F.sum("rows")).alias("blocks"),
+        blocks_of(F.sum("n") - F.max_by("n", order), F.sum("rows") - F.max_by("rows", order)).alias("query_blocks"),
     )
-    hashed = F.xxhash64("set_id")
     salted = largest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hashed = F.xxhash64("set_id")
     own_salt = F.pmod(F.xxhash64("set_id", F.lit("salt")), F.lit(SALTS)).cast("int")
     dealt = members.withColumn("salt", own_salt).join(salted, ["family", "salt"])
 

@@ -9,7 +9,8 @@ all is not full.
 Positions come from blocks of the order (see ``operators.ranking``); the curve's lower bits
 hold a hash of the document, so a large group of copies is cut into blocks like any other rows.
 
-Null or empty text: the end token alone. Repeated rows are packed each. Rows without a
+Ids are the tokenizer's own, its added tokens included where a text holds their strings. Null or
+empty text: the end token alone. Repeated rows are packed each. Rows without a
 ``doc_id`` are packed too and keep their null. A text longer than a segment is several rows
 with ids, so no row grows with a text. Other columns are not read.
 """
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 from array import array
 
 import numpy as np
@@ -39,8 +41,10 @@ DIMENSIONS = 64
 AXES = 3
 BITS = 10
 TIE_BITS = 22
-#: Pieces whose ids a worker keeps; beyond it starts anew.
-CACHE_PIECES = 400_000
+#: Bytes of pieces whose ids a worker keeps; beyond it starts anew.
+CACHE_BYTES = 96_000_000
+#: Ids of a block of the order.
+BLOCK_IDS = 8_000_000
 
 
 # Fixed value: how a byte-level tokenizer of this family parts a text before it merges bytes.
@@ -57,11 +61,11 @@ def byte_letters() -> dict[str, int]:
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str):
-    """The function from a text to its ids, for a tokenizer file; control strings are ordinary text.
+    """The function from a text to its ids, for a tokenizer file; its added tokens are tokens where a text holds them.
 
-    Where a merge's place in the file is the order of its id, the vocabulary holds all there
-    is to know, and tiktoken merges by it; it encodes short pieces several times faster and
-    gives the same ids. Any other tokenizer encodes by itself.
+    Where a merge's place in the file is the order of its id, and words are parted by the plain
+    pattern, the vocabulary holds all there is to know, and tiktoken merges by it; it encodes short
+    pieces several times faster and gives the same ids. Any other tokenizer encodes by itself.
     """
     with open(path, encoding="utf-8") as file:
         content = json.load(file)
@@ -69,50 +73,102 @@ def encoder(path: str):
     merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
     vocabulary = model["vocab"]
     made = [vocabulary.get("".join(pair)) for pair in merges]
-    byte_level = (content.get("pre_tokenizer") or {}).get("type") == "ByteLevel"
-    special = {token["content"] for token in content.get("added_tokens", [])}
-    if byte_level and not content.get("normalizer") and None not in made and made == sorted(made):
+    if is_plain(content) and None not in made and made == sorted(made):
         import tiktoken
 
+        special = {token["content"]: token["id"] for token in content["added_tokens"]}
         ranks = {
             bytes(letters[c] for c in piece): rank for piece, rank in vocabulary.items() if piece not in special
         }
-        return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encoding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        return functools.partial(encoding.encode, allowed_special="all")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 
-#: Path to the ids, as bytes, of the pieces seen so far in this process.
-_KNOWN: dict[str, dict[str, bytes]] = {}
+def is_plain(content: dict) -> bool:
+    """True for a byte-level tokenizer that changes nothing before or after and parts words by its usual
+    pattern, so that a text may be cut before the last space of every run."""
+    parting = content.get("pre_tokenizer") or {}
+    return (
+        parting.get("type") == "ByteLevel"
+        and not parting.get("add_prefix_space")
+        and parting.get("use_regex", True)
+        and not content.get("normalizer")
+        and (content.get("post_processor") or {}).get("type") in (None, "ByteLevel")
+        and not any(
+            t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or " " in t["content"]
+            for t in content.get("added_tokens", [])
+        )
+    )
+
+
+@functools.lru_cache(maxsize=2)
+def _cuttable(path: str) -> bool:
+    with open(path, encoding="utf-8") as file:
+        return is_plain(json.load(file))
+
+
+class _Known:
+    """Ids, as bytes, of the pieces seen so far in this process, bounded by bytes."""
+
+    def __init__(self):
+        self.ids: dict[str, bytes] = {}
+        self.held = 0
+
+
+_KNOWN: dict[str, _Known] = {}
 
 
 def _piece_ids(path: str, pieces: list[str]) -> list[bytes]:
-    encode, known = encoder(path), _KNOWN.setdefault(path, {})
-    if len(known) > CACHE_PIECES:
-        known.clear()
+    encode, known = encoder(path), _KNOWN.setdefault(path, _Known())
+    if known.held > CACHE_BYTES:
+        known.ids.clear()
+        known.held = 0
     for piece in pieces:
-        if piece not in known:
-            known[piece] = array("I", encode(piece)).tobytes()
-    return [known[piece] for piece in pieces]
+        if piece not in known.ids:
+            found = known.ids[piece] = array("I", encode(piece)).tobytes()
+            known.held += 200 + len(piece) + len(found)
+    return [known.ids[piece] for piece in pieces]
 
 
 _EMPTY, _SPACE = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
 
+# White space as the pattern above sees it. A run of it is one piece but for its last character.
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_PIECES = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?=[{_WHITE}][^{_WHITE}])|[{_WHITE}]+")
+#: Pieces of a text that are held at once.
+PIECES = 100_000
+
+
+def _run_ids(path: str, text: str) -> np.ndarray:
+    """Ids of a text with runs of white space, piece by piece."""
+    if not _cuttable(path):
+        return np.array(encoder(path)(text), dtype=np.uint32)
+    found, pieces = [], []
+    for match in _PIECES.finditer(text):
+        pieces.append(match[0])
+        if len(pieces) == PIECES:
+            found += _piece_ids(path, pieces)
+            found, pieces = [b"".join(found)], []
+    return np.frombuffer(b"".join([*found, *_piece_ids(path, pieces)]), dtype=np.uint32)
+
 
 def token_ids(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after another, and the number of ids of each text.
 
     A byte-level tokenizer of this kind never joins across a single space that precedes a
     word, so a text is cut there and each distinct piece is encoded once. Texts with doubled,
-    leading or trailing spaces are encoded whole.
+    leading or trailing spaces are cut by a pattern that keeps runs of white space together.
     """
     texts = pc.fill_null(texts, "")
     if pa.types.is_string(texts.type):
         texts = texts.cast(pa.large_string())
     odd = pc.match_substring_regex(texts, r"^ |  | $")
+    if not _cuttable(path):
+        odd = pa.array([True] * len(texts))
     plain = pc.if_else(odd, "", texts)
     lists = pc.split_pattern(plain, " ")
     offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
@@ -133,12 +189,11 @@ def token_ids(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     upto = np.concatenate([[0], ends])[offsets]
     counts = np.diff(upto)
     if pc.any(odd).as_py():
-        encode = encoder(path)
         parts, counts = [], counts.copy()
         for i, whole in enumerate(odd.to_pylist()):
             part = result[upto[i] : upto[i + 1]]
             if whole:
-                part = np.array(encode(texts[i].as_py()), dtype=np.uint32)
+                part = _run_ids(path, texts[i].as_py())
                 counts[i] = len(part)
             parts.append(part)
         result = np.concatenate(parts)
@@ -247,7 +302,8 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE) -> DataFr
         ),
         "segments",
     )
-    blocks = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    total = segments.agg(F.sum("n")).first()[0] or 0
+    blocks = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK_IDS))
     placed = running_sums(
         segments, [], F.col("place"), {"upto": F.col("n")}, ties=["doc_id", "start", "ids"], blocks=blocks
     ).select("doc_id", "start", "n", "doc_tokens", "ids", (F.col("upto") - F.col("n")).alias("position"))

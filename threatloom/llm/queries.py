@@ -87,12 +87,15 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_STOP_WORDS = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
+_STOP_WORDS = " ".join(
+    f"when '{lang}' then len(list_filter(letters, lambda x: x in ({', '.join(f"'{w}'" for w in own)})))"
+    for lang, own in quality.STOP_WORDS.items()
+)
 
 QUALITY = f"""with bodies as (
-  select doc_id, coalesce(text, '') as body from documents
+  select doc_id, lang, coalesce(text, '') as body from documents
 ), parted as materialized (
-  select doc_id, body, {_WORDS.format("body")} as w,
+  select doc_id, lang, body, regexp_split_to_array(lower(body), '[^\\p{{L}}]+') as letters, {_WORDS.format("body")} as w,
     list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines
   from bodies
 ), places as (
@@ -107,14 +110,14 @@ QUALITY = f"""with bodies as (
     length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')) as n_symbols,
     len(lines) as n_lines, len(lines) - len(list_distinct(lines)) as n_dup_lines,
     coalesce(n_repeat_words, 0) as n_repeat_words,
-    len(list_intersect(list_distinct(regexp_split_to_array(lower(body), '[^\\p{{L}}]+')), [{_STOP_WORDS}])) as stop_words
+    case lang {_STOP_WORDS} end as stop_words
   from parted p left join covered c on c.doc_id = p.doc_id
 ), judged as (
   select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from measures
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and n_words <= 1000000 and word_chars / n_words between 2.0 and 15.0
-    and n_symbols / n_words <= 0.3 and (n_words < 50 or stop_words >= 1)
+    and n_symbols / n_words <= 0.3 and (n_words < 50 or coalesce(stop_words / n_words >= 0.05, true))
     and coalesce(n_dup_lines / nullif(n_lines, 0), 0) <= 0.3 as kept
 from judged"""
 
@@ -129,9 +132,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = docs.select(
         "doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
     )
-    return sharding.sharded(records).select(
+    # Beside the columns asked for: where the map's next version puts each record with one more shard.
+    return sharding.sharded(records, grown=sharding.SHARDS + 1).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"),
+        F.lit(None).cast("int").alias("grown_shard"), "map_version", "next_version", "next_shard",
     )
 
 

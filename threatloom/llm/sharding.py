@@ -6,17 +6,19 @@ where a record goes. The first map deals slots, largest first, to the lightest s
 shards hold nearly equal bytes (law ``bytes``). Rebalancing edits a map: it moves as few slots
 as level the shards and stores the outcome as the next version; records are not hashed anew.
 
-Null ids are hashed as null, into one slot; repeated rows share a slot. Null text has no
-bytes. Every record counts one byte more than its text, so empty records spread as well.
+A record without an id is hashed whole; repeated rows share a slot. A null size counts as 0. Columns
+of the records may have any names; those that are named like a result are not kept.
 """
 
 from __future__ import annotations
 
 import heapq
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from threatloom.llm.common import ROW, named, whole_row
 from threatloom.session import new_folder
 
 SLOTS = 4_096
@@ -79,29 +81,62 @@ def store_map(spark: SparkSession, folder: str, version: int, slot_map: dict[int
     rows.coalesce(1).write.mode("errorifexists").parquet(f"{folder}/version={version}")
 
 
+def latest_version(spark: SparkSession, folder: str) -> int | None:
+    """The newest version of the map in a folder, or none."""
+    try:
+        return spark.read.parquet(folder).agg(F.max("version")).first()[0]
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 def read_map(spark: SparkSession, folder: str, version: int) -> DataFrame:
     return spark.read.schema("vslot int, shard int").parquet(f"{folder}/version={version}")
 
 
-def sharded(records: DataFrame, shards: int = SHARDS, slots: int = SLOTS, folder: str | None = None) -> DataFrame:
+RESULTS = ["shard", "slot", "vslot", "map_version"]
+
+
+def sharded(
+    records: DataFrame, shards: int = SHARDS, slots: int = SLOTS, folder: str | None = None, grown: int | None = None
+) -> DataFrame:
     """``records`` (with ``doc_id`` and ``size``) with shard, slot, vslot and map_version.
 
     ``slot`` is the record's place in its shard, gapless from 0: the rows of the shard's
-    earlier virtual slots come first, then those of its own by id.
+    earlier virtual slots come first, then those of its own by id. The folder's first version of
+    the map is written if it is not there. With ``grown``, a number of shards, the map is read,
+    edited for them and stored as the next version, and ``next_shard`` and ``next_version`` say
+    where records go then.
     """
     spark = records.sparkSession
-    hashed = records.withColumn("vslot", slot_of(F.col("doc_id"), slots))
+    doc_id = named(records, "doc_id")
+    whole = F.xxhash64(*[named(records, c) for c in records.columns])
+    key = F.when(doc_id.isNull(), F.pmod(whole, F.lit(slots)).cast("int")).otherwise(slot_of(doc_id, slots))
+    hashed = records.select(
+        whole_row(records).alias(ROW), doc_id.alias("doc_id"), whole.alias("rest"),
+        F.coalesce(named(records, "size"), F.lit(0)).alias("size"), key.alias("vslot"),
+    )
     loads = slot_loads(hashed, slots)
     folder = folder or new_folder(spark, "slot-map")
-    store_map(spark, folder, 1, first_map(loads, shards))
+    if latest_version(spark, folder) is None:
+        store_map(spark, folder, 1, first_map(loads, shards))
+    version = latest_version(spark, folder)
     counted = spark.createDataFrame([(s, n) for s, (_, n) in loads.items()], "vslot int, rows bigint")
     earlier = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
     # SLOTS rows, whatever the input: safe to broadcast.
-    begun = read_map(spark, folder, 1).join(F.broadcast(counted), "vslot").select(
+    begun = read_map(spark, folder, version).join(F.broadcast(counted), "vslot").select(
         "vslot", "shard", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("begin")
     )
-    rest = [F.xxhash64(*[F.col(c) for c in records.columns])]
-    within = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", *rest)) - 1
-    return hashed.join(F.broadcast(begun), "vslot").withColumn(
-        "slot", F.col("begin") + within.cast("bigint")
-    ).withColumn("map_version", F.lit(1)).drop("begin")
+    added = []
+    if grown is not None:
+        current = {r["vslot"]: r["shard"] for r in read_map(spark, folder, version).collect()}
+        store_map(spark, folder, version + 1, rebalanced(current, loads, grown))
+        after = read_map(spark, folder, version + 1).withColumnRenamed("shard", "next_shard")
+        begun = begun.join(F.broadcast(after), "vslot")
+        added = ["next_shard", F.lit(version + 1).alias("next_version")]
+    within = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "rest")) - 1
+    placed = hashed.join(F.broadcast(begun), "vslot").withColumn("slot", F.col("begin") + within.cast("bigint"))
+    results = [*RESULTS, "next_shard", "next_version"] if added else RESULTS
+    kept = [F.col(ROW).getField(c).alias(c) for c in records.columns if c not in results]
+    return placed.select(*kept, "shard", "slot", "vslot", F.lit(version).alias("map_version"), *added)

@@ -19,6 +19,7 @@ columns are not read.
 from __future__ import annotations
 
 import functools
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,9 @@ from threatloom.llm.shingles import slices
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Words whose result a worker keeps; beyond it starts anew.
-CACHE_WORDS = 1_000_000
+#: Words whose result a worker keeps, beyond it starts anew; longer words are not kept.
+CACHE_WORDS, CACHED_CHARS = 1_000_000, 64
+_WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
 class Vocabulary:
@@ -44,6 +46,7 @@ class Vocabulary:
         for piece, score in pieces:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.longest = max((len(piece) for piece, _ in pieces), default=1)
         self.unknown = min((score for _, score in pieces), default=0.0) - UNKNOWN_PENALTY
         self.byte_pieces, self.dummy_prefix = byte_pieces, dummy_prefix
         exact = all(float(score).is_integer() for _, score in pieces)
@@ -67,46 +70,62 @@ class Vocabulary:
         return cls(ordinary, any(model.is_byte(i) for i in range(size)))
 
     def solve(self, text: str) -> tuple[int, float]:
-        """Pieces and score of the best path through a text with its space marks."""
-        n = len(text)
-        ending: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for last, found in self.automaton.iter(text):
-            ending[last + 1].append(found)
-        score, count = [0.0] * (n + 1), [0] * (n + 1)
-        unknown_run = [False] * (n + 1)  # the best path ends here with an unknown character
-        for end in range(1, n + 1):
+        """Pieces and score of the best path through a text with its space marks.
+
+        A piece reaches back no further than the longest one, so as many states are kept.
+        """
+        span = self.longest + 1
+        score, count = [0.0] * span, [0] * span
+        unknown_run = [False] * span  # the best path ends here with an unknown character
+        found = self.automaton.iter(text)
+        last, piece = next(found, (-1, None))
+        for end in range(1, len(text) + 1):
+            ending = []
+            while piece is not None and last + 1 == end:
+                ending.append(piece)
+                last, piece = next(found, (-1, None))
             best, pieces, unknown = None, 0, False
             single = False
-            for length, own in sorted(ending[end], reverse=True):  # by ascending start
-                candidate = score[end - length] + own
+            for length, own in sorted(ending, reverse=True):  # by ascending start
+                candidate = score[(end - length) % span] + own
                 single = single or length == 1
                 if best is None or candidate > best:
-                    best, pieces = candidate, count[end - length] + 1
+                    best, pieces = candidate, count[(end - length) % span] + 1
             if not single:
-                candidate = score[end - 1] + self.unknown
+                before = (end - 1) % span
+                candidate = score[before] + self.unknown
                 if best is None or candidate > best:
                     best, unknown = candidate, True
                     if self.byte_pieces:
-                        pieces = count[end - 1] + len(text[end - 1].encode("utf-8", "replace"))
+                        pieces = count[before] + len(text[end - 1].encode("utf-8", "replace"))
                     else:
-                        pieces = count[end - 1] + (not unknown_run[end - 1])
-            score[end], count[end], unknown_run[end] = best, pieces, unknown
-        return count[n], score[n]
+                        pieces = count[before] + (not unknown_run[before])
+            score[end % span], count[end % span], unknown_run[end % span] = best, pieces, unknown
+        return count[len(text) % span], score[len(text) % span]
 
     def word(self, word: str) -> tuple[int, float]:
         found = self.known.get(word)
         if found is None:
-            if len(self.known) >= CACHE_WORDS:
-                self.known.clear()
-            found = self.known[word] = self.solve(word)
+            found = self.solve(word)
+            if len(word) <= CACHED_CHARS:
+                if len(self.known) >= CACHE_WORDS:
+                    self.known.clear()
+                self.known[word] = found
         return found
 
     def count(self, text: str) -> tuple[int, float]:
-        """Pieces and score of a whole text."""
+        """Pieces and score of a whole text, word by word where it may be cut: no piece joins a
+        character to a mark after it, so a text may be cut before every run of marks."""
         if not text:
             return 0, 0.0
         marked = (MARK if self.dummy_prefix else "") + text.replace(" ", MARK)
-        return self.solve(marked)
+        if not self.cuttable:
+            return self.solve(marked)
+        pieces, score = 0, 0.0
+        for word in _WORD.finditer(marked):
+            n, own = self.word(word[0])
+            pieces, score = pieces + n, score + own
+        return pieces, score
 
 
 @functools.lru_cache(maxsize=2)
@@ -122,8 +141,8 @@ def counts(vocab: Vocabulary, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return np.array([n for n, _ in found], dtype=np.int64), np.array([s for _, s in found], dtype=float)
     if pa.types.is_string(texts.type):
         texts = texts.cast(pa.large_string())
-    # A run of marks belongs together: cut only before the first space of a run. Marks in the
-    # text itself are spaces to the model, and texts with such or doubled spaces go whole.
+    # A run of marks belongs together. Marks in the text itself are spaces to the model, and texts
+    # with such or doubled spaces are cut one by one.
     odd = pc.match_substring_regex(texts, f"^ |  | $|{MARK}")
     lists = pc.split_pattern(pc.if_else(odd, "", texts), " ")
     offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
