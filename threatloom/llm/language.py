@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from threatloom.llm.common import ROW, named, unpacked, whole_row
 from threatloom.llm.shingles import slices
+from threatloom.operators.joins import checked_broadcast
 
 #: The one bound of what is learned: labelled rows of a language whose whole texts may go into its
 #: dictionary, taken by the order of a hash until the dictionary is full.
@@ -63,7 +64,7 @@ def _sampled(labelled: DataFrame, sample_rows: int) -> DataFrame:
     order = F.xxhash64("doc_id", "text")
     share = (order / F.lit(2.0**64) + 0.5) * F.col("rows")
     return (
-        known.join(counts, "lang").where(share <= OVERSAMPLE * sample_rows)
+        known.join(checked_broadcast(counts), "lang").where(share <= OVERSAMPLE * sample_rows)
         .select("lang", order.alias("order"), "text")
         .distinct()
     )
