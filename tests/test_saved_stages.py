@@ -18,7 +18,7 @@ ROWS = [("tcp", "SF", 10, "normal"), ("udp", "S0", 20, "neptune"), ("icmp", "SF"
 
 def test_codes_of_all_columns_from_one_table(spark):
     rows = spark.createDataFrame([("b", "x"), ("a", None), ("b", "nan"), (None, "y")], "one string, `t.wo` string")
-    found = {tuple(r) for r in category_table(rows, ["one", "t.wo"]).collect()}
+    found = {tuple(r) for r in category_table(rows, ["one", "t.wo"]).drop("rows").collect()}
     assert found == {("one", "a", 0), ("one", "b", 1), ("one", "nan", 2), ("t.wo", "nan", 0), ("t.wo", "x", 1), ("t.wo", "y", 2)}
 
 
@@ -118,3 +118,43 @@ def test_cases_of_several_groups_in_one_run(spark, forest):
     for r in found:
         if r["group"] != "short":
             assert (r["predicted_attack"], r["top_class"]) == (single[r["name"]]["predicted_attack"], single[r["name"]]["top_class"])
+
+
+def counted(spark, rows, schema):
+    """Rows that count how often they are read."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        reads.add(1)
+        return row
+
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, 3).map(seen), schema), reads
+
+
+def test_preparation_reads_raw_rows_at_most_three_times(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"h{i}", *map(float, rng.standard_normal(4)), 1.0, i % 2) for i in range(60)]
+    raw, reads = counted(spark, rows, "hash string, a double, b double, c double, d double, same double, malware int")
+    done = preprocess.preprocess_malware(raw)
+    assert done.data.collect() and done.summary["dropped_columns"] == ["hash", "same"] and done.summary["rows_before"] == 60
+    assert reads.value <= 3 * 60
+    raw, reads = counted(spark, [(*r[:1], f"s{i % 4}", *r[2:]) for i, r in enumerate(ROWS * 15)], RAW)
+    prepared = preprocess.preprocess_network(raw, "CICIDS2017")
+    values = prepared.data.collect()
+    assert reads.value <= 3 * 60 and prepared.summary["rows_after"] == len(values) == 60
+    for c in ("proto.name", "state", "bytes"):
+        column = np.array([r[c] for r in values])
+        assert abs(column.mean()) < 1e-9 and column.std() == pytest.approx(1)
+
+
+def test_models_are_fitted_on_a_bounded_number_of_rows(spark):
+    from threatloom.operators.split import stratified_split, take_per_class
+
+    rows = spark.range(5000).withColumn("label", F.when(F.col("id") % 50 == 0, "rare").when(F.col("id") % 3 == 0, None).otherwise("most"))
+    for digits in (1, 2):
+        taken = take_per_class(rows, "label", "id", 150, digits=digits)
+        assert {tuple(r) for r in taken.groupBy("label").count().collect()} == {("rare", 100), (None, 150), ("most", 150)}
+    again = take_per_class(rows.repartition(7), "label", "id", 150)
+    assert again.exceptAll(take_per_class(rows, "label", "id", 150)).count() == 0
+    assert stratified_split(rows, "label", "id").where("is_test").count() == round(0.2 * 5000)
+    assert take_per_class(rows.limit(0), "label", "id", 150).count() == 0

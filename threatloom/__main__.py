@@ -28,14 +28,18 @@ def keyed(rows: DataFrame) -> DataFrame:
 
 
 def prepare_intrusions(spark: SparkSession, a: argparse.Namespace) -> None:
-    raw = datasets.read_nsl_kdd(spark, a.input) if a.dataset == "NSL-KDD" else datasets.read_csv(spark, a.input)
     if a.dataset == "NSL-KDD":
+        raw, rejected = datasets.split_rejected(datasets.checked_nsl_kdd(spark, a.input))
         raw = raw.withColumnRenamed("attack_type", "attack")
+    else:
+        raw, rejected = datasets.split_rejected(datasets.read_csv(spark, a.input))
     stages, columns = preprocess.load_model(spark, a.model) if a.mode == "test" else (None, None)
     done = preprocess.preprocess_network(raw, a.dataset, stages=stages, training_columns=columns)
     if a.model and a.mode == "train":
         preprocess.save_model(spark, done.stages, done.features, a.model)
     done.data.write.mode("overwrite").parquet(f"{a.output}/data")
+    sinks.write_rejected(rejected, f"{a.output}/rejected")
+    done.summary["rejected_records"] = rejected.count()
     sinks.write_summary(done.summary_frame(), f"{a.output}/summary")
 
 
@@ -53,7 +57,9 @@ def prepare_malware(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def train_traffic(spark: SparkSession, a: argparse.Namespace) -> None:
-    _, raw = datasets.training_dataset(spark, a.input)
+    _, checked = datasets.training_dataset(spark, a.input)
+    raw, rejected = datasets.split_rejected(checked)
+    sinks.write_rejected(rejected, f"{a.output}/rejected")
     rows = keyed(preprocess.prepare_training(raw))
     columns = [c for c in TRAFFIC_FEATURES if c in rows.columns]
     trained = training.train_traffic(rows, KEY, columns)

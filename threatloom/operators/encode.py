@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.param import Param
@@ -9,7 +11,7 @@ from pyspark.ml.util import (
     DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter,
     MLReadable, MLReader, MLWritable, MLWriter,
 )
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threatloom.operators.joins import checked_broadcast
@@ -37,17 +39,19 @@ def decode_classes(df: DataFrame, mapping: DataFrame, code: str, name: str) -> D
 
 
 def category_table(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``column``, ``category`` and ``code`` (0 to n-1 in alphabetical order) of every text column,
-    from one pass over the rows; null is the text ``nan``."""
+    """``column``, ``category``, ``code`` (0 to n-1 in alphabetical order) and ``rows`` of every text
+    column, from one pass over the rows; null is the text ``nan``."""
     pairs = [
         F.struct(F.lit(c).alias("column"), F.coalesce(quoted(c).cast("string"), F.lit(NULL_TEXT)).alias("category"))
         for c in columns
     ]
-    long = df.select(F.explode(F.array(*pairs)).alias("pair"))
-    placed = codes_in_order(long, "pair", "place").select("place", "pair.column", "pair.category")
+    shared_folder(df.sparkSession)
+    counted = df.select(F.explode(F.array(*pairs)).alias("pair")).groupBy("pair").agg(F.count("*").alias("rows")).checkpoint()
+    placed = codes_in_order(counted, "pair", "place").join(counted, "pair")
+    placed = placed.select("place", "pair.column", "pair.category", "rows")
     first = placed.groupBy("column").agg(F.min("place").alias("first"))
     codes = placed.join(F.broadcast(first), "column")  # a row for each column
-    return codes.select("column", "category", (F.col("place") - F.col("first")).alias("code"))
+    return codes.select("column", "category", (F.col("place") - F.col("first")).alias("code"), "rows")
 
 
 class CategoryEncoder(Estimator, DefaultParamsReadable, DefaultParamsWritable):
@@ -103,6 +107,17 @@ class CategoryEncoderModel(Model, MLWritable, MLReadable):
             )
         return df
 
+    def scaling_parameters(self) -> dict[str, tuple[float, float]]:
+        """Mean and population deviation of the codes of each column over the rows they were learnt from."""
+        if not self.getOrDefault("columns"):
+            return {}
+        n, code = F.col("rows"), F.col("code")
+        mean = F.sum(n * code) / F.sum(n)
+        rows = self.table.groupBy("column").agg(
+            mean.alias("mean"), F.sqrt(F.greatest(F.sum(n * code * code) / F.sum(n) - mean * mean, F.lit(0.0))).alias("scale")
+        )
+        return {r["column"]: (r["mean"], r["scale"] or 1.0) for r in rows.collect()}  # a row for each column
+
     def write(self) -> MLWriter:
         return _CategoryWriter(self)
 
@@ -111,7 +126,7 @@ class CategoryEncoderModel(Model, MLWritable, MLReadable):
         return _CategoryReader()
 
 
-_TABLE = "column string, category string, code bigint"
+_TABLE = "column string, category string, code bigint, rows bigint"
 
 
 class _CategoryWriter(MLWriter):
@@ -141,15 +156,42 @@ def encode_categoricals(df: DataFrame, columns: list[str]) -> DataFrame:
     return CategoryEncoder(columns).fit(df).transform(df)
 
 
+@dataclass
+class Moments:
+    """All rows, rows that count, and of these per column least and greatest value, mean and population
+    deviation, of one pass."""
+
+    all_rows: int
+    rows: int
+    columns: dict[str, tuple]
+
+    @classmethod
+    def of(cls, df: DataFrame, columns: list[str], where: Column | None = None) -> Moments:
+        measures = {"lo": F.min, "hi": F.max, "m": F.avg, "s": F.stddev_pop}
+        where = F.lit(True) if where is None else where
+        # The condition once a row, not once a column.
+        rows = df.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(columns)], where.alias("counts"))
+        stats = [
+            f(F.when(F.col("counts"), F.col(f"c{i}"))).alias(f"{n}{i}")
+            for i in range(len(columns)) for n, f in measures.items()
+        ]
+        row = rows.agg(F.count("*").alias("all"), F.count_if("counts").alias("rows"), *stats).first()
+        found = {c: tuple(row[f"{n}{i}"] for n in measures) for i, c in enumerate(columns)}
+        return cls(row["all"], row["rows"], found)
+
+    def constant(self) -> list[str]:
+        """Columns with at most one distinct value."""
+        return [c for c, (low, high, _, _) in self.columns.items() if low == high]
+
+    def scaling(self, columns: list[str] | None = None) -> dict[str, tuple[float, float]]:
+        """Mean and deviation per column; a constant column scales by 1."""
+        wanted = self.columns if columns is None else columns
+        return {c: (float(self.columns[c][2] or 0.0), float(self.columns[c][3] or 0.0) or 1.0) for c in wanted}
+
+
 def scaling_parameters(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
     """Mean and population deviation per column in one pass; a constant column scales by 1."""
-    stats = [F.avg(quoted(c)).alias(f"m{i}") for i, c in enumerate(columns)]
-    stats += [F.stddev_pop(quoted(c)).alias(f"s{i}") for i, c in enumerate(columns)]
-    row = df.agg(*stats).first()
-    return {
-        c: (float(row[f"m{i}"] or 0.0), float(row[f"s{i}"] or 0.0) or 1.0)
-        for i, c in enumerate(columns)
-    }
+    return Moments.of(df, columns).scaling()
 
 
 def scaler_stage(parameters: dict[str, tuple[float, float]], names: list[str] | None = None) -> SQLTransformer:

@@ -33,10 +33,12 @@ def components_for(explained: list[float] | np.ndarray, target: float) -> int:
     return min(int((total <= target).sum()) + 1, len(total))
 
 
-def fit_scaled_vectors(df: DataFrame, columns: list[str], output: str = "scaled") -> list[Transformer]:
-    """Stages from plain columns to one vector of scaled values."""
+def fit_scaled_vectors(
+    df: DataFrame, columns: list[str], output: str = "scaled", parameters: dict[str, tuple[float, float]] | None = None
+) -> list[Transformer]:
+    """Stages from plain columns to one vector of scaled values; means and deviations may be known already."""
     names = [f"__scaled_{i}" for i in range(len(columns))]  # an assembler takes no names with dots
-    scaler = scaler_stage(scaling_parameters(df, columns), names)
+    scaler = scaler_stage(parameters or scaling_parameters(df, columns), names)
     assembler = VectorAssembler(inputCols=names, outputCol=output, handleInvalid="error")
     return [scaler, assembler]
 

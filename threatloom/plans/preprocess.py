@@ -14,10 +14,11 @@ from threatloom.fixed_values import PCA_VARIANCE_TARGET, PLACEHOLDERS
 from threatloom.functions.labels import map_labels
 from threatloom.operators import quality
 from threatloom.operators.encode import (
-    CategoryEncoder, encode_categoricals, scaled_columns, scaler_stage, scaling_parameters,
+    CategoryEncoder, Moments, encode_categoricals, scaled_columns, scaler_stage,
 )
 from threatloom.operators.models import apply_stages, fit_pca, fit_scaled_vectors, vector_columns
 from threatloom.operators.profile import cleaning_counts, drop_rare_classes
+from threatloom.session import shared_folder
 
 
 @dataclass
@@ -38,13 +39,18 @@ def summary_frame(spark: SparkSession, summary: dict[str, Any]) -> DataFrame:
     return spark.createDataFrame([tuple(summary.get(n) for n in names)], schemas.DATASET_SUMMARY)
 
 
+def feature_rows(raw: DataFrame, last_is_label: bool = False) -> tuple[DataFrame, str]:
+    """Trimmed headers, non-features out. Returns rows and label."""
+    df = quality.trim_headers(raw)
+    label = quality.find_label_column(df.columns, last_is_label)
+    return quality.drop_non_features(df, label), label
+
+
 def clean_network(
     raw: DataFrame, placeholders: list[str] = PLACEHOLDERS, last_is_label: bool = False
 ) -> tuple[DataFrame, str, DataFrame]:
     """Trimmed headers, non-features out, then invalid rows out. Returns rows, label, counts."""
-    df = quality.trim_headers(raw)
-    label = quality.find_label_column(df.columns, last_is_label)
-    kept = quality.drop_non_features(df, label)
+    kept, label = feature_rows(raw, last_is_label)
     return quality.drop_invalid_rows(kept, placeholders), label, cleaning_counts(kept)
 
 
@@ -63,16 +69,25 @@ def preprocess_network(
 ) -> Prepared:
     """Scaled features and ``y`` of an intrusion dataset, and the stages that made them.
 
+    Raw rows are read once for counts, means and deviations, and once for the categories of text
+    columns, from whose counts the scaling of their codes follows.
+
     With the stages and columns of an earlier run new rows are prepared alike: its category codes
     (a category it has not seen gets the next one) and its means and deviations.
     """
-    clean, label, counts = clean_network(raw, last_is_label=last_is_label)
+    kept, label = feature_rows(raw, last_is_label)
+    texts = quality.non_numeric_columns(kept, label)
+    moments = Moments.of(
+        kept, [c for c in kept.columns if c != label and c not in texts], ~quality.invalid_row(kept, PLACEHOLDERS)
+    )
+    clean = quality.drop_invalid_rows(kept, PLACEHOLDERS)
     labelled = clean.withColumn("y", map_labels(clean, label)).drop(quality.quoted(label))
     if stages is None:
-        encoder = CategoryEncoder(quality.non_numeric_columns(labelled, "y")).fit(labelled)
+        encoder = CategoryEncoder(texts).fit(labelled)
         encoded = encoder.transform(labelled)
         features = [c for c in encoded.columns if c != "y"]
-        stages = [encoder, scaler_stage(scaling_parameters(encoded, features))]
+        known = {**moments.scaling(), **encoder.scaling_parameters()}
+        stages = [encoder, scaler_stage({c: known[c] for c in features})]
     else:
         if training_columns is None:
             raise ValueError("stages need the columns of their run")
@@ -83,12 +98,11 @@ def preprocess_network(
             *[quality.quoted(c) if c in known else F.lit("" if c in texts else 0).alias(c) for c in features], "y"
         )
         encoded = stages[0].transform(given)
-    row = counts.first()
     summary = {
         "dataset_name": dataset_name,
-        "rows_before": row["rows_before"],
-        "rows_after": row["rows_after"],
-        "invalid_records_removed": row["invalid_records_removed"],
+        "rows_before": moments.all_rows,
+        "rows_after": moments.rows,
+        "invalid_records_removed": moments.all_rows - moments.rows,
         "features_used": len(features),
         "preprocessing_status": "Completed",
         "dropped_columns": quality.non_feature_columns(quality.trim_headers(raw).columns, label),
@@ -104,7 +118,7 @@ def prepare_training(df: DataFrame) -> DataFrame:
     return drop_rare_classes(filled, "attack_type", 2)
 
 
-def clean_malware(raw: DataFrame, mode: str = "train") -> tuple[DataFrame, list[str], bool]:
+def numeric_malware(raw: DataFrame, mode: str = "train") -> tuple[DataFrame, list[str], bool]:
     """Valid rows with numeric features and ``malware``. Returns rows, dropped columns, label added."""
     df, label_added = quality.with_malware_label(raw, mode)
     valid = quality.drop_invalid_rows(df)
@@ -115,7 +129,12 @@ def clean_malware(raw: DataFrame, mode: str = "train") -> tuple[DataFrame, list[
         valid.drop(*[quality.quoted(c) for c in texts]),
         [c for c in valid.columns if c != "malware" and c not in texts],
     )
-    dropped += texts
+    return numeric, dropped + texts, label_added
+
+
+def clean_malware(raw: DataFrame, mode: str = "train") -> tuple[DataFrame, list[str], bool]:
+    """The same, in training without constant features."""
+    numeric, dropped, label_added = numeric_malware(raw, mode)
     if mode == "train":
         constant = quality.constant_columns(numeric, [c for c in numeric.columns if c != "malware"])
         numeric = numeric.drop(*[quality.quoted(c) for c in constant])
@@ -130,37 +149,45 @@ def preprocess_malware(
     training_columns: list[str] | None = None,
     paths: dict[str, str] | None = None,
 ) -> Prepared:
-    """``pca_1..k`` and ``malware``. Test mode takes the stages and columns of a training run."""
+    """``pca_1..k`` and ``malware``. Test mode takes the stages and columns of a training run.
+
+    Raw rows are read three times: to be counted, for all ranges, means and deviations, and for the
+    scaled vectors, which are stored. Components are fitted on the stored vectors and applied to them.
+    """
     features_before = len(
         [c for c in raw.columns if c.lower() != "malware" and c != "hash"]
     )
-    clean, dropped, label_added = clean_malware(raw, mode)
+    numeric, dropped, label_added = numeric_malware(raw, mode)
+    moments = Moments.of(numeric, [c for c in numeric.columns if c != "malware"])
+    before = raw.count()
     missing: list[str] = []
-    extra: list[str] = []
+    shared_folder(raw.sparkSession)
     if mode == "train":
-        columns = [c for c in clean.columns if c != "malware"]
-        scaling = fit_scaled_vectors(clean, columns)
-        scaled = apply_stages(clean, scaling)
+        dropped += moments.constant()
+        columns = [c for c in numeric.columns if c != "malware" and c not in set(moments.constant())]
+        scaling = fit_scaled_vectors(numeric, columns, parameters=moments.scaling(columns))
+        scaled = apply_stages(numeric, scaling).select("scaled", "malware").checkpoint()
         reduction, pca, size = fit_pca(scaled, len(columns))
         stages = [*scaling, *reduction]
+        extra: list[str] = []
     else:
         if stages is None or training_columns is None:
             raise ValueError("test mode needs the stages and columns of a training run")
         columns = training_columns
-        clean, missing, extra = quality.align(clean, columns, "malware")
+        aligned, missing, extra = quality.align(numeric, columns, "malware")
         dropped += extra
         pca, size = stages[-2], len(stages[-1].getIndices())
+        scaled = apply_stages(aligned, stages[:-2]).select("scaled", "malware")
+        reduction = stages[-2:]
     retained = float(sum(pca.explainedVariance.toArray()[:size]))
     names = [f"pca_{i + 1}" for i in range(size)]
-    reduced = vector_columns(apply_stages(clean, stages), "pca", names, "malware")
-    counts = clean.agg(F.count("*").alias("n")).first()["n"]
-    before = raw.count()
+    reduced = vector_columns(apply_stages(scaled, reduction), "pca", names, "malware")
     paths = paths or {}
     summary = {
         "dataset_name": "Malware Training" if mode == "train" else "Malware Test",
         "rows_before": before,
-        "rows_after": counts,
-        "invalid_records_removed": before - counts,
+        "rows_after": moments.rows,
+        "invalid_records_removed": before - moments.rows,
         "features_used": size,
         "features_discarded": max(features_before - size, 0),
         "dropped_columns": dropped,

@@ -20,7 +20,11 @@ from threatloom.operators.models import (
 )
 from threatloom.operators.joins import training_rows
 from threatloom.operators.neighbours import balance_classes
-from threatloom.operators.split import stratified_split
+from threatloom.operators.split import stratified_split, take_per_class
+
+#: Labelled rows of a class that a model is fitted on at most, so that models and fits stay of one size
+#: whatever the table's. Testing and scoring are on all rows.
+FITTED_ROWS = 200_000
 
 
 @dataclass
@@ -33,11 +37,17 @@ class Trained:
 
 
 def train_traffic(
-    df: DataFrame, key: str, columns: list[str], label: str = "attack_type", trees: int = 100, depth: int = MAX_DEPTH
+    df: DataFrame,
+    key: str,
+    columns: list[str],
+    label: str = "attack_type",
+    trees: int = 100,
+    depth: int = MAX_DEPTH,
+    fitted_rows: int = FITTED_ROWS,
 ) -> Trained:
-    """Stratified 80/20 split, then the forest on the larger part."""
+    """Stratified 80/20 split, then the forest on at most ``fitted_rows`` rows of each class of the larger part."""
     split = stratified_split(df, label, key)
-    train = split.where(~F.col("is_test")).drop("is_test")
+    train = take_per_class(split.where(~F.col("is_test")).drop("is_test"), label, key, fitted_rows)
     model = fit_traffic_model(train, columns, label, trees, depth)
     return Trained(model, columns, split.where("is_test").drop("is_test"))
 
@@ -60,8 +70,10 @@ def train_malware(
     trees: int = 200,
     depth: int = 20,
     iterations: int = 100,
+    fitted_rows: int = FITTED_ROWS,
 ) -> Trained:
-    """Split, oversample the training part on unscaled values, then scale, reduce and fit both scorers."""
+    """Split, take at most ``fitted_rows`` rows of each class of the training part, oversample on unscaled
+    values, then scale, reduce and fit both scorers."""
     # The features may come from a long way off, and the search for neighbours and the fits
     # below read them many times.
     rows = training_rows(
@@ -70,7 +82,7 @@ def train_malware(
         )
     )
     split = stratified_split(rows, label, key)
-    train = split.where(~F.col("is_test")).drop("is_test")
+    train = take_per_class(split.where(~F.col("is_test")).drop("is_test"), label, key, fitted_rows)
     balanced = balance_classes(train, key, "features", label).checkpoint()
     wide = columns_from_vector(balanced, "features", columns, label)
     model = fit_malware_model(wide, columns, label, trees, depth, iterations)

@@ -37,7 +37,7 @@ DATASET_SUMMARY = (
     "pca_variance_target double, pca_variance_retained double, pca_model_path string, "
     "pca_scaler_path string, raw_feature_columns_path string, preprocessing_status string, "
     "source_path string, output_path string, mode string, label_added boolean, "
-    "missing_features_filled array<string>, extra_features_dropped array<string>"
+    "missing_features_filled array<string>, extra_features_dropped array<string>, rejected_records bigint"
 )
 
 MODEL_VERDICT = "struct<prediction:string,probability:double,confidence:double>"

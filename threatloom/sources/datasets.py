@@ -81,11 +81,58 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return typed_columns(texts.select(*[_null_if_token(quoted(n)).alias(n) for n in names]))
 
 
+#: Why a row is not used: the line where its cells do not fit the columns, else the cells that are
+#: none of their type, by column; and the file it is from. Null for rows that are.
+REJECTED = "rejected"
+_REJECTED = "line string, cells map<string,string>, file string"
+
+
+def read_checked(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
+    """CSV with a pinned schema, and ``rejected`` where a row does not keep to it.
+
+    Such a cell is null, but not without a trace. Null tokens are nulls that are allowed.
+    """
+    fields = T.StructType.fromDDL(schema).fields
+    layout = f"{_text_layout([f.name for f in fields])}, `{_LINE}` string"
+    texts = spark.read.schema(layout).options(columnNameOfCorruptRecord=_LINE, columnPruning=False).csv(path, header=header)
+    given = {f.name: _null_if_token(quoted(f.name)) for f in fields}
+    cells = [
+        F.struct(F.lit(f.name).alias("key"), F.when(given[f.name].try_cast(f.dataType).isNull(), given[f.name]).alias("value"))
+        for f in fields
+        if not isinstance(f.dataType, T.StringType)
+    ]
+    bad = F.map_from_entries(F.filter(F.array(*cells), lambda c: c["value"].isNotNull()))
+    whole = quoted(_LINE)
+    reason = F.struct(whole.alias("line"), F.when(whole.isNull(), bad).alias("cells"), F.col("_metadata.file_path").alias("file"))
+    rejected = F.when(whole.isNotNull() | (F.size(bad) > 0), reason.cast(f"struct<{_struct(_REJECTED)}>"))
+    return texts.select(*[given[f.name].try_cast(f.dataType).alias(f.name) for f in fields], rejected.alias(REJECTED))
+
+
+_LINE = "__line"
+
+
+def _struct(ddl: str) -> str:
+    return ", ".join(f.replace(" ", ":", 1) for f in ddl.split(", "))
+
+
+def split_rejected(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows to use, and why the others are not used; a table that was not checked has no others."""
+    if REJECTED not in checked.columns:
+        return checked, checked.sparkSession.createDataFrame([], _REJECTED)
+    return checked.where(F.col(REJECTED).isNull()).drop(REJECTED), checked.where(F.col(REJECTED).isNotNull()).select(
+        f"{REJECTED}.*"
+    )
+
+
 def read_nsl_kdd(spark: SparkSession, path: str) -> DataFrame:
-    """43 columns without a header; the difficulty goes."""
+    """43 columns without a header; the difficulty goes. A malformed number is null (see ``read_checked``)."""
     return spark.read.schema(schemas.NSL_KDD).csv(path, header=False).drop("difficulty")
 
 
+def checked_nsl_kdd(spark: SparkSession, path: str) -> DataFrame:
+    return read_checked(spark, path, schemas.NSL_KDD, header=False).drop("difficulty")
+
+
 def read_flow_features(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Flow feature files, their columns renamed by position to the model's names."""
     return (
@@ -118,11 +165,11 @@ def first_available(
 
 
 def training_dataset(spark: SparkSession, folder: str) -> tuple[str, DataFrame]:
-    """NSL-KDD if it is there, else CIC-IDS-2017, else UNSW-NB15."""
+    """NSL-KDD if it is there, checked row by row, else CIC-IDS-2017, else UNSW-NB15."""
     return first_available(
         spark,
         [
-            ("NSL-KDD", f"{folder}/NSL_KDD.csv", read_nsl_kdd),
+            ("NSL-KDD", f"{folder}/NSL_KDD.csv", checked_nsl_kdd),
             ("CIC-IDS-2017", f"{folder}/CIC_IDS_2017.csv", read_cic_ids),
             ("UNSW-NB15", f"{folder}/UNSW_NB15.csv", read_unsw_nb15),
         ],

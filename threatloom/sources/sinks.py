@@ -32,6 +32,11 @@ def write_threat_log(events: DataFrame, path: str) -> None:
     events.withColumn("@timestamp", utc_stamp()).write.mode("append").json(path)
 
 
+def write_rejected(rejected: DataFrame, path: str) -> None:
+    """Rejected rows as JSON lines, each stamped with the time of writing."""
+    rejected.withColumn("@timestamp", utc_stamp()).write.mode("append").json(path)
+
+
 def write_summary(summary: DataFrame, path: str) -> None:
     """A one-row summary as JSON."""
     summary.coalesce(1).write.mode("overwrite").json(path)
