@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from threatloom.llm import chat, language, near, packing, quality, queries, sharding, viterbi
+from threatloom.llm import chat, language, mixing, near, packing, quality, queries, sharding, viterbi
 
 BYTE = queries.tokenizer_file("byte_bpe_50k.json")
 
@@ -123,6 +123,39 @@ def test_windows_keep_their_budget_as_the_tokenizer_counts_it(spark):
     assert all(r["repeated"] for r in short) and min(r["tokens"] for r in short[:-1] if not r["crossing"]) > 512
 
 
+# --- mixing
+
+def test_positions_invert_the_integral_of_the_schedules(spark):
+    shares = np.linspace(0, 1, 101)
+    frame = spark.createDataFrame([(float(x), p) for x in shares for p in range(4)], "share double, place bigint")
+    found = frame.select("share", "place", mixing.training_time(F.col("share"), F.col("place")).alias("t")).collect()
+    grid = np.linspace(0, 1, 200_001)
+    for place in range(4):
+        rates = np.interp(grid, [0, 0.5, 1], mixing.SCHEDULES[place % 3])
+        total = np.concatenate([[0], np.cumsum((rates[1:] + rates[:-1]) / 2 * np.diff(grid))])
+        for r in found:
+            if r["place"] == place:
+                assert abs(np.interp(r["t"], grid, total) / total[-1] - r["share"]) < 1e-6
+
+
+def test_documents_come_in_the_order_of_their_positions(spark):
+    rows = [(i if i % 3 else None, "w " * (1 + i % 9), "ab"[i % 2]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    found = [r["first_position"] for r in mixing.mixed_sizes(docs).collect()]
+    taken = [p for p in found if p is not None]
+    assert taken == sorted(taken) and all(p is None for p in found[len(taken) :]) and len(found) == 400
+    planned = mixing.plan(docs, []).collect()
+    words, wanted = {"a": 0, "b": 0}, {r["source"]: round(r["target"]) for r in planned}
+    for r in sorted(planned, key=lambda r: (r["source"], r["upto"])):
+        place = "ab".index(r["source"])
+        share = (words[r["source"]] + r["size"] / 2) / wanted[r["source"]]
+        words[r["source"]] += r["size"]
+        if r["copies"]:
+            own = spark.range(1).select(mixing.training_time(F.lit(share), F.lit(place))).first()[0] if r["upto"] < 40 else None
+            assert own is None or abs(own - r["copies"][0]["position"]) < 1e-9
+    assert words == {s: sum(len(t.split()) for _, t, o in rows if o == s) for s in "ab"}
+
+
 # --- quality
 
 def test_the_stop_word_ratio_is_taken_per_language(spark):

@@ -10,7 +10,8 @@ of the target demanded up to a time; inverting it gives a document's training po
 the words of its source that come before it. Documents of a source follow the order of a hash,
 as often as the target asks; the copy that crosses the target is cut there.
 
-Null text has no words: such documents take nothing and are in no mix. Repeated rows are
+Null text has no words: such documents take nothing and are in no mix. Rows without a ``doc_id`` follow
+the order of a hash of their text. Repeated rows are
 documents each. Null sources are a source. Only ``doc_id``, ``text`` and ``source`` are read.
 """
 
@@ -81,13 +82,18 @@ def plan(docs: DataFrame, payload: list[Column]) -> DataFrame:
     ``copies`` lists what the mix takes of a document: the words of each copy and its
     training position. The sum of words over a source is its target, rounded.
     """
+    doc_id, text = named(docs, "doc_id"), named(docs, "text")
+    # Rows without an id follow a hash of their text, so that they too are cut into blocks.
+    key = F.when(doc_id.isNull(), F.xxhash64(text)).otherwise(F.xxhash64(doc_id, F.lit("mix")))
     sized = docs.select(
-        named(docs, "source").alias("source"), named(docs, "doc_id").alias("doc_id"),
-        F.size(words(named(docs, "text"))).cast("bigint").alias("size"), *payload,
+        named(docs, "source").alias("source"), doc_id.alias("doc_id"), key.alias("key"),
+        F.size(words(text)).cast("bigint").alias("size"), *payload,
     )
+    if not payload:
+        sized = stored(sized, "sizes")  # a few numbers a row: texts are read once
     targets = source_targets(sized)
     ordered = running_sums(
-        sized, ["source"], F.xxhash64("doc_id", F.lit("mix")), {"upto": F.col("size")}, ["doc_id", "size"]
+        sized, ["source"], F.col("key"), {"upto": F.col("size")}, ["doc_id", "size"]
     ).withColumnRenamed("source", "own")
     joined = ordered.join(targets, F.col("own").eqNullSafe(F.col("source")))
     wanted = F.floor(F.col("target") + 0.5)
@@ -102,8 +108,9 @@ def plan(docs: DataFrame, payload: list[Column]) -> DataFrame:
 
 
 def mixed_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken and the position of the first copy of each row."""
-    return plan(docs, []).select(
+    """doc_id, size, source_size, target, taken, copies and the position of the first copy of each row,
+    in the order of these positions; rows that are not taken come last."""
+    return plan(docs, []).orderBy(F.asc_nulls_last(F.get("copies", F.lit(0))["position"]), "key").select(
         "doc_id", "size", "source_size", "target",
         F.aggregate("copies", F.lit(0).cast("bigint"), lambda a, c: a + c["words"]).alias("taken"),
         F.size("copies").cast("bigint").alias("copies"),
