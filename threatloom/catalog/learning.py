@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +21,7 @@ from threatloom.functions import pe
 from threatloom.functions.severity import scan_severity
 from threatloom.operators import evaluation as E
 from threatloom.operators import models
+from threatloom.operators.forest_table import forest_nodes, walk_forest
 from threatloom.operators.neighbours import balance_classes, nearest_neighbours
 from threatloom.operators.projection_forest import forest_neighbours
 from threatloom.plans import scanning, training
@@ -321,6 +322,67 @@ union all
 select name, count(*), true from held, (values ('macro avg'), ('weighted avg')) as t(name) group by name"""
 
 
+def traffic_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forest as a table of nodes, walked by joins: per row held back, whether its class and probability
+    are those the model gives, and how many probabilities it has."""
+    trained = _trained_traffic(spark, sf_dir)
+    scored = trained.model.transform(trained.test)
+    nodes = forest_nodes(spark, models.forest_of(trained.model))
+    walked = walk_forest(scored.select("vec_id", "scaled"), "vec_id", "scaled", nodes)
+    both = walked.join(scored.select("vec_id", "prediction", vector_to_array("probability").alias("given")), "vec_id")
+    own = F.col("probabilities")
+    apart = F.exists(F.zip_with(own, "given", lambda a, b: F.abs(a - b) > 1e-9), lambda far: far)
+    best = F.array_position(own, F.array_max(own)) - 1
+    return both.select(
+        "vec_id", F.size(own).alias("classes"), (~apart).alias("same_probability"),
+        (F.get(own, F.col("prediction").cast("int")) >= F.array_max(own) - 1e-9).alias("same_class"),
+        (best >= 0).alias("decided"),
+    )
+
+
+TRAFFIC_WALK = f"""with {_held(_ATTACK)}
+select vec_id, (select count(distinct label) from embeddings) as classes, true as same_probability,
+  true as same_class, true as decided
+from held"""
+
+
+def model_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per model the rows that were not held back, the share of their largest class, and whether the model
+    is right on more of them than one that always says that class."""
+    vectors = S.vectors(spark, sf_dir).drop("embedding")
+    traffic, malware = _trained_traffic(spark, sf_dir), _trained_malware(spark, sf_dir)
+    own = vectors.join(traffic.test.select("vec_id"), "vec_id", "left_anti")
+    scored = models.score_traffic(own.drop("malware"), traffic.model)
+    own = vectors.join(malware.test.select("vec_id"), "vec_id", "left_anti")
+    judged = training.evaluate_malware(malware.model, own.drop("attack_type"))
+    parts = [("traffic", E.pair_counts(scored, "attack_type", "predicted_attack"))]
+    parts += [(scorer, E.pair_counts(judged, "actual", f"{scorer}_verdict")) for scorer in ("rf", "net")]
+    rows = []
+    for name, pairs in parts:
+        right = F.sum(F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0))
+        by_truth = pairs.groupBy("truth").agg(F.sum("n").alias("n"), right.alias("right"))
+        total = by_truth.agg(F.sum("n").alias("rows"), F.max("n").alias("largest"), F.sum("right").alias("right"))
+        rows.append(
+            total.select(
+                F.lit(name).alias("model"), "rows", F.round(F.col("largest") / F.col("rows"), 9).alias("floor"),
+                (F.col("right") > F.col("largest")).alias("reached"),
+            )
+        )
+    return reduce(DataFrame.union, rows)
+
+
+MODEL_FLOORS = f"""with traffic as (
+  with {_held(_ATTACK)}
+  select 'attack' || e.label as label, count(*) as n from embeddings e where vec_id not in (select vec_id from held) group by 1
+), malware as (
+  with {_held(_VERDICT)}
+  select e.label = 0 as label, count(*) as n from embeddings e where vec_id not in (select vec_id from held) group by 1
+)
+select 'traffic' as model, cast(sum(n) as bigint) as rows, round(max(n) / sum(n), 9) as floor, true as reached from traffic
+union all
+select model, cast(sum(n) as bigint), round(max(n) / sum(n), 9), true from malware, (values ('rf'), ('net')) as t(model) group by model"""
+
+
 def traffic_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Severity per class on the rows held back: its weight, and the score from its counts."""
     scores = E.severity_scores(training.evaluate_traffic(_trained_traffic(spark, sf_dir)))
@@ -465,6 +527,8 @@ QUERIES = {
     "traffic_cases": (traffic_cases, TRAFFIC_CASES),
     "traffic_importance": (traffic_importance, TRAFFIC_IMPORTANCE),
     "traffic_evaluation": (traffic_evaluation, TRAFFIC_EVALUATION),
+    "traffic_walk": (traffic_walk, TRAFFIC_WALK),
+    "model_floors": (model_floors, MODEL_FLOORS),
     "traffic_severity": (traffic_severity, TRAFFIC_SEVERITY),
     "malware_evaluation": (malware_evaluation, MALWARE_EVALUATION),
     "malware_report": (malware_report, MALWARE_REPORT),
