@@ -31,7 +31,7 @@ BAND_ROWS = 5
 #: Rounds in which every bucket compares its members with one of them, before families.
 STAR_ROUNDS = 2
 #: Elements and rows of a block in which the sets of a family are compared.
-BLOCK_ELEMENTS, BLOCK_ROWS = 100_000, 2_000
+BLOCK_ELEMENTS, BLOCK_ROWS = 100_000, 1_000
 #: Sets indexed under an element up to which each set that has it is paired with all of them.
 GROUP_SETS = 64
 #: Copies of a family's row, so that the members of a large family meet it in several tasks.
@@ -90,7 +90,7 @@ def _set_reader(size: int):
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 2_000_000):
                 sets = shingle_sets(part.column(1), size)
                 yield pa.RecordBatch.from_arrays([part.column(0), _lists(sets)], ["set_id", "elements"])
 
