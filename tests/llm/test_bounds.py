@@ -10,7 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from threatloom.llm import chat, language, mixing, near, packing, quality, queries, sharding, viterbi
+from threatloom.llm import chat, common, language, mixing, near, packing, quality, queries, sharding, viterbi
+from threatloom.llm.components import components
 
 BYTE = queries.tokenizer_file("byte_bpe_50k.json")
 
@@ -265,3 +266,28 @@ def test_remaining_links_equal_all_pairs(spark, monkeypatch, group_sets):
             if a < b and 100 * len({*sets[a]} & {*sets[b]}) >= percent * len({*sets[a]} | {*sets[b]})
         }
         assert got == wanted
+
+
+# --- heavy keys
+
+@pytest.mark.parametrize("heavy", [1, 4, 10_000])
+def test_heavy_values_meet_their_row_whatever_is_heavy(spark, monkeypatch, heavy):
+    monkeypatch.setattr(common, "HEAVY", heavy)
+    keys = [1] * 300 + [2] * 40 + [None] * 5 + list(range(3, 60))
+    for kind, made in (("bigint", lambda k: k), ("string", lambda k: None if k is None else f"k{k}")):
+        rows = spark.createDataFrame([(made(k), i) for i, k in enumerate(keys)], f"key {kind}, id bigint")
+        values = rows.where("key is not null and id % 7 < 6").groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"))
+        plain = rows.join(values, "key", "left").select("key", "id", "n", "low")
+        got = common.beside(rows, values, "key", "n", len(keys), "id").select("key", "id", "n", "low")
+        assert sorted(got.collect(), key=lambda r: r["id"]) == sorted(plain.collect(), key=lambda r: r["id"])
+        assert common.beside(rows.limit(0), values.limit(0), "key", "n", 0, "id").count() == 0
+
+
+@pytest.mark.parametrize("heavy", [2, 10_000])
+def test_components_of_hubs_and_chains(spark, monkeypatch, heavy):
+    monkeypatch.setattr(common, "HEAVY", heavy)
+    links = [(500, i) for i in range(501, 700)] + [(i, i + 1) for i in range(1, 30)] + [(29, 500), (900, 901), (5, 5)]
+    frame = spark.createDataFrame(links, "a bigint, b bigint")
+    got = {r["node"]: r["component"] for r in components(frame, "a", "b").collect()}
+    assert got == {**{i: 1 for i in [*range(1, 31), *range(500, 700)]}, 900: 900, 901: 900}
+    assert components(frame.limit(0), "a", "b").count() == 0

@@ -12,6 +12,8 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 ROW = "row"
+#: A value that more than one in so many rows have is heavy; there are fewer than so many of those.
+HEAVY = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,3 +51,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def beside(rows: DataFrame, values: DataFrame, key: str, count: str, total: int, spread: str) -> DataFrame:
+    """Left join of ``rows`` with ``values``, which has one row for each value of ``key``; no value is a long task.
+
+    ``count`` in ``values`` is how many of the ``total`` rows have the value. Fewer than ``HEAVY`` values
+    can have more than ``total / HEAVY`` rows: these are broadcast, whatever the table's size, and their rows
+    go through the shuffled join of all others by a hash of ``spread``.
+    """
+    names = [c for c in values.columns if c != key]
+    found = F.struct(*names)
+    heavy = values.where(F.col(count) * HEAVY > total).select(F.col(key).alias("__heavy"), found.alias("__of_heavy"))
+    light = values.where(F.col(count) * HEAVY <= total).select(F.col(key).alias("__light"), found.alias("__of_light"))
+    met = rows.join(F.broadcast(heavy), F.col(key) == F.col("__heavy"), "left")
+    dealt = F.xxhash64(key, spread).cast(rows.schema[key].dataType)
+    met = met.withColumn("__key", F.when(F.col("__heavy").isNull(), F.col(key)).otherwise(dealt))
+    met = met.join(light, F.col("__key") == F.col("__light"), "left")
+    # A heavy row's hash may be some light value: what was broadcast decides.
+    answer = F.when(F.col("__heavy").isNull(), F.col("__of_light")).otherwise(F.col("__of_heavy"))
+    return met.select(*rows.columns, answer.alias("__found")).select(*rows.columns, "__found.*")

@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threatloom.llm.common import stored
+from threatloom.llm.common import beside, stored
 
 
-def _least_neighbour(edges: DataFrame) -> DataFrame:
-    """node, other, least: each edge beside the least of the node and its neighbours.
+def _least_neighbour(edges: DataFrame, most: int) -> DataFrame:
+    """node, other, least: each of at most ``most`` edges beside the least of the node and its neighbours.
 
-    The least is taken by a partial aggregate, so a node with many edges is not
-    gathered; the join back is split by adaptive execution if it is skewed.
+    The least is taken by a partial aggregate, and ``beside`` spreads the edges of a hub.
     """
-    least = edges.groupBy("node").agg(F.min("other").alias("least"))
-    least = least.select(F.col("node").alias("hub"), F.least("node", "least").alias("least"))
-    return edges.join(least, F.col("node") == F.col("hub")).drop("hub")
+    least = edges.groupBy("node").agg(F.min("other").alias("least"), F.count("*").alias("n"))
+    least = least.select("node", F.least("node", "least").alias("least"), "n")
+    return beside(edges, least, "node", "n", most, "other").drop("n")
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -43,17 +42,19 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
                 edges.select(F.col("other").alias("node"), F.col("other").alias("component")).distinct()
             )
         seen = state
-        both = edges.union(edges.select(F.col("other").alias("node"), F.col("node").alias("other")))
-        large = (
-            _least_neighbour(both)
+        back = F.struct(F.col("other").alias("node"), F.col("node").alias("other"))
+        both = edges.select(F.explode(F.array(F.struct("node", "other"), back)).alias("e"))
+        large = stored(
+            _least_neighbour(both.select("e.*"), 2 * state[0])
             .where(F.col("other") > F.col("node"))
             .select(F.col("other").alias("node"), F.col("least").alias("other"))
-            .distinct()
+            .distinct(),
+            "large",
         )
-        starred = _least_neighbour(large)
+        ends = F.explode(F.array("node", "other")).alias("node")
         small = (
-            starred.select(F.col("other").alias("node"), F.col("least").alias("other"))
-            .union(starred.select("node", F.col("least").alias("other")))
+            _least_neighbour(large, 2 * state[0])
+            .select(ends, F.col("least").alias("other"))
             .where(F.col("node") != F.col("other"))
             .distinct()
         )

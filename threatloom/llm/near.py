@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threatloom.llm.common import ROW, named, stored, unpacked, whole_row
+from threatloom.llm.common import ROW, beside, named, stored, unpacked, whole_row
 from threatloom.llm.components import components
 from threatloom.llm.shingles import mixed, shingle_sets, slices
 
@@ -34,8 +34,6 @@ STAR_ROUNDS = 2
 BLOCK_ELEMENTS, BLOCK_ROWS = 100_000, 1_000
 #: Sets indexed under an element up to which each set that has it is paired with all of them.
 GROUP_SETS = 64
-#: Copies of a family's row, so that the members of a large family meet it in several tasks.
-SALTS = 32
 
 _STEP = 0x9E3779B97F4A7C15
 
@@ -185,8 +183,9 @@ def _prefixes(members: DataFrame, percent: int) -> DataFrame:
     """
     each = members.select("set_id", "component", F.size("elements").alias("n"), F.explode("elements").alias("element"))
     shared = each.groupBy("element").agg(F.count("*").alias("sets")).where("sets > 1")
+    total = members.agg(F.sum(F.size("elements"))).first()[0] or 0
     ordered = (
-        each.join(shared, "element", "left")
+        beside(each, shared, "element", "sets", total, "set_id")
         .groupBy("set_id", "component", "n")
         .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("sets", F.lit(1)).alias("sets"), "element"))).alias("own"))
     )
@@ -231,21 +230,25 @@ def _remaining_links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataF
     rows = stored(_prefixes(members, percent), "prefixes")
     met = (
         rows.groupBy("element")
-        .agg(F.count_if("indexed").alias("sets"), F.min("component").alias("low"), F.max("component").alias("high"))
+        .agg(
+            F.count_if("indexed").alias("sets"), F.count("*").alias("rows"),
+            F.min("component").alias("low"), F.max("component").alias("high"),
+        )
         .where("sets > 0 and low < high")
+        .select("element", "sets", "rows")
     )
-    few = rows.join(met.where(F.col("sets") <= GROUP_SETS).select("element"), "element", "left_semi")
-    pairs = stored(_candidates(few, percent), "pairs")
-    many = rows.join(met.where(F.col("sets") > GROUP_SETS).select("element"), "element", "left_semi")
+    told = beside(rows, met, "element", "rows", rows.count(), "set_id")
+    pairs = stored(_candidates(told.where(F.col("sets") <= GROUP_SETS), percent), "pairs")
+    many = told.where(F.col("sets") > GROUP_SETS)
     families = stored(many.select(F.col("element").alias("family"), "set_id", "component").distinct(), "families")
     found = _verified(pairs, sets, percent)
     if families.isEmpty():
         return found
-    return found.union(_links_in_blocks(families.join(sets, "set_id"), percent)).distinct()
+    return found.union(_links_in_blocks(families.join(sets, "set_id"), percent, families.count())).distinct()
 
 
-def _links_in_blocks(members: DataFrame, percent: int) -> DataFrame:
-    """Links within each family of sets (family, set_id, component, elements).
+def _links_in_blocks(members: DataFrame, percent: int, total: int) -> DataFrame:
+    """Links within each family of sets (family, set_id, component, elements; ``total`` rows).
 
     In a family, whoever is outside the largest component is a query; queries meet all members
     of the family in blocks of about ``BLOCK_ELEMENTS`` elements and at most about ``BLOCK_ROWS``
@@ -263,11 +266,10 @@ def _links_in_blocks(members: DataFrame, percent: int) -> DataFrame:
         F.max_by("component", order).alias("largest"),
         blocks_of(F.sum("n"), F.sum("rows")).alias("blocks"),
         blocks_of(F.sum("n") - F.max_by("n", order), F.sum("rows") - F.max_by("rows", order)).alias("query_blocks"),
+        F.sum("rows").alias("in_family"),
     )
-    salted = largest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     hashed = F.xxhash64("set_id")
-    own_salt = F.pmod(F.xxhash64("set_id", F.lit("salt")), F.lit(SALTS)).cast("int")
-    dealt = members.withColumn("salt", own_salt).join(salted, ["family", "salt"])
+    dealt = beside(members, largest, "family", "in_family", total, "set_id")
 
     def blocks(count: str) -> Column:
         return F.pmod(hashed, F.col(count)).cast("int")
