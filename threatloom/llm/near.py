@@ -124,16 +124,17 @@ def _open_buckets(buckets: DataFrame, pivot_order: Column) -> DataFrame:
             F.min("component").alias("low"),
             F.max("component").alias("high"),
             F.min_by(F.struct("set_id", "component"), pivot_order).alias("pivot"),
+            F.count("*").alias("members"),
         )
         .where(F.col("low") < F.col("high"))
-        .select("key", "pivot")
+        .select("key", "pivot", "members")
     )
 
 
-def _star_pairs(buckets: DataFrame, turn: int) -> DataFrame:
-    """Each member of an open bucket beside its pivot: no more pairs than members."""
+def _star_pairs(buckets: DataFrame, turn: int, total: int) -> DataFrame:
+    """Each of ``total`` members beside the pivot of its bucket, if that is open: no more pairs than members."""
     order = F.xxhash64("set_id", F.lit(turn)) if turn else F.col("set_id")
-    joined = buckets.join(_open_buckets(buckets, order), "key")
+    joined = beside(buckets, _open_buckets(buckets, order), "key", "members", total, "set_id")
     return joined.where(F.col("pivot.component") != F.col("component")).select(
         F.least("set_id", "pivot.set_id").alias("first"),
         F.greatest("set_id", "pivot.set_id").alias("second"),
@@ -364,6 +365,7 @@ def near_duplicates(
         .mapInArrow(_set_reader(shingle_words), "set_id bigint, elements array<bigint>"),
         "sets",
     )
+    total = buckets.count()
     links = labels = None
     for turn in range(star_rounds + 1):
         if labels is None:
@@ -372,7 +374,7 @@ def near_duplicates(
             labelled = buckets.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
             labelled = labelled.withColumn("component", F.coalesce("component", "set_id"))
         if turn < star_rounds:
-            pairs = stored(_same_size(_star_pairs(labelled, turn), sizes, percent), "pairs")
+            pairs = stored(_same_size(_star_pairs(labelled, turn, total), sizes, percent), "pairs")
             found = stored(_verified(pairs, sets, percent), "links")
         else:
             found = stored(_remaining_links(labelled, sets, percent), "links")
