@@ -13,16 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
+from threatloom.operators.grown_forest import GrownForest
 from threatloom.operators.joins import checked_broadcast
 from threatloom.session import new_folder, shared_folder
 
 
-def forest_nodes(spark: SparkSession, forest: RandomForestClassificationModel) -> DataFrame:
+def forest_nodes(spark: SparkSession, forest: GrownForest | RandomForestClassificationModel) -> DataFrame:
     """``tree``, ``node``, ``feature`` and ``threshold`` (null in leaves), ``left``, ``right``, ``shares``.
 
     A row whose feature is at most the threshold goes left. ``shares`` are the class shares of the
     training rows in a leaf, null in inner nodes.
     """
+    if isinstance(forest, GrownForest):
+        return forest.nodes(spark)
     path = new_folder(spark, "forest")
     forest.write().save(path)
     saved = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")

@@ -6,11 +6,7 @@ from functools import reduce
 
 import numpy as np
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.classification import (
-    MultilayerPerceptronClassifier,
-    RandomForestClassificationModel,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassificationModel
 from pyspark.ml.feature import PCA, IndexToString, PCAModel, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,11 +15,12 @@ from pyspark.sql import functions as F
 from threatloom.fixed_values import PCA_VARIANCE_TARGET, SERVING_THRESHOLD
 from threatloom.functions.scoring import prediction_struct
 from threatloom.operators.encode import scaler_stage, scaling_parameters
+from threatloom.operators.grown_forest import GrownForest, GrownForestClassifier
 from threatloom.operators.joins import training_rows
 from threatloom.operators.quality import quoted
 
 SEED = 42
-# Spark's deepest tree. The traffic forest is to grow without a limit.
+# The depth of Spark's deepest tree. The traffic forest is to grow without a limit.
 MAX_DEPTH = 30
 
 
@@ -65,34 +62,12 @@ def vector_columns(df: DataFrame, vector: str, names: list[str], *keep: str | Co
     )
 
 
-def traffic_forest(features: str, label: str, trees: int = 100, depth: int = MAX_DEPTH) -> RandomForestClassifier:
-    """Node ids are kept with the rows and checkpointed: deep trees are not shipped to every task."""
-    return RandomForestClassifier(
-        featuresCol=features,
-        labelCol=label,
-        numTrees=trees,
-        impurity="gini",
-        maxDepth=depth,
-        minInstancesPerNode=1,
-        seed=SEED,
-        cacheNodeIds=True,
-        checkpointInterval=10,
-    )
+def traffic_forest(features: str, label: str, trees: int = 100, depth: int = MAX_DEPTH) -> GrownForestClassifier:
+    return GrownForestClassifier(features, label, trees, depth, SEED)
 
 
-def malware_forest(features: str, label: str, trees: int = 200, depth: int = 20) -> RandomForestClassifier:
-    return RandomForestClassifier(
-        featuresCol=features,
-        labelCol=label,
-        numTrees=trees,
-        maxDepth=depth,
-        seed=SEED,
-        cacheNodeIds=True,
-        checkpointInterval=10,
-        predictionCol="rf_prediction",
-        probabilityCol="rf_probability",
-        rawPredictionCol="rf_raw",
-    )
+def malware_forest(features: str, label: str, trees: int = 200, depth: int = 20) -> GrownForestClassifier:
+    return GrownForestClassifier(features, label, trees, depth, SEED, prefix="rf_", least_classes=2)
 
 
 def malware_network(features: str, label: str, size: int, iterations: int = 100) -> MultilayerPerceptronClassifier:
@@ -128,8 +103,9 @@ def fit_traffic_model(
     return PipelineModel([*stages, forest, decoder])
 
 
-def forest_of(model: PipelineModel) -> RandomForestClassificationModel:
-    return next(s for s in model.stages if isinstance(s, RandomForestClassificationModel))
+def forest_of(model: PipelineModel) -> GrownForest | RandomForestClassificationModel:
+    """The fitted forest; models saved earlier have Spark's."""
+    return next(s for s in model.stages if isinstance(s, (GrownForest, RandomForestClassificationModel)))
 
 
 def classes_of(model: PipelineModel) -> list[str]:
