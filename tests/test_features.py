@@ -85,3 +85,22 @@ def test_no_files(spark):
     null = spark.createDataFrame([("x", None, None, None)], SCHEMA)
     row = features.file_features(null, ["Machine", "file_size", "section_a_entropy", "WriteFile"], "path").first()
     assert tuple(row) == ("x", 0, 0, 0, 0)
+
+
+def test_section_entropies_hold_little_beside_a_content(spark):
+    import tracemalloc
+
+    import numpy as np
+
+    data = np.random.default_rng(4).integers(0, 64, 8_000_001).astype(np.uint8)
+    tracemalloc.start()
+    entropies = features._entropies(data, np.array([5, 0, 7]), np.array([7_999_000, 0, 100]))
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+
+    def entropy(part):
+        share = np.bincount(part)[np.bincount(part) > 0] / len(part)
+        return float(-(share * np.log2(share)).sum())
+
+    assert np.allclose(entropies, [entropy(data[5:7_999_005]), 0, entropy(data[7:107])])
+    assert held < 3 * len(data)
