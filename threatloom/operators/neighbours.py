@@ -3,8 +3,9 @@
 Rows are assigned to the nearest of a bounded number of pivots, and each pivot's rows
 are cut into cells of bounded size. Each row first finds its neighbours in its own
 cell; the distance of the k-th bounds how far any better neighbour can be. The
-triangle inequality then tells which other cells can hold one, and the row is sent to
-those only. Cells compare rows as matrix blocks; pairs are never written out.
+triangle inequality then tells which other cells can hold one. Cells are packed, and a row
+is sent to the packs with such cells only. Rows are compared as products of matrix blocks,
+which leave out what is surely too far; what is left is measured exactly. Pairs are never written out.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,12 @@ from threatloom.session import shared_folder
 
 MAX_PIVOTS = 256
 CELL_ROWS = 4096
+#: Rows of a pack of cells, and queries to it that meet one copy of it, at most about. Both lie in one task.
+PACK_ROWS = 32_768
+#: Packs that fewer rows are cut into, so that there is work for many tasks.
+LEAST_PACKS = 8
+#: Queries and rows whose products are held at once, and pairs that are measured at once.
+TILE_QUERIES, TILE_ROWS, MEASURED = 256, 2_048, 65_536
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -55,6 +63,112 @@ def _nearest(
         yield i, best, distance[best]
 
 
+def _vectors(group: pa.Table) -> np.ndarray:
+    column = group.column("vector").combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
+
+
+def _codes(queries: pa.ChunkedArray, ids: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers that are equal where ids are; a null id equals none."""
+    both = pa.chunked_array([*queries.chunks, *ids.chunks], queries.type).combine_chunks().dictionary_encode().indices
+    codes = both.cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
+    left, right = codes[: len(queries)], codes[len(queries) :]
+    return left, np.where(right < 0, -2, right)
+
+
+def _lengths(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.einsum("ij,ij->i", x, x)
+
+
+def _closest(
+    x: np.ndarray,
+    codes: np.ndarray,
+    limit: np.ndarray,
+    y: np.ndarray,
+    y_codes: np.ndarray,
+    cells: Iterator[tuple[np.ndarray, np.ndarray]],
+    k: int,
+    best: np.ndarray,
+) -> np.ndarray:
+    """Positions in ``y`` of the up to k nearest other rows of each row of ``x`` that are nearer than ``limit``; -1 for none.
+
+    ``cells`` gives rows of ``x`` and rows of ``y`` to compare; ``best`` (rows x k, infinite at first) takes the distances.
+    A product of blocks gives the squared distances up to rounding. Pairs within a margin above that rounding
+    are measured difference by difference, so the distances are those of a plain comparison.
+    """
+    width = x.shape[1]
+    found = np.full(best.shape, -1, dtype=np.int64)
+    lengths, y_lengths = _lengths(x), _lengths(y)
+    rounding = 16 * (width + 8) * np.finfo(np.float64).eps
+    for wanted, held in cells:
+        shared = bool(np.isin(y_codes[held], codes[wanted]).any())
+        for start in range(0, len(held), TILE_ROWS):
+            part = held[start : start + TILE_ROWS]
+            other, most = y[part], y_lengths[part].max()
+            product = np.column_stack([other, y_lengths[part]]).T
+            for first in range(0, len(wanted), TILE_QUERIES):
+                rows = wanted[first : first + TILE_QUERIES]
+                reach = np.minimum(limit[rows], best[rows, -1])
+                rows, reach = rows[reach > 0], reach[reach > 0]
+                if not len(rows):
+                    continue
+                score = np.column_stack([-2 * x[rows], np.ones(len(rows))]) @ product
+                if shared:
+                    score[codes[rows][:, None] == y_codes[part][None, :]] = np.inf
+                margin = rounding * (lengths[rows] + most)
+                upto = reach**2 - lengths[rows] + margin
+                free = np.flatnonzero(np.isinf(reach))
+                if len(free) and len(part) >= k:
+                    upto[free] = np.partition(score[free], k - 1, axis=1)[:, k - 1] + 2 * margin[free]
+                np.minimum(upto, np.finfo(np.float64).max, out=upto)  # rows with the query's id are at infinity
+                i, j = np.divmod(np.flatnonzero(score <= upto[:, None]), len(part))
+                distance = np.empty(len(i))
+                for at in range(0, len(i), MEASURED):
+                    some = slice(at, at + MEASURED)
+                    delta = other[j[some]] - x[rows[i[some]]]
+                    distance[some] = np.sqrt(np.einsum("ij,ij->i", delta, delta))
+                near = distance < reach[i]
+                i, j, distance = i[near], j[near], distance[near]
+                if not len(i):
+                    continue
+                touched = np.unique(i)
+                row = np.concatenate([i, np.repeat(touched, k)])
+                distance = np.concatenate([distance, best[rows[touched]].ravel()])
+                place = np.concatenate([part[j], found[rows[touched]].ravel()])
+                order = np.lexsort((distance, row))
+                row, distance, place = row[order], distance[order], place[order]
+                rank = np.arange(len(row)) - np.searchsorted(row, row)
+                top = rank < k
+                best[rows[row[top]], rank[top]] = distance[top]
+                found[rows[row[top]], rank[top]] = place[top]
+    return found
+
+
+def _neighbours(
+    left: pa.Table, right: pa.Table, id: str, k: int, limit: np.ndarray, cells: Iterator[tuple[np.ndarray, np.ndarray]]
+) -> pa.Table:
+    """Rows of the left table with their up to k nearest other rows of the right one, by pairs of parts of both."""
+    x, y = _vectors(left), _vectors(right)
+    if np.isfinite(_lengths(x)).all() and np.isfinite(_lengths(y)).all():
+        best = np.full((len(x), k), np.inf)
+        codes, y_codes = _codes(left.column(id), right.column(id))
+        found = _closest(x, codes, limit, y, y_codes, cells, k, best)
+        i, rank = np.nonzero(found >= 0)
+        at, distance = found[i, rank], best[i, rank]
+    else:  # values without a product: row by row
+        ids, y_ids = left.column(id).to_numpy(), right.column(id).to_numpy()
+        parts = []
+        for wanted, held in cells:
+            for n, own, distances in _nearest(x[wanted], ids[wanted], y[held], y_ids[held], k):
+                parts.append((np.full(len(own), wanted[n]), held[own], distances))
+        i, at, distance = (np.concatenate([p[n] for p in parts]) if parts else np.empty(0, int) for n in range(3))
+    return pa.table(
+        [left.column(id).take(pa.array(i)), right.column(id).take(pa.array(at)), pa.array(distance, pa.float64())],
+        names=[id, "neighbour", "distance"],
+    )
+
+
 def _pivots(points: DataFrame, vector: str, id: str, count: int) -> np.ndarray:
     """Rows that lead in hash order: a bounded number, at random but the same on every run."""
     rows = (
@@ -124,106 +238,134 @@ def nearest_neighbours(
     cells = assign_cells(points, id, vector, pivots, cell_rows).checkpoint()
     found = f"{id} {id_type}, neighbour {id_type}, distance double"
 
-    def within(group: pd.DataFrame) -> pd.DataFrame:
-        x, ids = _matrix(group["vector"]), group[id].to_numpy()
-        parts = [
-            pd.DataFrame({id: ids[i], "neighbour": ids[best], "distance": distance})
-            for i, best, distance in _nearest(x, ids, x, ids, k)
-        ]
-        return pd.concat(parts) if parts else pd.DataFrame(columns=[id, "neighbour", "distance"])
+    def within(group: pa.Table) -> pa.Table:
+        every = np.arange(group.num_rows)
+        return _neighbours(group, group, id, k, np.full(len(every), np.inf), [(every, every)])
 
-    own = cells.groupBy("pivot", "part").applyInPandas(within, found)
+    own = cells.select(id, "vector", "pivot", "part").groupBy("pivot", "part").applyInArrow(within, found)
     first = _best(own, id, k).checkpoint()
     bounds = first.groupBy(id).agg(
         F.when(F.count("*") >= k, F.max("distance")).otherwise(float("inf")).alias("bound")
     )
-    # One row per pivot: the range of distances of its rows, and its number of cells.
+    # One row per pivot: the range of distances of its rows, their number, and its number of cells.
     rings = (
         cells.groupBy("pivot")
         .agg(
             F.min("to_pivot").alias("low"),
             F.max("to_pivot").alias("high"),
             (F.max("part") + 1).alias("parts"),
+            F.count("*").alias("n"),
         )
+        .orderBy("pivot")
         .toPandas()
     )
     if rings["parts"].sum() <= 1:
         return first
 
-    pivot_of = rings["pivot"].to_numpy()
+    pivot_of, parts_of = rings["pivot"].to_numpy(), rings["parts"].to_numpy()
     low, high = rings["low"].to_numpy(), rings["high"].to_numpy()
+    centres = pivots[pivot_of]
     slack = 1e-9
+    packed = _packs(rings, max(cell_rows, min(PACK_ROWS, -(-count // LEAST_PACKS))))
+    packs = 1 + packed[-1][2]
+    member = np.zeros((len(rings), packs), dtype=np.float32)
+    member[np.searchsorted(pivot_of, [p for p, _, _ in packed]), [n for _, _, n in packed]] = 1
+
+    def may_hold(x: np.ndarray, bound: np.ndarray, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Whether a row of a pivot may be strictly nearer than the k-th found so far, with room for rounding."""
+        to_pivots = _distances(x, centres[rows])
+        least = np.maximum(np.maximum(to_pivots - high[rows], low[rows] - to_pivots), 0.0)
+        return (least < bound[:, None] * (1 + slack)) & (bound[:, None] > 0)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
             x = _matrix(batch["vector"])
-            to_pivots = _distances(x, pivots)[:, pivot_of]
-            # No row of the pivot is nearer than this.
-            least = np.maximum(np.maximum(to_pivots - high, low - to_pivots), 0.0)
-            bound = batch["bound"].to_numpy()[:, None]
-            # Strictly nearer than the k-th found so far, with room for rounding.
-            near = (least < bound * (1 + slack)) & (bound > 0)
+            near = may_hold(x, batch["bound"].to_numpy())
+            # A pivot with one cell holds nothing for the rows of that cell.
+            home = np.searchsorted(pivot_of, batch["pivot"].to_numpy())
+            near[np.arange(len(x)), home] &= parts_of[home] > 1
+            targets = near.astype(np.float32) @ member > 0
             yield pd.DataFrame(
                 {
                     id: batch[id],
                     "vector": list(x),
                     "pivot": batch["pivot"],
                     "part": batch["part"],
-                    "targets": [pivot_of[row] for row in near],
+                    "bound": batch["bound"],
+                    "targets": [np.flatnonzero(row).astype(np.int32) for row in targets],
                 }
             )
 
+    # The queries to a pack are counted before they are sent; the checkpoint keeps both from routing anew.
     routed = (
         cells.join(bounds, id, "left")
         .na.fill({"bound": float("inf")})
         .mapInPandas(
-            route, f"{id} {id_type}, vector array<double>, pivot int, part int, targets array<int>"
+            route, f"{id} {id_type}, vector array<double>, pivot int, part int, bound double, targets array<int>"
         )
+        .checkpoint()
     )
-    parts = cells.sparkSession.createDataFrame(
-        [(int(p), int(n)) for p, n in zip(rings["pivot"], rings["parts"])], "target int, parts int"
-    )
-    # Every cell of a pivot that is near enough, but the row's own.
-    queries = (
-        routed.withColumn("target", F.explode("targets"))
-        .join(F.broadcast(parts), "target")
-        .withColumn("target_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .where((F.col("target") != F.col("pivot")) | (F.col("target_part") != F.col("part")))
-        .select(id, "vector", F.col("target").alias("pivot"), F.col("target_part").alias("part"))
-    )
-
-    def across(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame(columns=[id, "neighbour", "distance"])
-        ids, cell_ids = left[id].to_numpy(), right[id].to_numpy()
-        parts = [
-            pd.DataFrame({id: ids[i], "neighbour": cell_ids[best], "distance": distance})
-            for i, best, distance in _nearest(
-                _matrix(left["vector"]), ids, _matrix(right["vector"]), cell_ids, k
-            )
-        ]
-        return pd.concat(parts)
-
-    # Queries to one cell are cut into slices, each of which meets a copy of the cell.
-    slices = queries.groupBy("pivot", "part").agg(F.ceil(F.count("*") / (4 * cell_rows)).alias("slices"))
-    sliced = queries.join(slices, ["pivot", "part"]).withColumn(
-        "slice", F.pmod(F.xxhash64(F.lit(13), F.col(id)), F.col("slices")).cast("int")
+    asked = routed.select(F.explode("targets").alias("pack")).groupBy("pack").count().collect()
+    if not asked:
+        return first
+    session = cells.sparkSession
+    # One row per pack, and one per cell: both are rows by the thousand.
+    slices = session.createDataFrame([(r["pack"], -(-r["count"] // PACK_ROWS)) for r in asked], "pack int, slices int")
+    places = session.createDataFrame(packed, "pivot int, part int, pack int")
+
+    def across(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table([left.column(id).slice(0, 0)] * 2 + [pa.array([], pa.float64())], names=[id, "neighbour", "distance"])
+        limit = left.column("bound").to_numpy()
+        own = [left.column(c).to_numpy() for c in ("pivot", "part")]
+        there = [right.column(c).to_numpy() for c in ("pivot", "part")]
+        rings_here = np.searchsorted(pivot_of, np.unique(there[0]))
+        near = may_hold(_vectors(left), limit, rings_here)
+
+        def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for n, ring in enumerate(rings_here):
+                for part in np.unique(there[1][there[0] == pivot_of[ring]]):
+                    # Every cell of a pivot that is near enough, but the row's own.
+                    wanted = near[:, n] & ((own[0] != pivot_of[ring]) | (own[1] != part))
+                    held = (there[0] == pivot_of[ring]) & (there[1] == part)
+                    yield np.flatnonzero(wanted), np.flatnonzero(held)
+
+        return _neighbours(left, right, id, k, limit, pairs())
+
+    # Queries to one pack are cut into slices, each of which meets a copy of the pack.
+    sliced = (
+        routed.withColumn("pack", F.explode("targets"))
+        .join(F.broadcast(slices), "pack")
+        .withColumn("slice", F.pmod(F.xxhash64(F.lit(13), F.col(id), "pivot", "part"), F.col("slices")).cast("int"))
     )
-    copies = cells.join(slices, ["pivot", "part"]).withColumn(
-        "slice", F.explode(F.sequence(F.lit(0), F.col("slices").cast("int") - 1))
+    copies = (
+        cells.join(F.broadcast(places), ["pivot", "part"])
+        .join(F.broadcast(slices), "pack")
+        .withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     )
-    target = ["pivot", "part", "slice"]
     more = (
-        sliced.select(id, "vector", *target)
-        .groupBy(*target)
-        .cogroup(copies.select(id, "vector", *target).groupBy(*target))
-        .applyInPandas(across, found)
+        sliced.select(id, "vector", "pivot", "part", "bound", "pack", "slice")
+        .groupBy("pack", "slice")
+        .cogroup(copies.select(id, "vector", "pivot", "part", "pack", "slice").groupBy("pack", "slice"))
+        .applyInArrow(across, found)
     )
     return _best(first.select(id, "neighbour", "distance").unionByName(more), id, k)
 
 
+def _packs(rings: pd.DataFrame, rows: int) -> list[tuple[int, int, int]]:
+    """(pivot, part, pack) of every cell: cells in order, as many to a pack as ``rows`` allows."""
+    packed, pack, held = [], 0, 0.0
+    for pivot, parts, n in rings[["pivot", "parts", "n"]].itertuples(index=False):
+        for part in range(parts):
+            if held and held + n / parts > rows:
+                pack, held = pack + 1, 0.0
+            packed.append((int(pivot), part, pack))
+            held += n / parts
+    return packed
+
+
 def _best(found: DataFrame, id: str, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(id).orderBy("distance", "neighbour"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
