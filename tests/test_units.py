@@ -10,6 +10,7 @@ from threatloom.operators import flows, models
 from threatloom.sources.datasets import read_flow_features
 from threatloom.streaming import pipelines
 from threatloom.streaming.ledger import ledger_of, read_finished
+from threatloom.streaming.units import unit_packets
 
 
 def packets(spark, first, count):
@@ -130,3 +131,38 @@ def test_units_of_any_name_are_folders(spark, text):
     name = spark.range(1).select(pipelines._folder_name(F.lit(text))).first()[0]
     assert len(name) <= 120 and set(name) <= set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.-")
     assert name == text or text not in ("plain-1",)
+
+
+def test_a_capture_batch_that_runs_again_finds_the_open_units_it_found(spark, tmp_path):
+    """Broken off before the ledger, and before the stream's own record; no task holds a sensor's packets."""
+    source, output, progress = str(tmp_path / "in"), str(tmp_path / "out"), tmp_path / "ck"
+
+    def run():
+        pipelines.flows_from_capture(spark, source, output, str(progress), size=60).awaitTermination()
+
+    for first, count in ((0, 130), (130, 99), (229, 171)):
+        arrive(spark, source, first, count)
+        run()
+        want = finished(spark, output)
+        assert want == expected(spark, first + count, 60)
+        shutil.rmtree(f"{ledger_of(output)}/batch={forget_last_commit(progress)}")
+        run()
+        assert finished(spark, output) == want
+        forget_last_commit(progress)
+        run()
+        assert finished(spark, output) == want
+
+
+def test_open_units_are_kept_beside_the_ledger(spark, tmp_path):
+    """Packets arrive in many files; a sensor may have no name or no packet in a micro-batch."""
+    ledger = str(tmp_path / "ledger")
+    own = packets(spark, 0, 100).withColumn("sensor", F.when(F.col("seq") % 4 != 0, F.col("sensor"))).repartition(7)
+    parts = [own.where("seq < 50"), own.where("seq >= 50 and sensor is null"), own.where("seq >= 50 and sensor is not null")]
+    units = {}
+    for n, part in enumerate(parts):
+        for r in unit_packets(part, n, "sensor", 20, ledger).collect():
+            units.setdefault((r["sensor"], r["unit"]), []).append(r["seq"])
+    order = {None: [i for i in range(100) if i % 4 == 0], "south": [i for i in range(100) if i % 4]}
+    assert {k: sorted(v) for k, v in units.items()} == {
+        (s, u): seqs[20 * u : 20 * u + 20] for s, seqs in order.items() for u in range(len(seqs) // 20)
+    }

@@ -16,8 +16,9 @@ from threatloom.session import new_folder
 from threatloom.sources.datasets import read_flow_features
 from threatloom.streaming import ledger, pipelines
 
-#: Files in which the packets of ``stream_units`` arrive.
+#: Runs of files in which the packets of ``stream_units`` arrive; the files of a run are one micro-batch.
 ARRIVALS = 5
+ALL_FILES = 1_000_000
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,15 +71,15 @@ group by batch_id, src_ip, src_port, dst_ip, dst_port"""
 
 
 def stream_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packets of three sensors arrive in files of their own length; units of 1000 packets of a sensor
-    are cut as they fill, across files, and their connections are read by the ledger."""
+    """Packets of three sensors arrive in five runs of files; units of 1000 packets of a sensor
+    are cut as they fill, across runs, and their connections are read by the ledger."""
     ordered = S.packets(spark, sf_dir).withColumn("sensor", (F.substring_index("src_ip", ".", -1).cast("int") % 3).cast("string"))
     captured, features, progress = (new_folder(spark, name) for name in ("arrivals", "units", "units-progress"))
     last = ordered.agg(F.max("seq")).first()[0] or 0
-    for part in range(ARRIVALS):  # one file after the other, as a capture writes them
+    for part in range(ARRIVALS):  # one run after the other, as a capture writes them; the stream takes up each
         span = ordered.where((F.col("seq") * ARRIVALS >= part * (last + 1)) & (F.col("seq") * ARRIVALS < (part + 1) * (last + 1)))
-        span.coalesce(1).write.mode("append").parquet(captured)
-    pipelines.flows_from_capture(spark, captured, features, progress, files_per_trigger=1).awaitTermination()
+        span.write.mode("append").parquet(captured)
+        pipelines.flows_from_capture(spark, captured, features, progress, files_per_trigger=ALL_FILES).awaitTermination()
     return ledger.read_finished(spark, features).select(
         "unit", "connection_key", F.round("duration", 6).alias("duration"), "src_bytes", "dst_bytes", "land",
         "wrong_fragment", "urgent",

@@ -1,64 +1,72 @@
 """Capture units on a live stream: a sensor's packets in runs of a fixed number, each given out as it fills.
 
-State is kept per sensor: the packets of the unit that is open, and how many units were given out. A
-unit may so span any number of micro-batches and restarts. The open unit of a stream that ends is
-never given out.
+Between micro-batches a table beside the ledger holds, per sensor, the packets of the unit that is open
+(fewer than a unit) and how many units were given out. A unit may so span any number of micro-batches
+and restarts. The open unit of a stream that ends is never given out.
+
+A micro-batch is numbered range by range (``operators/ranking.py``), so a sensor's share of it is as many
+tasks as it needs. It writes its table before its lines in the ledger, and reads that of the micro-batch
+before, so one that runs again finds what it found the first time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, Row
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from threatloom.fixed_values import PACKET_BATCH
+from threatloom.operators.joins import checked_broadcast
+from threatloom.operators.ranking import row_numbers
+from threatloom.session import shared_folder
 
 UNIT = "unit"
+#: Tables that are kept: the one that is written, and the one before.
+KEPT = 2
 
 
-class CaptureUnits(StatefulProcessor):
-    """Gives out the packets of each unit that a micro-batch fills, with the unit's number.
-
-    Packets of a micro-batch are taken by ``seq``, after those of earlier ones. A sensor's share of a
-    micro-batch is held by one task: the number of files a trigger takes bounds it.
-    """
-
-    def __init__(self, schema: T.StructType, size: int):
-        self.schema, self.size = schema, size
-        self.order = schema.fieldNames().index("seq")
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getListState("open", self.schema)
-        self.given = handle.getValueState("given", "units bigint")
+def _state(ledger: str, batch_id: int) -> str:
+    return f"{ledger.rstrip('/')}-open/{batch_id % KEPT}"
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        arrived = sorted((tuple(row) for row in rows), key=lambda row: row[self.order])
-        waiting = [tuple(row) for row in self.open.get()] if self.open.exists() else []
-        unit = self.given.get()[0] if self.given.exists() else 0
-        waiting += arrived
-        names = [*self.schema.fieldNames(), UNIT]
-        full = len(waiting) // self.size * self.size
-        for at, row in enumerate(waiting[:full]):
-            yield Row(**dict(zip(names, (*row, unit + at // self.size))))
-        if full:
-            self.given.update((unit + full // self.size,))
-        if len(waiting) > full:
-            self.open.put(waiting[full:])
-        elif self.open.exists():
-            self.open.clear()
 
-    def close(self) -> None:
-        pass
+def unit_packets(batch: DataFrame, batch_id: int, sensor: str, size: int, ledger: str) -> DataFrame:
+    """The packets of the units that a micro-batch fills, with the unit's number per sensor.
 
-
-def unit_packets(packets: DataFrame, sensor: str, size: int = PACKET_BATCH) -> DataFrame:
-    """A packet stream as the packets of full units, with the number of their unit per sensor."""
-    output = T.StructType([*packets.schema.fields, T.StructField(UNIT, T.LongType())])
-    return packets.groupBy(sensor).transformWithState(
-        statefulProcessor=CaptureUnits(packets.schema, size),
-        outputStructType=output,
-        outputMode="append",
-        timeMode="none",
+    Packets of a micro-batch are taken by ``seq``, after those of earlier ones. What stays open is
+    written beside the ledger.
+    """
+    spark = batch.sparkSession
+    shared_folder(spark)
+    kind = batch.schema[sensor].dataType.simpleString()
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema.fields)
+    before, now = _state(ledger, batch_id - 1), _state(ledger, batch_id)
+    packets, sensors = f"{fields}, __at bigint", f"__sensor {kind}, given bigint, held bigint"
+    if batch_id:
+        waiting = spark.read.schema(packets).parquet(f"{before}/packets")
+        given = spark.read.schema(sensors).parquet(f"{before}/sensors")
+    else:
+        waiting, given = spark.createDataFrame([], packets), spark.createDataFrame([], sensors)
+    arrived = row_numbers(batch, [sensor], F.col("seq"), "__at")
+    known = checked_broadcast(given)
+    same = F.col(sensor).eqNullSafe(F.col("__sensor"))
+    placed = arrived.join(known, same, "left").withColumn("__at", F.col("__at") + F.coalesce("held", F.lit(0)))
+    # Read three times below.
+    placed = placed.drop("__sensor", "given", "held").unionByName(waiting).checkpoint()
+    counts = placed.groupBy(F.col(sensor).alias("__own")).agg(F.count("*").alias("n"))
+    every = (
+        counts.join(given, F.col("__own").eqNullSafe(F.col("__sensor")), "full")
+        .select(
+            F.when(F.col("n").isNull(), F.col("__sensor")).otherwise(F.col("__own")).alias("__sensor"),
+            F.coalesce("given", F.lit(0)).alias("before"),
+            F.floor(F.coalesce("n", F.lit(0)) / size).alias("full"),
+            F.coalesce("n", F.lit(0)).alias("n"),
+        )
+        .checkpoint()
     )
+    numbered = placed.join(checked_broadcast(every), same)
+    end = F.col("full") * size
+    left = numbered.where(F.col("__at") > end).withColumn("__at", F.col("__at") - end)
+    left.select(*batch.columns, "__at").write.mode("overwrite").parquet(f"{now}/packets")
+    every.select("__sensor", (F.col("before") + F.col("full")).alias("given"), (F.col("n") - end).alias("held")).write.mode(
+        "overwrite"
+    ).parquet(f"{now}/sensors")
+    unit = F.col("before") + F.floor((F.col("__at") - 1) / size)
+    return numbered.where(F.col("__at") <= end).select(*batch.columns, unit.cast("bigint").alias(UNIT))
