@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threatloom.operators.joins import checked_broadcast
+from threatloom.operators.joins import checked_broadcast, training_rows
 from threatloom.operators.ranking import row_numbers
 from threatloom.session import shared_folder
 
@@ -48,8 +48,8 @@ def unit_packets(batch: DataFrame, batch_id: int, sensor: str, size: int, ledger
     known = checked_broadcast(given)
     same = F.col(sensor).eqNullSafe(F.col("__sensor"))
     placed = arrived.join(known, same, "left").withColumn("__at", F.col("__at") + F.coalesce("held", F.lit(0)))
-    # Read three times below.
-    placed = placed.drop("__sensor", "given", "held").unionByName(waiting).checkpoint()
+    # Read three times below, by as many tasks as there are slots.
+    placed = training_rows(placed.drop("__sensor", "given", "held").unionByName(waiting))
     counts = placed.groupBy(F.col(sensor).alias("__own")).agg(F.count("*").alias("n"))
     every = (
         counts.join(given, F.col("__own").eqNullSafe(F.col("__sensor")), "full")
