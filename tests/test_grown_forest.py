@@ -125,3 +125,23 @@ def test_a_node_takes_few_bytes(data):
     nodes = sum(len(t["child"]) for t in _fit(data).trees)
     assert model_bytes <= 7 * nodes
     assert isinstance(models.traffic_forest("v", "y", 2, 3).fit(data[0]), G.GrownForest)
+
+
+def test_thresholds_part_all_rows(spark):
+    rng = np.random.default_rng(8)
+    x = np.stack([rng.standard_normal(15_000), rng.integers(0, 40, 15_000) / 7, rng.integers(0, 5, 15_000), np.zeros(15_000)], axis=1)
+    rows = [(Vectors.dense(v), int(v[0] > 2)) for v in x]
+    forest = G.fit_grown_forest(spark.createDataFrame(rows, ["v", "y"]).repartition(5), "v", "y", 2, 3, 42)
+    wanted = G._thresholds(x, G.MAX_BINS)
+    assert [len(t) for t in wanted] == [31, 31, 4, 0]
+    assert all(list(a) == list(b) for a, b in zip(forest.thresholds, wanted, strict=True))
+
+
+def test_trees_are_fetched_in_small_results(data, monkeypatch):
+    whole = _fit(data, trees=5)
+    monkeypatch.setattr(G, "RESULT_BYTES", 1_000)
+    parts = _fit(data, trees=5)
+    assert all((a[n] == b[n]).all() for a, b in zip(whole.trees, parts.trees, strict=True) for n in a)
+    spark = data[0].sparkSession
+    assert parts.packed(spark).rdd.getNumPartitions() == 5
+    assert sorted(map(tuple, parts.packed(spark).collect())) == sorted(map(tuple, whole.packed(spark).collect()))

@@ -1,6 +1,7 @@
 """Random forests whose growth is dealt over the cluster by tree and node.
 
-Rows are held as one byte per feature, the interval between the thresholds it lies in. A tree's upper nodes,
+Rows are held as one byte per feature, the interval between the thresholds it lies in. Thresholds part the values
+of all rows, which meet feature by feature. A tree's upper nodes,
 those with more than ``GROUP_ROWS`` rows, are split level by level from counts that every task makes of
 its own rows; the counts of a node meet in one group. Below them each node's rows meet in one
 group of bounded size, which grows the rest of the tree at once. So the passes over all rows are as many
@@ -34,28 +35,68 @@ from pyspark.sql.types import ArrayType, DoubleType
 from threatloom.session import shared_folder
 
 MAX_BINS = 32
-#: Rows, by hash, from which the thresholds between bins are taken.
-THRESHOLD_ROWS = 10_000
 #: Weighted rows of a node from which on it is split by counts of all tasks.
 GROUP_ROWS = 16_384
 #: Bytes of counts that one task holds in a pass.
 COUNT_BYTES = 64_000_000
+#: Bytes of trees that one result or task carries at most about.
+RESULT_BYTES = 64_000_000
 _OPEN = -1
 _TREE = "tree int, feature binary, cut binary, child binary, shares binary"
 
 
-def _thresholds(sample: np.ndarray, bins: int) -> list[np.ndarray]:
-    """Per feature the increasing values that part its sample into at most ``bins`` intervals."""
-    found = []
-    for column in sample.T:
-        values, counts = np.unique(column, return_counts=True)
-        middles = (values[:-1] + values[1:]) / 2
-        if len(middles) >= bins:
-            upto = np.cumsum(counts)[:-1]
-            wanted = len(column) * np.arange(1, bins) / bins
-            middles = middles[np.unique(np.minimum(np.searchsorted(upto, wanted), len(middles) - 1))]
-        found.append(middles)
-    return found
+def _cuts(values: np.ndarray, counts: np.ndarray, bins: int) -> np.ndarray:
+    """The increasing values that part distinct values and their counts into at most ``bins`` intervals."""
+    middles = (values[:-1] + values[1:]) / 2
+    if len(middles) < bins:
+        return middles
+    upto = np.cumsum(counts)[:-1]
+    wanted = counts.sum() * np.arange(1, bins) / bins
+    return middles[np.unique(np.minimum(np.searchsorted(upto, wanted), len(middles) - 1))]
+
+
+def _thresholds(rows: np.ndarray, bins: int) -> list[np.ndarray]:
+    """Per feature the increasing values that part its values into at most ``bins`` intervals."""
+    return [_cuts(*np.unique(column, return_counts=True), bins) for column in rows.T]
+
+
+def _valued(width: int):
+    """Arrow function: rows to each feature's distinct values and how often they are there, batch by batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+                found = [np.unique(column, return_counts=True) for column in x.T]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(range(width), pa.int32()), pa.array([v.tobytes() for v, _ in found], pa.binary()),
+                        pa.array([n.astype(np.int32).tobytes() for _, n in found], pa.binary()),
+                    ],
+                    ["feature", "found", "counts"],
+                )
+
+    return run
+
+
+def _cutting(bins: int):
+    """Arrow function: the values and counts of one feature to its thresholds."""
+
+    def run(group: pa.Table) -> pa.Table:
+        values = np.concatenate([np.frombuffer(v, np.float64) for v in group.column("found").to_pylist()])
+        counts = np.concatenate([np.frombuffer(n, np.int32) for n in group.column("counts").to_pylist()])
+        values, place = np.unique(values, return_inverse=True)
+        cuts = _cuts(values, np.bincount(place, counts), bins)
+        return pa.table({"feature": group.column("feature").slice(0, 1), "cuts": pa.array([cuts.tolist()], pa.list_(pa.float64()))})
+
+    return run
+
+
+def _all_thresholds(rows: DataFrame, width: int, bins: int) -> list[np.ndarray]:
+    """``_thresholds`` of all rows; a group holds the values of one feature."""
+    valued = rows.select("x").mapInArrow(_valued(width), "feature int, found binary, counts binary")
+    found = valued.groupBy("feature").applyInArrow(_cutting(bins), "feature int, cuts array<double>").collect()
+    return [np.array(r["cuts"], dtype=np.float64) for r in sorted(found, key=lambda r: r["feature"])]
 
 
 def _binned(x: np.ndarray, thresholds: list[np.ndarray]) -> np.ndarray:
@@ -376,6 +417,23 @@ def _joined(upper: _Upper, lower: list, classes: int) -> dict[str, np.ndarray]:
     }
 
 
+def _tree_by_tree(grown: DataFrame, trees: int) -> Iterator[list]:
+    """The rows of each tree by node; a result holds trees of about ``RESULT_BYTES`` together."""
+    size = sum((F.sum(F.length(c)) for c in ("feature", "cut", "child", "shares")), F.lit(0))
+    sizes = dict(grown.groupBy("tree").agg(size).collect())
+    first = 0
+    while first < trees:
+        last, held = first + 1, sizes.get(first, 0)
+        while last < trees and held + sizes.get(last, 0) <= RESULT_BYTES:
+            last, held = last + 1, held + sizes.get(last, 0)
+        found: dict[int, list] = {t: [] for t in range(first, last)}
+        for r in grown.where(F.col("tree").between(first, last - 1)).collect():
+            found[r["tree"]].append(r)
+        while found:
+            yield sorted(found.pop(min(found)), key=lambda r: r["node"])
+        first = last
+
+
 def fit_grown_forest(
     rows: DataFrame, features: str, label: str, trees: int, depth: int, seed: int, prefix: str = "", least_classes: int = 1
 ) -> GrownForest:
@@ -389,8 +447,7 @@ def fit_grown_forest(
     if not facts["n"]:
         raise ValueError("a forest needs rows")
     size, classes, width = facts["n"], max(least_classes, facts["most"] + 1), facts["width"]
-    sample = numbered.orderBy(F.xxhash64(F.lit(seed), "id")).limit(THRESHOLD_ROWS).select("x").collect()
-    thresholds = _thresholds(np.array([r["x"] for r in sample]), MAX_BINS)
+    thresholds = _all_thresholds(numbered, width, MAX_BINS)
 
     def to_bins(batches):
         for batch in batches:
@@ -404,7 +461,6 @@ def fit_grown_forest(
     upper = _upper_nodes(binned, size, trees, depth, classes, width, tried, seed)
     arrays = [u.arrays() for u in upper]
     levels = {(t, n): u.level[n] for t, u in enumerate(upper) for n, c in enumerate(u.child) if c == _OPEN and n}
-    lower: dict[int, list] = {}
     routed = binned.mapInArrow(
         _routing(arrays, width, seed, range(trees)), "tree int, node int, id bigint, label int, w int, bins binary"
     )
@@ -412,12 +468,9 @@ def fit_grown_forest(
         _growing(levels, classes, width, tried, depth, seed),
         f"tree int, node int, {_TREE.removeprefix('tree int, ')}, gains array<double>",
     )
-    for r in grown.collect():
-        lower.setdefault(r["tree"], []).append(r)
     importance = np.zeros(width)
     fitted = []
-    for t, tree in enumerate(upper):
-        own = sorted(lower.pop(t, []), key=lambda r: r["node"])
+    for tree, own in zip(upper, _tree_by_tree(grown.checkpoint(), trees)):
         gains = tree.gains + sum((np.array(r["gains"]) for r in own), np.zeros(width))
         importance += gains / gains.sum() if gains.sum() > 0 else 0.0
         fitted.append(_joined(tree, own, classes))
@@ -484,7 +537,9 @@ class GrownForest(Transformer, MLWritable, MLReadable):
 
     def nodes(self, spark: SparkSession) -> DataFrame:
         """The trees as rows: see ``forest_table.forest_nodes``."""
-        classes, thresholds = self.classes, self.thresholds
+        classes = self.classes
+        values = np.concatenate([*self.thresholds, np.empty(0)])
+        starts = np.cumsum([0, *map(len, self.thresholds)])
 
         def unpacked(batches):
             for batch in batches:
@@ -495,13 +550,17 @@ class GrownForest(Transformer, MLWritable, MLReadable):
                     for start in range(0, len(child), 10_000):
                         part = np.arange(start, min(start + 10_000, len(child)))
                         inner = child[part] >= 0
-                        value = [float(thresholds[f][c]) if i else None for f, c, i in zip(feature[part], cut[part], inner)]
+                        value = np.zeros(len(part))
+                        value[inner] = values[starts[feature[part][inner]] + cut[part][inner]]
+                        ends = np.append(0, np.cumsum(np.where(inner, 0, classes))).astype(np.int32)
                         yield pa.RecordBatch.from_arrays(
                             [
                                 pa.array([r["tree"]] * len(part), pa.int32()), pa.array(part, pa.int32()),
-                                pa.array(feature[part].astype(np.int32), mask=~inner), pa.array(value, pa.float64()),
+                                pa.array(feature[part].astype(np.int32), mask=~inner), pa.array(value, mask=~inner),
                                 pa.array(child[part], mask=~inner), pa.array(child[part] + 1, pa.int32(), mask=~inner),
-                                pa.array([None if i else every[-2 - c].tolist() for c, i in zip(child[part], inner)], pa.list_(pa.float64())),
+                                pa.ListArray.from_arrays(
+                                    pa.array(ends), pa.array(every[-2 - child[part][~inner]].ravel()), mask=pa.array(inner)
+                                ),
                             ],
                             ["tree", "node", "feature", "threshold", "left", "right", "shares"],
                         )
@@ -512,7 +571,9 @@ class GrownForest(Transformer, MLWritable, MLReadable):
     def packed(self, spark: SparkSession) -> DataFrame:
         """A row per tree with its arrays."""
         rows = [(i, *(t[n].tobytes() for n in ("feature", "cut", "child", "shares"))) for i, t in enumerate(self.trees)]
-        return spark.createDataFrame(rows, _TREE)
+        slices = 1 + sum(a.nbytes for t in self.trees for a in t.values()) // RESULT_BYTES
+        slices = min(max(slices, spark.sparkContext.defaultParallelism), max(1, len(rows)))
+        return spark.createDataFrame(spark.sparkContext.parallelize(rows, slices), _TREE)
 
     def write(self) -> MLWriter:
         return _ForestWriter(self)

@@ -43,11 +43,10 @@ def train_traffic(
     label: str = "attack_type",
     trees: int = 100,
     depth: int = MAX_DEPTH,
-    fitted_rows: int = FITTED_ROWS,
 ) -> Trained:
-    """Stratified 80/20 split, then the forest on at most ``fitted_rows`` rows of each class of the larger part."""
+    """Stratified 80/20 split, then the forest on all rows of the larger part."""
     split = stratified_split(df, label, key)
-    train = take_per_class(split.where(~F.col("is_test")).drop("is_test"), label, key, fitted_rows)
+    train = split.where(~F.col("is_test")).drop("is_test")
     model = fit_traffic_model(train, columns, label, trees, depth)
     return Trained(model, columns, split.where("is_test").drop("is_test"))
 
