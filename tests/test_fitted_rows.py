@@ -27,3 +27,10 @@ def test_the_traffic_model_sees_all_rows(rows, monkeypatch):
     with pytest.raises(Seen) as seen:
         training.train_traffic(named, "id", ["f0"])
     assert seen.value.args[0] == {"c0": 240_000, "c1": 800}
+
+
+def test_the_malware_model_sees_all_rows(rows, monkeypatch):
+    monkeypatch.setattr(training, "balance_classes", counted)
+    with pytest.raises(Seen) as seen:
+        training.train_malware(rows, "id", ["f0"])
+    assert seen.value.args[0] == {0: 240_000, 1: 800}

@@ -20,11 +20,7 @@ from threatloom.operators.models import (
 )
 from threatloom.operators.joins import training_rows
 from threatloom.operators.neighbours import balance_classes
-from threatloom.operators.split import stratified_split, take_per_class
-
-#: Labelled rows of a class that a model is fitted on at most, so that models and fits stay of one size
-#: whatever the table's. Testing and scoring are on all rows.
-FITTED_ROWS = 200_000
+from threatloom.operators.split import stratified_split
 
 
 @dataclass
@@ -69,10 +65,8 @@ def train_malware(
     trees: int = 200,
     depth: int = 20,
     iterations: int = 100,
-    fitted_rows: int = FITTED_ROWS,
 ) -> Trained:
-    """Split, take at most ``fitted_rows`` rows of each class of the training part, oversample on unscaled
-    values, then scale, reduce and fit both scorers."""
+    """Split, oversample all rows of the training part on unscaled values, then scale, reduce and fit both scorers."""
     # The features may come from a long way off, and the search for neighbours and the fits
     # below read them many times.
     rows = training_rows(
@@ -81,7 +75,7 @@ def train_malware(
         )
     )
     split = stratified_split(rows, label, key)
-    train = take_per_class(split.where(~F.col("is_test")).drop("is_test"), label, key, fitted_rows)
+    train = split.where(~F.col("is_test")).drop("is_test")
     balanced = balance_classes(train, key, "features", label).checkpoint()
     wide = columns_from_vector(balanced, "features", columns, label)
     model = fit_malware_model(wide, columns, label, trees, depth, iterations)
