@@ -312,24 +312,25 @@ def _splitting(tried: int, classes: int):
 
 
 def _routing(arrays: list, width: int, seed: int, trees: range):
-    """Arrow function: rows to their open node in each tree whose bootstrap has them."""
+    """Arrow function: rows to their open node in each tree whose bootstrap has them, packed by tree and node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 4096):
-                batch = whole.slice(start, 4096)
-                bins, ids = _matrix(batch.column("bins"), width), batch.column("id").to_numpy()
-                for t in trees:
-                    w, at = _weights(ids, t, seed), _walk(bins, *arrays[t])
-                    rows = np.flatnonzero((w > 0) & (arrays[t][2][at] == _OPEN))
-                    taken = batch.take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(len(rows), t, np.int32)), pa.array(at[rows], pa.int32()), taken.column("id"),
-                            taken.column("label"), pa.array(w[rows], pa.int32()), taken.column("bins"),
-                        ],
-                        ["tree", "node", "id", "label", "w", "bins"],
-                    )
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bins = _matrix(batch.column("bins"), width)
+            ids, labels = batch.column("id").to_numpy(), batch.column("label").to_numpy()
+            for t in trees:
+                w, at = _weights(ids, t, seed), _walk(bins, *arrays[t])
+                rows = np.flatnonzero((w > 0) & (arrays[t][2][at] == _OPEN))
+                rows = rows[np.argsort(at[rows], kind="stable")]
+                nodes, starts = np.unique(at[rows], return_index=True)
+                parts = np.split(rows, starts[1:]) if len(rows) else []
+                packed = [pa.array([v[p].tobytes() for p in parts], pa.binary()) for v in (ids, labels, w.astype(np.uint8), bins)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([t] * len(nodes), pa.int32()), pa.array(nodes, pa.int32()), *packed],
+                    ["tree", "node", "id", "label", "w", "bins"],
+                )
 
     return run
 
@@ -339,9 +340,10 @@ def _growing(levels: dict[tuple[int, int], int], classes: int, width: int, tried
 
     def run(group: pa.Table) -> pa.Table:
         tree, node = group.column("tree")[0].as_py(), group.column("node")[0].as_py()
-        order = np.argsort(group.column("id").to_numpy())  # the same tree whatever the order of rows is
-        bins = _matrix(group.column("bins").combine_chunks(), width)[order]
-        y, w = (group.column(c).to_numpy()[order].astype(np.int64) for c in ("label", "w"))
+        kinds = {"id": np.int64, "label": np.int32, "w": np.uint8, "bins": np.uint8}
+        ids, y, w, bins = (np.frombuffer(b"".join(group.column(c).to_pylist()), kind) for c, kind in kinds.items())
+        order = np.argsort(ids)  # the same tree whatever the order of rows is
+        bins, y, w = bins.reshape(-1, width)[order], y[order].astype(np.int64), w[order].astype(np.int64)
         rng = np.random.default_rng([seed, tree, node])
         grown = _grow(bins, y, w, classes, tried, depth - levels.get((tree, node), 0), rng)
         return pa.table(
@@ -462,7 +464,7 @@ def fit_grown_forest(
     arrays = [u.arrays() for u in upper]
     levels = {(t, n): u.level[n] for t, u in enumerate(upper) for n, c in enumerate(u.child) if c == _OPEN and n}
     routed = binned.mapInArrow(
-        _routing(arrays, width, seed, range(trees)), "tree int, node int, id bigint, label int, w int, bins binary"
+        _routing(arrays, width, seed, range(trees)), "tree int, node int, id binary, label binary, w binary, bins binary"
     )
     grown = routed.groupBy("tree", "node").applyInArrow(
         _growing(levels, classes, width, tried, depth, seed),
