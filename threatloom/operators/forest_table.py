@@ -124,9 +124,10 @@ def walk_forest(rows: DataFrame, key: str, features: str, nodes: DataFrame) -> D
     spark = rows.sparkSession
     shared_folder(spark)
     facts = nodes.groupBy("feature").agg(
-        F.sort_array(F.collect_set("threshold")).alias("cuts"), F.max(F.size("shares")).alias("classes")
+        F.sort_array(F.collect_set("threshold")).alias("cuts"), F.max(F.size("shares")).alias("classes"),
+        F.collect_set("tree").alias("trees"),
     ).collect()
-    trees = [r[0] for r in nodes.select("tree").distinct().collect()]
+    trees = sorted({t for r in facts for t in r["trees"]})
     split = sorted((r for r in facts if r["feature"] is not None), key=lambda r: r["feature"])
     used, thresholds = [r["feature"] for r in split], [np.array(r["cuts"]) for r in split]
     classes = max((r["classes"] or 0 for r in facts), default=0)

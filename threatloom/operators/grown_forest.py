@@ -40,7 +40,7 @@ GROUP_ROWS = 16_384
 #: Bytes of counts that one task holds in a pass.
 COUNT_BYTES = 64_000_000
 #: Bytes of trees that one result or task carries at most about.
-RESULT_BYTES = 64_000_000
+RESULT_BYTES = 16_000_000
 _OPEN = -1
 _TREE = "tree int, feature binary, cut binary, child binary, shares binary"
 
